@@ -1,9 +1,17 @@
 """Queries of the training-data operators."""
 
-from pagemill.llm import site_lines
+from pagemill.llm import encoding, site_lines
 from pagemill.session import load
 
 
+def p1_found(spark, d):
+    return encoding.garbled_pages(load(spark, d, "http_cache"), load(spark, d, "documents")).select("page_id").distinct()
+
+
+def p1_repaired(spark, d):
+    return encoding.repaired_pages(load(spark, d, "http_cache"), load(spark, d, "documents"))
+
+
 def p5_found(spark, d):
     return site_lines.found(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
@@ -12,7 +20,7 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p5_clean": p5_clean}
 
 
 def queries() -> dict:
