@@ -27,7 +27,7 @@ _BLOCK_TAG = re.compile(r"</?(?!(?:" + "|".join(INLINE) + r")[\s/>])[a-zA-Z](?:"
 _ANY_TAG = re.compile(r"</?[a-zA-Z](?:" + _ATTRS + ")")
 _OTHER_SPACE = ("\n", "\t", "\r", "\f", "\xa0")
 _TITLE = re.compile(r"<title" + _NAME_END + rf"(?:{_ATTRS})(.*?)(?:</title\s*>|\Z)", re.S | re.I)
-_CODE = re.compile(r"<(pre|code|samp|kbd|tt)" + _NAME_END + rf"(?:{_ATTRS}).*?(?:</\1\s*>|\Z)", re.S | re.I)
+_CODE = re.compile(r"<(pre|code)" + _NAME_END + rf"(?:{_ATTRS}).*?(?:</\1\s*>|\Z)", re.S | re.I)
 
 
 def squeeze(text: str) -> str:
