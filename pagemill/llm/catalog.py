@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from pagemill.llm import encoding, site_lines
+from pagemill.llm import encoding, markup, site_lines
 from pagemill.session import load
 
 
@@ -12,6 +12,14 @@ def p1_repaired(spark, d):
     return encoding.repaired_pages(load(spark, d, "http_cache"), load(spark, d, "documents"))
 
 
+def p2_found(spark, d):
+    return markup.found(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
+
+
+def p2_clean(spark, d):
+    return markup.clean_pages(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
+
+
 def p5_found(spark, d):
     return site_lines.found(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
@@ -20,7 +28,7 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p5_found": p5_found, "p5_clean": p5_clean}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p5_found": p5_found, "p5_clean": p5_clean}
 
 
 def queries() -> dict:
