@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from pagemill.llm import encoding, markup, site_lines
+from pagemill.llm import encoding, main_content, markup, site_lines
 from pagemill.session import load
 
 
@@ -20,6 +20,18 @@ def p2_clean(spark, d):
     return markup.clean_pages(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
+def p3_found(spark, d):
+    return main_content.chrome_blocks(load(spark, d, "http_cache")).select("page_id", "block_crc").distinct()
+
+
+def p3_main_text(spark, d):
+    return main_content.main_text(load(spark, d, "http_cache"))
+
+
+def p3_selection_check(spark, d):
+    return main_content.selection_check(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
+
+
 def p5_found(spark, d):
     return site_lines.found(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
@@ -28,7 +40,7 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p5_found": p5_found, "p5_clean": p5_clean}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p5_found": p5_found, "p5_clean": p5_clean}
 
 
 def queries() -> dict:
