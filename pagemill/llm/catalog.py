@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from pagemill.llm import encoding, main_content, markup, site_lines
+from pagemill.llm import encoding, main_content, markup, residue, site_lines
 from pagemill.session import load
 
 
@@ -32,6 +32,14 @@ def p3_selection_check(spark, d):
     return main_content.selection_check(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
+def p4_found(spark, d):
+    return residue.residue_pages(load(spark, d, "http_cache"), load(spark, d, "documents")).distinct()
+
+
+def p4_kept_pages(spark, d):
+    return residue.without_residue(load(spark, d, "http_cache"), load(spark, d, "documents")).select("page_id", "byte_length")
+
+
 def p5_found(spark, d):
     return site_lines.found(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
@@ -40,7 +48,7 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p5_found": p5_found, "p5_clean": p5_clean}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p4_found": p4_found, "p4_kept_pages": p4_kept_pages, "p5_found": p5_found, "p5_clean": p5_clean}
 
 
 def queries() -> dict:
