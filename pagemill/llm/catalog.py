@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from pagemill.llm import encoding, main_content, markup, residue, site_lines
+from pagemill.llm import encoding, language, main_content, markup, residue, site_lines
 from pagemill.session import load
 
 
@@ -48,7 +48,19 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p4_found": p4_found, "p4_kept_pages": p4_kept_pages, "p5_found": p5_found, "p5_clean": p5_clean}
+def p10_found(spark, d):
+    return language.mislabelled(load(spark, d, "documents")).select("doc_id", "lang").distinct()
+
+
+def p10_languages(spark, d):
+    return language.document_languages(load(spark, d, "documents"))
+
+
+def p10_segments(spark, d):
+    return language.segments(load(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p4_found": p4_found, "p4_kept_pages": p4_kept_pages, "p5_found": p5_found, "p5_clean": p5_clean}
 
 
 def queries() -> dict:
