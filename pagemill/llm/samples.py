@@ -11,6 +11,14 @@ SAMPLE_CHARS = 20_000
 
 
 def sample_rows(df: DataFrame, key: str, columns: list[str], text: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list:
-    """The ``rows`` rows of least key hash whose text is neither blank nor over ``chars``; the same rows on every run."""
-    ok = df.where(F.col(text).isNotNull() & (F.length(text).between(20, chars)))
-    return ok.select(*columns, F.xxhash64(key).alias("_h")).orderBy("_h").limit(rows).drop("_h").collect()
+    """The ``rows`` rows of least key hash whose text is neither blank nor over ``chars``; the same rows on every run.
+
+    A count of the keys first sets a hash limit that lets through little more than ``rows``, so
+    no task holds or sends more than its share, however many there are.
+    """
+    h = F.xxhash64(key)
+    ok = df.where(F.col(text).isNotNull() & F.length(text).between(20, chars))
+    n = df.where(F.col(key).isNotNull()).count()
+    if n > 2 * rows:
+        ok = ok.where(h < F.lit(int(-(2**63) + 2**64 * min(1.0, 1.5 * rows / n))))
+    return ok.select(*columns, h.alias("_h")).orderBy("_h").limit(rows).drop("_h").collect()
