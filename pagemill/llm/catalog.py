@@ -1,6 +1,6 @@
 """Queries of the training-data operators."""
 
-from pagemill.llm import encoding, language, leakage, main_content, markup, residue, site_lines
+from pagemill.llm import encoding, language, leakage, main_content, markup, packing, residue, site_lines
 from pagemill.session import load
 
 
@@ -48,6 +48,18 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
+def p8_containers(spark, d):
+    return packing.containers(load(spark, d, "documents"))
+
+
+def p8_fill(spark, d):
+    return packing.fill_report(packing.containers(load(spark, d, "documents")))
+
+
+def p8_fill_single_bucket(spark, d):
+    return packing.fill_report(packing.containers(load(spark, d, "documents"), across=False))
+
+
 def p9_found(spark, d):
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -68,7 +80,7 @@ def p10_segments(spark, d):
     return language.segments(load(spark, d, "documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_evidence": p9_evidence, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p4_found": p4_found, "p4_kept_pages": p4_kept_pages, "p5_found": p5_found, "p5_clean": p5_clean}
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_fill_single_bucket": p8_fill_single_bucket, "p9_found": p9_found, "p9_evidence": p9_evidence, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p4_found": p4_found, "p4_kept_pages": p4_kept_pages, "p5_found": p5_found, "p5_clean": p5_clean}
 
 
 def queries() -> dict:
