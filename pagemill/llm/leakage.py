@@ -30,6 +30,9 @@ RAREST = 20
 #: Words of a window, and the cosine from which a window makes its document a candidate.
 WINDOW = 24
 MIN_COSINE = 0.12
+#: Weighted words of a window, and the least norm it is measured by, in unseen words: a window of few light words isn't like anything.
+LEAST_WORDS = 3
+LEAST_NORM = 1.5
 #: A passage has so many words in a row; the passages together this share of the item; an alignment this share of equal words.
 MIN_PASSAGE = 20
 MIN_SHARE = 0.4
@@ -165,12 +168,12 @@ class Space:
         c = np.concatenate([[0.0], np.cumsum(sq)])
         doc = np.searchsorted(ends, hot, side="right")
         stop = np.minimum(hot + WINDOW, ends[doc])
-        norm = np.sqrt(c[stop] - c[hot])
+        norm = np.maximum(np.sqrt(c[stop] - c[hot]), LEAST_NORM * self.unseen)
         last = np.searchsorted(hot, stop)
         count = last - np.arange(len(hot))
         own = np.concatenate([[0.0], np.cumsum((w[hot] ** 2).astype(np.float64))])
         energy = np.sqrt(own[last] - own[:-1])
-        ok = np.flatnonzero((count >= 2) & (energy >= MIN_COSINE * norm))
+        ok = np.flatnonzero((count >= LEAST_WORDS) & (energy >= MIN_COSINE * norm))
         found: set[tuple[int, int]] = set()
         step = 4096
         for s in range(0, len(ok), step):
@@ -275,6 +278,11 @@ def _block_leaks(documents: DataFrame, block: DataFrame) -> DataFrame:
     for i in ids:
         rare = sorted({number[w] for w in words[i]}, key=lambda k: (df[k], k))[:RAREST]
         weights[rare] = idf[rare]
+    held = np.zeros(len(vocabulary))
+    for i in ids:
+        held[[number[w] for w in set(words[i])]] += 1
+    # Words that many items share, such as those of a common instruction, don't tell items apart.
+    weights = weights * np.log((len(ids) + 1) / np.maximum(held, 1)) / max(1e-9, np.log(len(ids) + 1))
     sparse = []
     for i in ids:
         u, c = np.unique([number[w] for w in words[i]], return_counts=True) if words[i] else (np.array([], int), np.array([]))
