@@ -1,8 +1,8 @@
 """Named queries over the tables of a folder, with their SQL counterparts."""
 
-from pagemill.catalog import data_flow
+from pagemill.catalog import crawl, data_flow, pages
 
-MODULES = [data_flow]
+MODULES = [data_flow, crawl, pages]
 
 
 def queries() -> dict:

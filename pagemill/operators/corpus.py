@@ -86,7 +86,7 @@ def link_edges(links: DataFrame, fetched: DataFrame, skipped: DataFrame | None =
     if skipped is not None:
         known = known.unionByName(skipped.select(F.col("url").alias("target"), F.lit(1).alias("r")))
     known = known.groupBy("target").agg(F.min("r").alias("r"))
-    return e.join(known, "target", "left").select("source", "target", F.coalesce(F.element_at(F.array(F.lit("fetched"), F.lit("skipped")), F.col("r") + 1), F.lit("external")).alias("relation"))
+    return e.join(known, "target", "left").select("source", "target", F.when(F.col("r") == 0, "fetched").when(F.col("r") == 1, "skipped").otherwise("external").alias("relation"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def summary_histograms(pages: DataFrame, columns=HISTOGRAMS) -> DataFrame:
 def crawl_summary(pages: DataFrame, by: list[str]) -> DataFrame:
     """Counts, depth and duration of a crawl per group."""
     ok = F.col("status") == "Success"
-    secs = F.unix_micros("finished") - F.unix_micros("started")
+    secs = F.unix_micros(F.col("finished").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
     return pages.groupBy(*by).agg(
         F.count("*").alias("pages"), F.count_if(ok).alias("succeeded"), F.count_if(F.col("status") == "Failed").alias("failed"), F.count_if(F.col("status") == "Skipped").alias("skipped"),
         F.count_if(F.col("rendered")).alias("rendered"), F.countDistinct("url").alias("urls"), F.max("depth").alias("max_depth"), F.sum(secs).alias("total_micros"),
