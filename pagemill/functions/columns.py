@@ -167,7 +167,7 @@ def web_date(text: Column) -> Column:
     """
     t = F.trim(text)
     r = F.regexp_replace(t, r"^(?i)(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
-    r = F.regexp_replace(r, r"([+-]\d\d)(\d\d)$", "$1:$2")
+    r = F.regexp_replace(r, r"(:\d\d\s*[+-]\d\d)(\d\d)$", "$1:$2")
     for name, off in _ZONES.items():
         r = F.regexp_replace(r, rf"(?i)(\d)\s+{name}$", f"$1 {off}")
     iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?\s*(Z|[+-]\d\d:?\d\d)?)?$"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2"), "^(.{10}) ", "$1T")))

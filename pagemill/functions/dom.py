@@ -112,7 +112,7 @@ def normal(text: str) -> str:
 
 def _attributes(raw: str) -> dict:
     out: dict = {}
-    for name, value in _ATTR.findall(raw[:-1].rstrip("/") if raw.endswith("/>") else raw[:-1]):
+    for name, value in _ATTR.findall(raw[:-2] if raw.endswith((" />", '"/>', "'/>")) else raw[:-1]):
         name = name.lower()
         if name not in out:
             if value[:1] in "\"'" and value[:1]:
@@ -230,8 +230,9 @@ _ESC = {"&": "&amp;", "<": "&lt;", ">": "&gt;"}
 
 
 def escape(text: str, quote: bool = False) -> str:
-    out = re.sub("[&<>]", lambda m: _ESC[m[0]], text)
-    return out.replace('"', "&quot;") if quote else out
+    if quote:
+        return text.replace("&", "&amp;").replace('"', "&quot;")
+    return re.sub("[&<>]", lambda m: _ESC[m[0]], text)
 
 
 def serialise(node: Node) -> str:
