@@ -63,6 +63,10 @@ class _ByteMap(dict):
         return v
 
 
+def _ascii(text: str) -> str:
+    return "".join(c for c in text if c < "\x80")
+
+
 def _has_letter(run: str) -> bool:
     """Whether a run has a non-ASCII letter, or a sign other than an apostrophe inside a word; ordinal and micro signs are no letters."""
     if any(c.isalpha() and c not in "ªºµ" for c in run if c > "\x7f"):
@@ -152,7 +156,7 @@ class Repairer:
                 if new == run or not new:
                     break
                 gain = self.model.score(new) - old
-                if gain > best[1] and "�" not in new and (len(run) - len(new) > 1 or self.model.familiar(new)):
+                if gain > best[1] and _ascii(new) == _ascii(run) and "�" not in new and (len(run) - len(new) > 1 or self.model.familiar(new)):
                     best = (enc, gain, new)
                 deeper = self.utf8_spans(new, enc)
                 if deeper == new:
@@ -175,7 +179,7 @@ class Repairer:
                     new = raw.decode(right)
                 except UnicodeDecodeError:
                     continue
-                if new and new != run:
+                if new and new != run and _ascii(new) == _ascii(run):
                     gain = self.model.score(new) - old
                     fits = self.model.known(new) and _has_letter(new)
                     out[wrong, right] = gain if gain < 0 or fits else 0.0
@@ -204,7 +208,7 @@ class Repairer:
                 wrong, encs = len(odd), Counter({f"{pair[1]} as {pair[0]}": 1})
         return wrong, encs.most_common(1)[0][0] if encs else None
 
-    def best_pair(self, odd: list[str]) -> tuple[str, str] | None:
+    def best_pair(self, odd) -> tuple[str, str] | None:
         """The pair of code pages that explains a page's odd runs together, or None.
 
         Most characters of the odd runs, or nearly all of those runs with characters foreign to
@@ -233,26 +237,18 @@ class Repairer:
         """``text`` with every confirmed span decoded; the rest as it was."""
         if text.isascii():
             return text
-        runs = _RUN.findall(text)
-        verdicts = [self.runs[r] for r in runs]
-        fixed = _RUN.sub(lambda m: v[2] if (v := self.runs[m[0]]) and v[1] >= SPAN_GAIN else m[0], text)
-        if fixed != text:
-            return fixed
-        odd = [r for r, v in zip(runs, verdicts) if v]
+        verdicts = {r: self.runs[r] for r in set(_RUN.findall(text))}
+        sure = {r: v[2] for r, v in verdicts.items() if v and v[1] >= SPAN_GAIN}
+        # Readings the model doesn't know wholly may be chance; one pair of code pages for all odd runs outweighs them.
+        odd = {r for r, v in verdicts.items() if v and _has_letter(r) and not (r in sure and self.model.known(v[2]))}
         pair = self.best_pair(odd) if odd else None
-        if not pair:
-            return text
-        bad = set(odd)
-
-        def again(m: re.Match) -> str:
-            if m[0] not in bad:
-                return m[0]
+        new = dict(sure)
+        for r in odd if pair else ():
             try:
-                return byte_text(m[0], self.tables[pair[0]]).encode("latin-1").decode(pair[1])
+                new[r] = byte_text(r, self.tables[pair[0]]).encode("latin-1").decode(pair[1])
             except (UnicodeEncodeError, UnicodeDecodeError):
-                return m[0]
-
-        return _RUN.sub(again, text)
+                continue
+        return _RUN.sub(lambda m: new.get(m[0], m[0]), text) if new else text
 
 
 def fit(documents: DataFrame) -> BigramModel:

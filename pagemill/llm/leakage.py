@@ -146,7 +146,7 @@ class Space:
         self.numbers = [[self.vocabulary[w] for w in ws] for ws in self.words]
         lat = np.zeros((len(ids), basis.shape[1]), np.float32)
         for i, ns in enumerate(self.numbers):
-            u, c = np.unique(ns, return_counts=True)
+            u, c = np.unique(np.array(ns, np.int64), return_counts=True)
             x = self.weights[u] * c
             lat[i] = (x @ self.basis[u]) / max(1e-9, float(np.linalg.norm(x)))
         self.items = lat
