@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from pagemill.functions.batches import spread
 from pagemill.operators import audit, select
 from pagemill.operators.extract import EXTRACTORS, extract, extract_many
 from pagemill.session import load
@@ -13,7 +14,7 @@ SQL: dict = {}
 def bodies(spark, d):
     """Cached bodies with the address of their page."""
     p = load(spark, d, "crawl_pages").where("page_id is not null").groupBy("page_id").agg(F.min("url").alias("url"))
-    return load(spark, d, "http_cache").select("page_id", "html").join(p, "page_id", "left")
+    return spread(load(spark, d, "http_cache").select("page_id", "html")).join(p, "page_id", "left")
 
 
 def _extractor(kind: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+_MOVES = re.compile(r"\b(?:Join|Aggregate|Sort|Window|Repartition|Union|Generate|Distinct|Intersect|Except|MapInArrow|MapInPandas|LocalLimit|GlobalLimit|Deduplicate)")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores where its files give fewer tasks than there are cores.
+
+    A table of one small file is one task, however much work its rows are. Tables with tasks for
+    every core, and plans that already move rows, are returned as they are, so nothing is shuffled at scale.
+    """
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution()
+    if _MOVES.search(plan.optimizedPlan().toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType, setup: Callable | None = None) -> DataFrame:
     """Apply ``fn(batch, state)`` to each Arrow batch; ``fn`` returns a dict of column lists.
 
@@ -28,4 +47,4 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType, setup: Call
                 for o in out:
                     yield pa.RecordBatch.from_arrays([pa.array(o[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.mapInArrow(run, st)
+    return spread(df).mapInArrow(run, st)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.functions.batches import spread
 from pagemill.functions.columns import fingerprint, glob, host_in_scope, squash, summary_crawl, url_host, url_path
 from pagemill.session import materialise
 
@@ -67,7 +68,7 @@ def distinct_chunks(chunks: DataFrame, key: str) -> DataFrame:
 def keywords(docs: DataFrame, key: str, text: str = "text", top: int = 12, stop: list[str] | None = None) -> DataFrame:
     """The ``top`` most frequent words of each text: three letters or more, no stop words; ties by the word itself."""
     stop = STOP_WORDS if stop is None else stop
-    w = docs.select(key, F.explode(F.expr(rf"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\'_-]*', 0)")).alias("w"))
+    w = spread(docs.select(key, text)).select(key, F.explode(F.expr(rf"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\'_-]*', 0)")).alias("w"))
     w = w.select(key, F.regexp_replace(F.lower(F.regexp_replace("w", "^['_-]+|['_-]+$", "")), "'s$", "").alias("term")).where((F.length("term") >= 3) & ~F.col("term").isin(stop))
     n = w.groupBy(key, "term").agg(F.count("*").alias("n"))
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))).where(F.col("rank") <= top)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from pagemill.functions.batches import spread
 from pagemill.functions.dom import HEADINGS, Node, normal, parse
 from pagemill.functions.text import fragment_lines, fragment_text, markdown, readable, words
 from pagemill.functions.urls import crawl_key, effective_base, is_external, normalise, resolve
@@ -936,7 +937,7 @@ def extract_many(pages: DataFrame, kinds: list[str], key: str = "page_id", html:
     for k in kinds:
         schema = schema.add(k, _array(structs[k]))
     src = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"))
-    return src.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return spread(src).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def _array(s: StructType):
