@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pagemill.functions.batches import spread
-from pagemill.operators import audit, select
+from pagemill.operators import audit, select, transform
 from pagemill.operators.extract import EXTRACTORS, extract, extract_many
 from pagemill.session import load
 
@@ -54,3 +54,25 @@ def nodes_outside_navigation(spark, d):
 
 
 QUERIES["nodes_outside_navigation"] = nodes_outside_navigation
+
+
+def api_catalog(spark, d):
+    return transform.api_catalog(extract(bodies(spark, d), "doc_endpoints"))
+
+
+def page_changes(spark, d):
+    """Differences between the two latest cached bodies of each address."""
+    p = load(spark, d, "crawl_pages").where("page_id is not null and url is not null").groupBy("page_id").agg(F.min("url").alias("url"), F.min("started").alias("started"))
+    j = load(spark, d, "http_cache").select("page_id", "html").join(p, "page_id")
+    latest = j.groupBy("url").agg(F.max(F.struct("started", "page_id")).alias("a"))
+    k = j.join(latest, "url")
+    before = k.where((F.struct("started", "page_id") < F.col("a"))).groupBy("url").agg(F.max(F.struct("started", "page_id", "html")).alias("b"))
+    now = k.where(F.col("page_id") == F.col("a.page_id")).select("url", "html")
+    return transform.differences(now.join(before, "url").select("url", F.col("b.html").alias("old"), F.col("html").alias("new")), "url", "old", "new")
+
+
+def _transform(name: str):
+    return lambda spark, d: transform.transform(load(spark, d, "http_cache"), name)
+
+
+QUERIES |= {"api_catalog": api_catalog, "page_changes": page_changes} | {f"transform_{n}": _transform(n) for n in ("format_html", "minify_html", "inline_css", "markdown")}
