@@ -121,9 +121,9 @@ class IncrementalJob:
     """Runs ``transform`` over the commits since the last successful run.
 
     State is a chain of manifest files ``_log/<n>.json`` in ``target``; a manifest names the
-    output folder of its run and the upper limit reached. It is created with an exclusive
-    create, which is the only commit point: before it nothing is visible, after it both output
-    and watermark are. Two runs racing for the same number can't both win.
+    output folder of its run and the upper limit reached. It is written aside and renamed into
+    place, which is the only commit point: before it nothing is visible, after it both output
+    and watermark are. A run that finds its number taken publishes nothing and raises.
     """
 
     def __init__(self, spark: SparkSession, target: str):
