@@ -10,8 +10,10 @@ state such a convention are dropped at random, so the field learns to do without
 
 from __future__ import annotations
 
+import gc
 import re
 from html import unescape
+from math import log2
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ EPOCHS = 12
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRS + ")")
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_DIGIT = re.compile(r"\d")
+_PRICE = re.compile("[€$£¥]")
 _INLINE = frozenset(INLINE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOXES = frozenset("body div nav aside footer header main article section table td ul ol center form dl".split())
@@ -48,11 +52,11 @@ _SEPARATORS = re.compile(r" (?:[|»>/·•→›:-]|>>) ")
 class Box:
     """An element that groups blocks, with what its subtree holds."""
 
-    __slots__ = ("button", "chars", "h1", "h3", "habit", "links", "n", "name", "parent", "prose")
+    __slots__ = ("button", "h1", "h3", "habit", "links", "n", "name", "parent", "prose")
 
     def __init__(self, name: str, parent: Box | None, habit: str):
         self.name, self.parent, self.habit = name, parent, habit
-        self.n = self.links = self.chars = self.prose = 0
+        self.n = self.links = self.prose = 0
         self.h1 = self.h3 = self.button = False
 
 
@@ -85,17 +89,21 @@ def leaves(html: str | None) -> list[Leaf]:
             if text:
                 share = min(1.0, linked / max(1, len(raw)))
                 out.append(Leaf(text, tuple(n for n, _ in stack[-4:]), box, share))
-                tags = [n for n, _ in stack]
-                h1, h3, button, prose = "h1" in tags, "h3" in tags, "button" in tags, _sentence(text)
+                tags = {n for n, _ in stack}
+                h1, h3, button, prose, link = "h1" in tags, "h3" in tags, "button" in tags, _sentence(text), share > 0.5
                 b = box
                 while b is not None:
                     b.n += 1
-                    b.links += share > 0.5
-                    b.chars += len(text)
-                    b.prose += prose
-                    b.h1 |= h1
-                    b.h3 |= h3
-                    b.button |= button
+                    if link:
+                        b.links += 1
+                    if prose:
+                        b.prose += 1
+                    if h1:
+                        b.h1 = True
+                    if h3:
+                        b.h3 = True
+                    if button:
+                        b.button = True
                     b = b.parent
         parts, linked = [], 0
 
@@ -173,7 +181,7 @@ def labels(page: list[Leaf]) -> list[int]:
 
 
 def _bin(n: float) -> int:
-    return 0 if n <= 0 else min(9, int(np.log2(n + 1) * 1.5))
+    return 0 if n <= 0 else min(9, int(log2(n + 1) * 1.5))
 
 
 def _text_features(text: str) -> list[str]:
@@ -188,9 +196,9 @@ def _text_features(text: str) -> list[str]:
         out.append(f"sep{min(seps, 4)}")
     if "©" in text:
         out.append("copyright")
-    if any(c in text for c in "€$£¥"):
+    if _PRICE.search(text):
         out.append("price")
-    if any(c.isdigit() for c in text):
+    if _DIGIT.search(text):
         out.append("digit")
     if text.isupper():
         out.append("upper")
@@ -426,6 +434,8 @@ class Scores:
 class Labeller:
     def __init__(self, field: Field):
         self.field, self.scores = field, Scores(field)
+        # Trees of boxes hold no cycles: the collector would walk them again and again for nothing.
+        gc.set_threshold(200_000, 20, 20)
 
     def roles(self, parsed: list[list[Leaf]]) -> list[list[int]]:
         """Roles of the blocks of each page, decoded together."""
