@@ -11,6 +11,18 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+#: Bytes of a batch that a function sees at once; longer batches are cut by rows, so long texts don't add up in memory.
+BATCH_BYTES = 32 << 20
+
+
+def pieces(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``BATCH_BYTES``, at least a row each."""
+    if b.num_rows:
+        step = max(1, b.num_rows * BATCH_BYTES // max(1, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 _MOVES = re.compile(r"\b(?:Join|Aggregate|Sort|Window|Repartition|Union|Generate|Distinct|Intersect|Except|MapInArrow|MapInPandas|LocalLimit|GlobalLimit|Deduplicate)")
 
 
@@ -40,11 +52,8 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str | StructType, setup: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for b in batches:
-            if b.num_rows:
-                out = fn(b, state)
-                if isinstance(out, dict):
-                    out = [out]
-                for o in out:
-                    yield pa.RecordBatch.from_arrays([pa.array(o[f.name], f.type) for f in arrow], schema=arrow)
+            for piece in pieces(b):
+                out = fn(piece, state)
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return spread(df).mapInArrow(run, st)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from pagemill.functions.batches import spread
+from pagemill.functions.batches import pieces, spread
 from pagemill.functions.dom import HEADINGS, Node, normal, parse
 from pagemill.functions.text import fragment_lines, fragment_text, markdown, readable, words
 from pagemill.functions.urls import crawl_key, effective_base, is_external, normalise, resolve
@@ -923,7 +923,7 @@ def extract_many(pages: DataFrame, kinds: list[str], key: str = "page_id", html:
     names = {k: [f.name for f in s] for k, s in structs.items()}
 
     def run(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in pieces(batch)):
             out: dict = {k: [] for k in kinds}
             urls = b.column(2).to_pylist()
             for h, u in zip(b.column(1).to_pylist(), urls):
