@@ -197,7 +197,8 @@ class Repairer:
                 v = self.runs[run]
                 if v is None:
                     continue
-                if v[1] >= SPAN_GAIN:
+                # The only foreign characters of a line need less proof: there is no text of their script around them.
+                if v[1] >= SPAN_GAIN or v[1] > 0 and b.replace(run, "").isascii():
                     wrong += 1
                     encs[v[0]] += 1
                 elif _has_letter(run):
