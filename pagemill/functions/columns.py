@@ -33,7 +33,7 @@ def url_query(url: Column) -> Column:
 
 def kept_parameters(query: Column, remove_tracking: bool = True) -> Column:
     """Query parameters as an array: trimmed, not empty, without those that only track."""
-    parts = F.filter(F.transform(F.split(query, "&"), F.trim), lambda q: q != "")
+    parts = F.filter(F.transform(F.split(query, "&"), lambda x: F.trim(x)), lambda q: q != "")
     if remove_tracking:
         parts = F.filter(parts, lambda q: ~F.split_part(q, F.lit("="), F.lit(1)).rlike(f"^(?i:{TRACKING_PATTERN})$"))
     return parts

@@ -157,7 +157,7 @@ def feed_rows(text: str, base: str | None) -> list[dict]:
 
 
 def feeds(files: DataFrame, key: str, text: str = "content", url: str | None = "url") -> DataFrame:
-    """Items of RSS and Atom feeds with their dates as instants."""
+    """Items of RSS and Atom feeds with their dates as instants; a key named like one of their columns becomes ``source_<key>``."""
     schema = "item_ix int, feed string, title string, url string, id string, summary string, published string, updated string, author string, categories array<string>"
     f = _file_rows(files, key, text, url, feed_rows, schema)
     return f.withColumn("published", web_date(F.col("published"))).withColumn("updated", web_date(F.col("updated")))
@@ -221,7 +221,7 @@ def well_known(files: DataFrame, key: str, text: str = "content") -> DataFrame:
 
 def ads_entries(files: DataFrame, key: str, text: str = "content") -> DataFrame:
     """Seller lines of ads.txt: domain, account, relation, authority."""
-    r = well_known(files, key, text).where("name is null").select(key, "line", F.transform(F.split(F.regexp_replace("value", "#.*$", ""), ","), F.trim).alias("p")).where(F.size("p") >= 3)
+    r = well_known(files, key, text).where("name is null").select(key, "line", F.transform(F.split(F.regexp_replace("value", "#.*$", ""), ","), lambda x: F.trim(x)).alias("p")).where(F.size("p") >= 3)
     return r.select(key, "line", F.lower(F.col("p")[0]).alias("domain"), F.col("p")[1].alias("account"), F.upper(F.col("p")[2]).alias("relation"), F.try_element_at("p", F.lit(4)).alias("authority"))
 
 
@@ -247,7 +247,7 @@ def to_netscape(cookies: DataFrame) -> DataFrame:
 
 def set_cookie(header: Column) -> Column:
     """Struct of a Set-Cookie header; null without a name."""
-    parts = F.transform(F.split(header, ";"), F.trim)
+    parts = F.transform(F.split(header, ";"), lambda x: F.trim(x))
     attrs = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.slice(parts, 2, 100), lambda x: F.lower(F.split_part(x, F.lit("="), F.lit(1))))), lambda k: F.struct(k.alias("k"), F.element_at(F.filter(F.slice(parts, 2, 100), lambda x: F.lower(F.split_part(x, F.lit("="), F.lit(1))) == k), -1).alias("v"))))
     get = lambda k: F.trim(F.regexp_replace(F.try_element_at(attrs, F.lit(k)), "^[^=]*=?", ""))
     name = F.trim(F.split_part(parts[0], F.lit("="), F.lit(1)))

@@ -24,10 +24,10 @@ def test_xml(spark):
     assert T.sitemap_urls(rows).count() == 1
     rss = "<rss><channel><title>F</title><item><title>T</title><link>/x</link><guid>g</guid><pubDate>Sat, 03 Feb 2024 10:00:00 GMT</pubDate><category>c</category><category>c</category></item></channel></rss>"
     atom = "<feed xmlns='http://www.w3.org/2005/Atom'><title>F</title><entry><title>T</title><link rel='self' href='/s'/><link href='/y'/><id>i</id><updated>2024-02-03T10:00:00Z</updated></entry></feed>"
-    got = T.feeds(files(spark, rss, atom), "id").orderBy("id").collect()
+    got = T.feeds(files(spark, rss, atom), "id").orderBy("source_id").collect()
     assert got[0]["url"] == "https://e.org/x" and got[0]["categories"] == ["c"] and str(got[0]["published"]) == "2024-02-03 10:00:00"
     assert T.feeds(files(spark, rss), "url").columns[0] == "source_url"
-    assert got[1]["url"] == "https://e.org/y" and got[1]["id"] == 1
+    assert got[1]["url"] == "https://e.org/y" and got[1]["id"] == "i" and got[1]["source_id"] == 1
     saml = "<p:Response xmlns:p='urn:p'><Issuer>i</Issuer><Status><StatusCode Value='urn:x:Success'/></Status><Assertion><Conditions NotBefore='n'/><Attribute Name='mail'><AttributeValue>s</AttributeValue></Attribute></Assertion></p:Response>"
     s = T.saml_responses(files(spark, saml, "%%%"), "id").collect()
     assert len(s) == 1 and s[0]["status"] == "Success" and s[0]["attributes"] == ["mail"]
