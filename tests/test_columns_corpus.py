@@ -19,7 +19,7 @@ def one(spark, expr, **cols):
 
 
 URLS = [
-    "HTTP://User@E.org:80/a/?b=2&utm_source=x&a=1#f", "https://e.org:443", "https://e.org/a//", "https://e.org/?gclid=1", "https://e.org/x?a=1&&b", "mailto:x", "", "https://e.org:8443/p", "http://e.org/a?_hsenc=1&z=%20", "//e.org/x",
+    "HTTP://User@E.org:80/a/?b=2&utm_source=x&a=1#f", "https://e.org:443", "https://e.org/a//", "https://e.org/?gclid=1", "https://e.org/x?a=1&&b", "mailto:x", "", "https://e.org:8443/p", "http://e.org/a?_hsenc=1&z=%20", "//e.org/x", "https://e.org/?page=10&0x=01&1=0",
 ]
 
 
