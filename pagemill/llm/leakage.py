@@ -2,7 +2,8 @@
 
 Evaluation items are TF-IDF vectors over their own vocabulary, weighted by document counts over
 the whole corpus. A distributed randomised SVD of these vectors gives a latent space; windows of
-every document are folded into it and compared with the items by cosine. Each candidate pair is
+every document are folded into it and compared with the items by cosine. Runs of four words shared
+with an item are counted beside it, so that no leak is lost because its words are frequent. Each candidate pair is
 then aligned word by word: chains of shared word runs, their longest common subsequence, and the
 share of the item they hold together decide. Items are a stated query set, taken in blocks.
 """
@@ -37,6 +38,11 @@ LEAST_NORM = 1.5
 MIN_PASSAGE = 20
 MIN_SHARE = 0.4
 MIN_LCS = 0.78
+#: Words of a shared run, and edits of a leaked word up to which shared runs alone make every leak a candidate.
+RUN = 4
+EDITS = 0.12
+#: Equal words of an alignment that no cosine backs: frequent words alone align texts of one pattern, such as lists with other names.
+MIN_LCS_FREQUENT = 0.86
 
 _WORD = re.compile(r"[^\W_]+")
 _CHOICE = re.compile(r"\(([A-H])\)\s*([^()]+)")
@@ -135,6 +141,24 @@ def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 11) -> np
     return vt[keep][:rank].T
 
 
+def runs_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``RUN`` words from each position on, and whether all of them are in the vocabulary."""
+    n = max(0, len(numbers) - RUN + 1)
+    h, ok = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(RUN):
+        x = numbers[k : n + k]
+        h = (h ^ (x.astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ok &= x >= 0
+    return h, ok
+
+
+def least_runs(words: int) -> int:
+    """Positions of an item whose run must stand in a document that leaks it: an edit breaks ``RUN`` runs, a passage's end the rest."""
+    held = int(np.ceil(MIN_SHARE * words))
+    return max(1, held - (RUN - 1) * max(1, held // MIN_PASSAGE) - RUN * int(np.ceil(EDITS * held)))
+
+
 class Space:
     """Latent space of a block of items, and what aligning needs of them."""
 
@@ -157,6 +181,43 @@ class Space:
             for j in range(len(ns) - 1):
                 d[ns[j], ns[j + 1]].append(j)
             self.seeds.append(dict(d))
+        pairs = [np.unique(np.array([a * len(self.vocabulary) + b for a, b in d], np.int64)) for d in self.seeds]
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+        self.has = np.zeros((len(ids), len(self.pairs)), bool)
+        for i, x in enumerate(pairs):
+            self.has[i, np.searchsorted(self.pairs, x)] = True
+        runs = [runs_of(np.array(ns, np.int64))[0] for ns in self.numbers]
+        self.runs = np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]))
+        cell = np.concatenate([np.zeros(0, np.int64), *(np.searchsorted(self.runs, r) * len(ids) + i for i, r in enumerate(runs))])
+        cell, self.times = np.unique(cell, return_counts=True)
+        self.holders = cell % max(1, len(ids))
+        self.starts = np.searchsorted(cell // max(1, len(ids)), np.arange(len(self.runs) + 1))
+        self.least = np.array([least_runs(len(ns)) for ns in self.numbers])
+
+    def sharing(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
+        """(document, item) pairs that share enough runs of words, however frequent these are."""
+        h, ok = runs_of(flat)
+        at = np.flatnonzero(ok)
+        if not len(at) or not len(self.runs):
+            return set()
+        run = np.minimum(np.searchsorted(self.runs, h[at]), len(self.runs) - 1)
+        doc = np.searchsorted(ends, at, side="right")
+        hit = (self.runs[run] == h[at]) & (at + RUN <= ends[doc])
+        key = np.unique(doc[hit] * len(self.runs) + run[hit])
+        doc, run = key // len(self.runs), key % len(self.runs)
+        found: set[tuple[int, int]] = set()
+        at = 0
+        while at < len(doc):
+            # Some thousand documents at a time bound the table of counts.
+            stop = int(np.searchsorted(doc, doc[at] + 2048))
+            n = self.starts[run[at:stop] + 1] - self.starts[run[at:stop]]
+            rows = np.repeat(self.starts[run[at:stop]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            cell = np.repeat(doc[at:stop] - doc[at], n) * len(self.ids) + self.holders[rows]
+            count = np.bincount(cell, weights=self.times[rows], minlength=2048 * len(self.ids)).reshape(2048, -1)
+            d, i = np.nonzero(count >= self.least)
+            found.update(zip((d + doc[at]).tolist(), i.tolist()))
+            at = stop
+        return found
 
     def candidates(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs with a window whose cosine to the item is high enough."""
@@ -186,14 +247,26 @@ class Space:
             found.update(zip(doc[part[a]].tolist(), i.tolist()))
         return found
 
-    def passages(self, doc: list[int], item: int) -> list[tuple[int, int, int, int]]:
+    def shared_pairs(self, doc: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of a document where a word pair of any item stands, and the numbers of these pairs."""
+        x = np.array(doc, np.int64)
+        at = np.flatnonzero((x[:-1] >= 0) & (x[1:] >= 0)) if len(self.pairs) else np.zeros(0, np.int64)
+        code = x[at] * len(self.vocabulary) + x[at + 1] if len(at) else at
+        pair = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+        hit = self.pairs[pair] == code if len(at) else np.zeros(0, bool)
+        return at[hit], pair[hit]
+
+    def passages(self, doc: list[int], item: int, shared: tuple[np.ndarray, np.ndarray] | None = None, min_lcs: float = MIN_LCS) -> list[tuple[int, int, int, int]]:
         """(document start, end, item start, end) of the aligned passages, ends exclusive."""
-        seeds, open_, done = self.seeds[item], [], []
-        for p in range(len(doc) - 1):
-            hits = seeds.get((doc[p], doc[p + 1]))
-            if not hits:
-                continue
-            for j in hits:
+        seeds, open_, done, limit = self.seeds[item], [], [], 8
+        at, pair = shared or self.shared_pairs(doc)
+        at = at[self.has[item, pair]]
+        # Chains don't bridge more than 7 words, and a passage of enough equal words holds so many shared pairs at least.
+        least = np.ceil(MIN_PASSAGE * (3 * min_lcs - 2) - 1)
+        part = np.cumsum(np.diff(at, prepend=at[:1]) > 7)
+        at = at[np.bincount(part)[part] >= least] if len(at) else at
+        for p in at.tolist():
+            for j in seeds[doc[p], doc[p + 1]]:
                 best = None
                 for ch in open_:
                     dp, dj = p - ch[1], j - ch[3]
@@ -203,25 +276,26 @@ class Space:
                     best[1], best[3] = p, j
                 else:
                     open_.append([p, p, j, j])
-            if len(open_) > 64:
-                done += [c for c in open_ if p - c[1] > 7]
+            if len(open_) > limit:
+                done += [c for c in open_ if p - c[1] > 7 and max(c[1] - c[0], c[3] - c[2]) + 2 >= MIN_PASSAGE - 2]
                 open_ = [c for c in open_ if p - c[1] <= 7]
+                limit = max(8, 2 * len(open_))
         out = []
         for a, b, i, j in done + open_:
             if max(b - a, j - i) + 2 >= MIN_PASSAGE - 2:
                 out.append((a, b + 2, i, j + 2))
         return out
 
-    def verify(self, doc: list[int], item: int) -> tuple[float, int] | None:
+    def verify(self, doc: list[int], item: int, shared: tuple[np.ndarray, np.ndarray] | None = None, min_lcs: float = MIN_LCS) -> tuple[float, int] | None:
         """(share of the item held, passages) if the document leaks the item."""
         ns = self.numbers[item]
         held = np.zeros(len(ns), bool)
         n = 0
-        for a, b, i, j in self.passages(doc, item):
+        for a, b, i, j in self.passages(doc, item, shared, min_lcs):
             if max(b - a, j - i) < MIN_PASSAGE:
                 continue
             common = lcs(doc[a:b], ns[i:j])
-            if common >= MIN_LCS * max(b - a, j - i):
+            if common >= min_lcs * max(b - a, j - i):
                 held[i:j] = True
                 n += 1
         share = held.mean() if len(ns) else 0.0
@@ -312,12 +386,14 @@ def _block_leaks(documents: DataFrame, block: DataFrame) -> DataFrame:
         if not len(arr) or not space.ids:
             return out
         by: dict = defaultdict(list)
-        for d, i in space.candidates(arr, ends):
+        like = space.candidates(arr, ends)
+        for d, i in like | space.sharing(arr, ends):
             by[d].append(i)
         for d, its in by.items():
             mine = flat[ends[d - 1] if d else 0 : ends[d]]
+            pairs = space.shared_pairs(mine)
             for i in its:
-                v = space.verify(mine, i)
+                v = space.verify(mine, i, pairs, MIN_LCS if (d, i) in like else MIN_LCS_FREQUENT)
                 if v:
                     out["doc_id"].append(doc_ids[d])
                     out["item_id"].append(space.ids[i])

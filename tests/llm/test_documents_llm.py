@@ -106,6 +106,26 @@ def test_leaks_against_alignment_of_all_pairs(spark):
     assert leakage.leaks(D.limit(0), E).count() == 0 == leakage.leaks(D, E.limit(0)).count()
 
 
+def test_leaks_of_popular_passages(spark):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rnd.choices(words, k=100))) for i in range(30)]
+    docs, want = [], set()
+    for d in range(1500):
+        base = rnd.choices(words, k=150)
+        if d % 2 == 0:
+            i = d // 2 % 30
+            part = items[i][1].split()[20:62]
+            for at in (6, 15, 24, 33):
+                part[at] = "edited"
+            base[40:40] = part
+            want.add((d, i))
+        docs.append((d, " ".join(base)))
+    D = spark.createDataFrame(docs, "doc_id bigint, text string")
+    E = spark.createDataFrame(items, "item_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(D, E).collect()} == want
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
     rnd = random.Random(4)
