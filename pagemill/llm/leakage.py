@@ -31,9 +31,8 @@ RAREST = 20
 #: Words of a window, and the cosine from which a window makes its document a candidate.
 WINDOW = 24
 MIN_COSINE = 0.12
-#: Weighted words of a window, and the least norm it is measured by, in unseen words: a window of few light words isn't like anything.
-LEAST_WORDS = 3
-LEAST_NORM = 1.5
+#: Weighted words of a window.
+LEAST_WORDS = 2
 #: A passage has so many words in a row; the passages together this share of the item; an alignment this share of equal words.
 MIN_PASSAGE = 20
 MIN_SHARE = 0.4
@@ -229,7 +228,7 @@ class Space:
         c = np.concatenate([[0.0], np.cumsum(sq)])
         doc = np.searchsorted(ends, hot, side="right")
         stop = np.minimum(hot + WINDOW, ends[doc])
-        norm = np.maximum(np.sqrt(c[stop] - c[hot]), LEAST_NORM * self.unseen)
+        norm = np.sqrt(c[stop] - c[hot])
         last = np.searchsorted(hot, stop)
         count = last - np.arange(len(hot))
         own = np.concatenate([[0.0], np.cumsum((w[hot] ** 2).astype(np.float64))])

@@ -126,6 +126,15 @@ def test_leaks_of_popular_passages(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(D, E).collect()} == want
 
 
+def test_windows_of_an_item_in_a_third_of_the_documents():
+    vocabulary = [f"w{i:03}" for i in range(160)]
+    weights = np.where(np.arange(160) % 8 == 0, np.log(3) + 0.1, 0.0)
+    basis = (weights / np.linalg.norm(weights))[:, None]
+    space = leakage.Space([5], [" ".join(vocabulary)], vocabulary, weights, float(np.log(99_901) + 0.1), basis)
+    doc = np.array([-1] * 30 + list(range(160)) + [-1] * 30, np.int32)
+    assert space.candidates(doc, np.array([len(doc)])) == {(0, 0)}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_ITEMS", 3)
     rnd = random.Random(4)
