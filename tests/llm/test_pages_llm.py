@@ -176,6 +176,22 @@ def test_residue_pages(spark):
     assert {r["page_id"] for r in residue.without_residue(df, docs).collect()} == {5, 6, 7, 8, 9, 10, 13}
 
 
+@pytest.mark.parametrize("body, kind", [("<noscript>You need to enable JavaScript to run this app.</noscript>", "script"), ("<p>Not found</p>", "error"), ("<p>Bad gateway</p>", "error"), ("<p>Lorem ipsum</p>", "filler"), ("<p>Deep list</p>", None)])
+def test_residue_under_much_chrome(body, kind):
+    rnd = random.Random(3)
+    prose = [" ".join(rnd.choices(WORDS, k=60)) for _ in range(200)]
+    seeds = {k: v.strip().split("\n") for k, v in (("error", residue.ERROR_SEEDS), ("script", residue.SCRIPT_SEEDS), ("filler", residue.FILLER_SEEDS))}
+    main = body[3:-4] if body.startswith("<p>") else ""
+
+    class Roles:
+        def pages(self, htmls):
+            return [[(main, residue.MAIN)] if main else [] for _ in htmls]
+
+    judge = residue.Judge(residue.Ratios(prose, seeds), Roles(), encoding.Repairer(encoding.BigramModel(prose)))
+    menu = "".join(f"<li>{' '.join(rnd.choices(WORDS, k=3))}</li>" for _ in range(60))
+    assert judge.kinds([f"<body><ul>{menu}</ul>{body}"]) == [kind]
+
+
 @pytest.mark.parametrize("t", ["{{ a.b }}", "${x}", "%PAGE_TITLE%", "[Insert title here]", "<<NAME>>", "{% block x %}", "[object Object]", "{0} of {1} items", "#{a.b}", "undefined | undefined"])
 def test_placeholders(t):
     assert residue.placeholders("x " + t)
