@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from html import escape, unescape
 from math import log
 
 from pyspark.sql import DataFrame
 
 from pagemill.functions.batches import map_arrow
-from pagemill.functions.blocks import body_markup, split_blocks, title_text, without_code
+from pagemill.functions.blocks import _ATTRS, body_markup, split_blocks, title_text, without_code
 from pagemill.llm.memo import Memo
 from pagemill.llm.samples import sample_rows
 
@@ -30,6 +31,9 @@ LEGACY_MULTI = ("gb18030", "cp932", "euc_jp", "big5")
 #: Nats by which a reading must beat the text as it stands: for one UTF-8 span, and for a page under one pair of code pages.
 SPAN_GAIN = 3.0
 PAGE_GAIN = 14.0
+#: Nats by which a page's only odd run must gain, and its least characters: one run shows no pattern, so it needs more.
+RUN_GAIN = 24.0
+RUN_CHARS = 5
 #: Share of the odd characters that the pair must turn into known text.
 EXPLAINED = 0.5
 STRANGE_EXPLAINED = 0.7
@@ -42,6 +46,10 @@ _WELL_FORMED = re.compile(
 #: A run of non-ASCII characters with one neighbour on either side.
 _RUN = re.compile(r"[A-Za-z0-9]?[^\x00-\x7f]+[A-Za-z0-9]?")
 _DIGIT = re.compile(r"[0-9]")
+#: What of a page is no text to judge: comments, declarations, hidden elements and code with their content, and tags.
+_NOT_TEXT = re.compile(
+    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(script|style|template|noscript|pre|code)(?=[\s/>])(?:" + _ATTRS + r").*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:" + _ATTRS + ")", re.S | re.I
+)
 
 
 def _to_bytes_table(enc: str) -> dict[int, int]:
@@ -121,23 +129,52 @@ class BigramModel:
         return total
 
 
+class _Bytes(dict):
+    """Character -> its bytes in an encoding, None where it has none."""
+
+    def __init__(self, enc: str):
+        super().__init__()
+        self.enc = enc
+
+    def __missing__(self, c: str):
+        try:
+            v = c.encode(self.enc)
+        except UnicodeEncodeError:
+            v = None
+        self[c] = v
+        return v
+
+
+def _contains(part: str, whole: str) -> bool:
+    """Whether ``part`` is a subsequence of ``whole``."""
+    it = iter(whole)
+    return all(c in it for c in part)
+
+
+def _substitute(text: str, judged: str, fixes: dict[str, str]) -> str:
+    """``text`` with the runs of ``judged``, a text of equal length, replaced."""
+    out, at = [], 0
+    for m in _RUN.finditer(judged):
+        if m[0] in fixes:
+            out += text[at : m.start()], fixes[m[0]]
+            at = m.end()
+    return "".join(out) + text[at:]
+
+
 class Repairer:
     """Finds and repairs wrongly decoded spans; one per task."""
 
     def __init__(self, model: BigramModel):
         self.model = model
         self.tables = {e: _ByteMap(_to_bytes_table(e)) for e in SINGLE}
+        self.multi = {e: _Bytes(e) for e in MULTI}
         self.runs = Memo(self._judge)
         self.pairs = Memo(self._pair_gains)
 
     def utf8_spans(self, text: str, enc: str) -> str:
         """``text`` with its maximal well-formed multibyte spans under ``enc`` decoded; the rest untouched."""
         if enc in MULTI:
-            try:
-                b = text.encode(enc)
-                return b.decode("utf-8", "strict")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                return text
+            return self._multi_spans(text, self.multi[enc])
         mapped = text.translate(self.tables[enc])
         out, at = [], 0
         for m in _WELL_FORMED.finditer(mapped):
@@ -145,6 +182,32 @@ class Repairer:
             at = m.end()
         return text if not at else "".join(out) + text[at:]
 
+    @staticmethod
+    def _multi_spans(text: str, table: _Bytes) -> str:
+        """As ``utf8_spans``, where a character may stand for several bytes.
+
+        A span begins and ends with a character; the last one may have swallowed an ASCII letter
+        as its second byte, which is given back.
+        """
+        parts = [table[c] for c in text]
+        raw = b"".join(b"\xff" if p is None else p for p in parts).decode("latin-1")
+        if not _WELL_FORMED.search(raw):
+            return text
+        starts, ends, n = {}, {}, 0
+        for i, p in enumerate(parts):
+            starts[n] = i
+            n += len(p) if p else 1
+            ends[n] = i + 1
+        out, at = [], 0
+        for m in _WELL_FORMED.finditer(raw):
+            stop, tail = m.end(), ""
+            if stop not in ends and stop + 1 in ends and raw[stop] < "\x80":
+                tail, stop = raw[stop], stop + 1
+            if m.start() in starts and stop in ends and starts[m.start()] >= at:
+                out += text[at : starts[m.start()]], m[0].encode("latin-1").decode("utf-8"), tail
+                at = ends[stop]
+        return "".join(out) + text[at:]
+
     def _judge(self, run: str) -> tuple[str, float, str] | None:
         """Best UTF-8 reading of a run as (encoding, gain, reading), two layers deep; None when it reads well as it is."""
         if self.model.known(run):
@@ -156,7 +219,8 @@ class Repairer:
                 if new == run or not new:
                     break
                 gain = self.model.score(new) - old
-                if gain > best[1] and _ascii(new) == _ascii(run) and "�" not in new and (len(run) - len(new) > 1 or self.model.familiar(new)):
+                same = _contains(_ascii(run), _ascii(new)) if enc in MULTI else _ascii(new) == _ascii(run)
+                if gain > best[1] and same and "�" not in new and (len(run) - len(new) > 1 or self.model.familiar(new)):
                     best = (enc, gain, new)
                 deeper = self.utf8_spans(new, enc)
                 if deeper == new:
@@ -185,9 +249,9 @@ class Repairer:
                     out[wrong, right] = gain if gain < 0 or fits else 0.0
         return out
 
-    def examine(self, blocks: list[str]) -> tuple[int, str | None]:
-        """(wrong runs, likeliest encoding) over a page's blocks."""
-        wrong, encs, odd = 0, Counter(), []
+    def verdict(self, blocks: list[str], repair: bool = True) -> tuple[int, str | None, dict[str, str]]:
+        """(wrong runs, likeliest encoding, run -> restored run) over a page's blocks; without ``repair`` only what tells whether there are any."""
+        wrong, encs, odd, fixes = 0, Counter(), [], {}
         for b in blocks:
             if b.isascii():
                 continue
@@ -201,13 +265,27 @@ class Repairer:
                 if v[1] >= SPAN_GAIN or v[1] > 0 and b.replace(run, "").isascii():
                     wrong += 1
                     encs[v[0]] += 1
+                    fixes[run] = v[2]
+                    # Readings the model doesn't know wholly may be chance; one pair of code pages for all odd runs outweighs them.
+                    if repair and _has_letter(run) and not self.model.known(v[2]):
+                        odd.append(run)
                 elif _has_letter(run):
                     odd.append(run)
-        if not wrong and odd:
+        if odd and (repair or not wrong):
             pair = self.best_pair(odd)
             if pair:
-                wrong, encs = len(odd), Counter({f"{pair[1]} as {pair[0]}": 1})
-        return wrong, encs.most_common(1)[0][0] if encs else None
+                if not wrong:
+                    wrong, encs = len(odd), Counter({f"{pair[1]} as {pair[0]}": 1})
+                for r in odd if repair else ():
+                    try:
+                        fixes[r] = byte_text(r, self.tables[pair[0]]).encode("latin-1").decode(pair[1])
+                    except (UnicodeEncodeError, UnicodeDecodeError):
+                        continue
+        return wrong, encs.most_common(1)[0][0] if encs else None, fixes
+
+    def examine(self, blocks: list[str]) -> tuple[int, str | None]:
+        """(wrong runs, likeliest encoding) over a page's blocks."""
+        return self.verdict(blocks, False)[:2]
 
     def best_pair(self, odd) -> tuple[str, str] | None:
         """The pair of code pages that explains a page's odd runs together, or None.
@@ -228,7 +306,7 @@ class Repairer:
             return None
         pair, gain = gains.most_common(1)[0]
         mine = solved.get(pair, set())
-        if gain < PAGE_GAIN or len(mine) < 2:
+        if gain < PAGE_GAIN or len(mine) < 2 and (len(runs) > 1 or gain < RUN_GAIN or max(map(len, mine), default=0) < RUN_CHARS):
             return None
         size = lambda x: sum(map(len, x))
         whole = size(mine) >= EXPLAINED * size(runs)
@@ -238,18 +316,45 @@ class Repairer:
         """``text`` with every confirmed span decoded; the rest as it was."""
         if text.isascii():
             return text
-        verdicts = {r: self.runs[r] for r in set(_RUN.findall(text))}
-        sure = {r: v[2] for r, v in verdicts.items() if v and v[1] >= SPAN_GAIN}
-        # Readings the model doesn't know wholly may be chance; one pair of code pages for all odd runs outweighs them.
-        odd = {r for r, v in verdicts.items() if v and _has_letter(r) and not (r in sure and self.model.known(v[2]))}
-        pair = self.best_pair(odd) if odd else None
-        new = dict(sure)
-        for r in odd if pair else ():
-            try:
-                new[r] = byte_text(r, self.tables[pair[0]]).encode("latin-1").decode(pair[1])
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                continue
-        return _RUN.sub(lambda m: new.get(m[0], m[0]), text) if new else text
+        fixes = self.verdict([text])[2]
+        return _RUN.sub(lambda m: fixes.get(m[0], m[0]), text) if fixes else text
+
+    def repair_page(self, html: str, rounds: int = 3) -> str:
+        """Markup whose wrongly decoded title and text are restored by the verdict of ``examine``.
+
+        Only text is touched: tags, comments, scripts, styles and code stay as they are. Text whose
+        characters are written as references is judged decoded; where it changes, it is written
+        with the references that markup needs. What is joined over inline tags is judged joined. A
+        repaired page is judged again, ``rounds`` times at most: what a second wrong reading hid shows then.
+        """
+        for _ in range(rounds):
+            new = self._repair_once(html)
+            if new == html:
+                break
+            html = new
+        return html
+
+    def _repair_once(self, html: str) -> str:
+        if html.isascii() and "&" not in html:
+            return html
+        parts: list[str] = []
+        at = 0
+        for m in _NOT_TEXT.finditer(html):
+            parts += html[at : m.start()], m[0]
+            at = m.end()
+        parts.append(html[at:])
+        plain = [unescape(p) if "&" in p else p for p in parts[::2]]
+        fixes = self.verdict([title_text(html), *split_blocks(without_code(body_markup(html))), *(p for p in plain if not p.isascii())])[2]
+        if not fixes:
+            return html
+        for i, p in enumerate(plain):
+            if not p.isascii():
+                new = _RUN.sub(lambda m: fixes.get(m[0], m[0]), p)
+                if "\xa0" in new:  # blocks are judged with plain spaces
+                    new = _substitute(new, new.replace("\xa0", " "), fixes)
+                if new != p:
+                    parts[2 * i] = escape(new, False)
+        return "".join(parts)
 
 
 def fit(documents: DataFrame) -> BigramModel:
@@ -289,7 +394,7 @@ def repaired_pages(cache: DataFrame, documents: DataFrame) -> DataFrame:
 
     def fn(b, r: Repairer):
         ids, pages = b.column(0).to_pylist(), b.column(1).to_pylist()
-        new = [r.repair(h) if h else h for h in pages]
+        new = [r.repair_page(h) if h else h for h in pages]
         return {"page_id": ids, "html": new, "changed": [a != c for a, c in zip(pages, new)]}
 
     return map_arrow(cache.select("page_id", "html"), fn, "page_id bigint, html string, changed boolean", _setup(cache.sparkSession, documents))

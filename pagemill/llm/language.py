@@ -4,8 +4,9 @@ Suffix automata of labelled text, one per language, give the longest match from
 a text. Parsing a text greedily into longest matches cuts it into phrases; the language that
 needs fewest phrases for the text's length wins. Parsing starts anew at each word, so a word
 form is parsed once and its phrase counts are looked up from then on; scripts without spaces
-are parsed by whole runs. Labels of the training text may be wrong: a word profile of all
-labels first drops each sentence that its own label explains worse than another.
+are parsed by whole runs. Languages are those the labels of the data name. Labels of the training
+text may be wrong: word profiles of all labels, a document's own words left out of its own, first
+drop each sentence that its label explains worse than another, and each language with too few left.
 """
 
 from __future__ import annotations
@@ -16,22 +17,38 @@ from math import log
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
-from pagemill.llm.samples import sample_rows
-
-#: Languages told apart, with their three-letter codes and English names.
+from pagemill.llm.samples import sample_groups
+
+#: Two-letter codes of ISO 639-1. Any of them can be a label; a language is told if enough text of the sample bears it out.
+CODES = (
+    "aa ab ae af ak am an ar as av ay az ba be bg bi bm bn bo br bs ca ce ch co cr cs cu cv cy da de dv dz ee el en eo es et eu fa ff fi fj fo fr fy ga gd gl gn gu gv ha he hi ho hr ht hu hy hz ia id ie ig ii ik io is it "
+    "iu ja jv ka kg ki kj kk kl km kn ko kr ks ku kv kw ky la lb lg li ln lo lt lu lv mg mh mi mk ml mn mr ms mt my na nb nd ne ng nl nn no nr nv ny oc oj om or os pa pi pl ps pt qu rm rn ro ru rw sa sc sd se sg si sk sl sm "
+    "sn so sq sr ss st su sv sw ta te tg th ti tk tl tn to tr ts tt tw ty ug uk ur uz ve vi vo wa wo xh yi yo za zh zu"
+).split()
+#: Three-letter codes and English names of common languages.
 LANGUAGES = {
     "en": ("eng", "english"), "de": ("deu", "ger", "german"), "es": ("spa", "spanish"), "fr": ("fra", "fre", "french"),
     "ru": ("rus", "russian"), "pl": ("pol", "polish"), "cs": ("ces", "cze", "czech"), "it": ("ita", "italian"),
     "uk": ("ukr", "ukrainian"), "pt": ("por", "portuguese"), "zh": ("zho", "chi", "chinese"), "sv": ("swe", "swedish"),
-    "nl": ("nld", "dut", "dutch"), "ja": ("jpn", "japanese"),
+    "nl": ("nld", "dut", "dutch"), "ja": ("jpn", "japanese"), "fi": ("fin", "finnish"), "tr": ("tur", "turkish"), "ar": ("ara", "arabic"),
+    "ko": ("kor", "korean"), "da": ("dan", "danish"), "no": ("nor", "norwegian"), "hu": ("hun", "hungarian"), "ro": ("ron", "rum", "romanian"),
+    "el": ("ell", "gre", "greek"), "he": ("heb", "hebrew"), "hi": ("hin", "hindi"), "th": ("tha", "thai"), "vi": ("vie", "vietnamese"),
+    "id": ("ind", "indonesian"), "bg": ("bul", "bulgarian"), "hr": ("hrv", "croatian"), "sk": ("slk", "slo", "slovak"), "sl": ("slv", "slovenian"),
+    "lt": ("lit", "lithuanian"), "lv": ("lav", "latvian"), "et": ("est", "estonian"), "fa": ("fas", "per", "persian"), "ca": ("cat", "catalan"), "sr": ("srp", "serbian"),
 }
-_NAME = {n: k for k, names in LANGUAGES.items() for n in (k, *names)}
+_NAME = {c: c for c in CODES} | {n: k for k, names in LANGUAGES.items() for n in names}
 
 #: Word forms per language that go into its automaton, most frequent first, and characters of unspaced text. Bounds of the model.
 MAX_WORDS = 3000
 MAX_RUN_CHARS = 20_000
+#: A language of the sample is told apart if so many documents bear it and so large a share of their sentences is explained best by the other documents of its label.
+LEAST_DOCS = 4
+LEAST_AGREEING = 0.5
+#: Pseudo-count of a word in a language's profile.
+SMOOTHING = 0.3
 #: A full sentence has so many words, or characters of an unspaced script.
 FULL_WORDS = 3
 FULL_CHARS = 6
@@ -51,7 +68,7 @@ _IS_CJK = re.compile(f"[{_CJK}]")
 
 
 def language_code(label: str | None) -> str | None:
-    """Two-letter code of a label in any usual spelling (case, region, three letters, English name); None if it is no language."""
+    """Two-letter code of a label in any usual spelling (case, region, three letters or English name of a common language); None if it is no language."""
     if not label:
         return None
     return _NAME.get(re.split(r"[-_]", label.strip().lower())[0])
@@ -137,16 +154,18 @@ def sentences(text: str) -> list[tuple[list[str], bool]]:
 
 
 class Model:
-    """Automata of all languages, fitted on (label, text) rows."""
+    """Automata of all languages the labelled rows bear out, fitted on (label, text) rows."""
 
     def __init__(self, rows):
-        by: dict[str, list[list[str]]] = defaultdict(list)
+        by: dict[str, list[list[list[str]]]] = defaultdict(list)
         for label, text in rows:
             code = language_code(label)
             if code and text:
-                by[code] += [w for w, _ in sentences(text) if len(w) > 2 or _IS_CJK.match(w[0])]
-        self.codes = sorted(by)
-        kept = self._agreeing(by)
+                doc = [w for w, _ in sentences(text) if len(w) > 2 or _IS_CJK.match(w[0])]
+                if doc:
+                    by[code].append(doc)
+        kept = self._agreeing({c: by[c] for c in sorted(by)})
+        self.codes = sorted(kept)
         self.automata = []
         for code in self.codes:
             words: Counter = Counter()
@@ -161,25 +180,36 @@ class Model:
             common = [w for w, n in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS] if n > 1]
             self.automata.append(Automaton(common + list(dict.fromkeys(runs))))
 
-    def _agreeing(self, by: dict[str, list[list[str]]]) -> dict[str, list[list[str]]]:
-        """Sentences that their own label's word profile explains best."""
-        def units(s):
-            return [u for w in s for u in ([w[i : i + 2] for i in range(len(w))] if _IS_CJK.match(w) else [w.lower()])]
-
-        counts = {c: Counter(u for s in by[c] for u in units(s)) for c in self.codes}
-        total = {c: sum(x.values()) + 1 for c, x in counts.items()}
-        memo: dict[str, np.ndarray] = {}
-
-        def weight(u: str) -> np.ndarray:
-            w = memo.get(u)
-            if w is None:
-                w = memo[u] = np.array([log((counts[c][u] + 0.3) / total[c]) for c in self.codes])
-            return w
-
-        out = {}
-        for i, c in enumerate(self.codes):
-            out[c] = [s for s in by[c] if (v := sum(map(weight, units(s))))[i] >= v.max() - 1e-9]
-        return out
+    @staticmethod
+    def _agreeing(by: dict[str, list[list[list[str]]]]) -> dict[str, list[list[str]]]:
+        """Per language the sentences that the other documents of their label explain best; languages with too few are left out."""
+        numbers: dict[str, int] = {}
+
+        def units(s: list[str]) -> list[int]:
+            us = [u for w in s for u in ([w[i : i + 2] for i in range(len(w))] if _IS_CJK.match(w) else [w.lower()])]
+            return [numbers.setdefault(u, len(numbers)) for u in us]
+
+        docs = [(k, [(s, np.array(units(s))) for s in d]) for k, c in enumerate(by) for d in by[c]]
+        counts = np.zeros((len(numbers), len(by)))
+        for k, d in docs:
+            np.add.at(counts[:, k], np.concatenate([u for _, u in d]), 1)
+        total = counts.sum(0) + SMOOTHING * len(numbers)
+        logs = np.log(counts + SMOOTHING)
+        out: dict[str, list] = {c: [] for c in by}
+        seen = Counter()
+        codes = list(by)
+        for k, d in docs:
+            mine = np.concatenate([u for _, u in d])
+            at, n = np.unique(mine, return_counts=True)
+            own = dict(zip(at.tolist(), np.log(counts[at, k] - n + SMOOTHING).tolist()))
+            size = total[k] - len(mine)
+            for s, u in d:
+                v = logs[u].sum(0) - len(u) * np.log(total)
+                v[k] = sum(map(own.__getitem__, u.tolist())) - len(u) * log(size)
+                seen[codes[k]] += 1
+                if v[k] >= v.max() - 1e-9:
+                    out[codes[k]].append(s)
+        return {c: x for c, x in out.items() if len(by[c]) >= LEAST_DOCS and len(x) >= LEAST_AGREEING * seen[c]}
 
 
 class Identifier:
@@ -272,8 +302,10 @@ class Identifier:
 
 
 def fit(documents: DataFrame) -> Model:
-    """Automata from a bounded sample of labelled documents."""
-    return Model((r["lang"], r["text"]) for r in sample_rows(documents, "doc_id", ["lang", "text"], "text"))
+    """Automata from a bounded sample of labelled documents, an equal share for each language the labels name."""
+    names = F.create_map(*[F.lit(x) for pair in _NAME.items() for x in pair])
+    code = F.try_element_at(names, F.split_part(F.translate(F.lower(F.trim("lang")), "_", "-"), F.lit("-"), F.lit(1)))
+    return Model((r["lang"], r["text"]) for r in sample_groups(documents, "doc_id", code, ["lang", "text"], "text"))
 
 
 def _identifier(documents: DataFrame):

@@ -48,6 +48,30 @@ def test_code_pages_and_lost_text(repairer):
     assert repairer.examine(["5 µs ± 3 % © 2024 – “x” €"])[0] == 0
 
 
+@pytest.mark.parametrize("enc", ["cp932", "gb18030", "cp949", "big5", "euc_jp"])
+def test_spans_under_multibyte_code_pages(repairer, enc):
+    bad = CLEAN[1].encode().decode(enc, "replace")
+    if "\ufffd" not in bad:
+        assert repairer.repair(bad) == CLEAN[1]
+    assert repairer.examine([bad])[0] > 0
+
+
+def test_pages_are_repaired_as_they_are_found(repairer):
+    bad = CLEAN[0].encode().decode("cp1252", "replace").replace("\ufffd", "x")
+    refs = "".join(c if c < "\x80" else f"&#{ord(c)};" for c in bad)
+    html = f"<title>{bad}</title><p title='{bad}'>{refs} &lt;b&gt;</p><pre>{bad}</pre><p>see <code>{bad}</code> <!-- {bad} --></p>"
+    new = repairer.repair_page(html)
+    assert new.count(bad) == 4 and "&#" not in new and "&lt;b&gt;" in new and new.count("Café") == 2
+    assert not repairer.examine(visible_blocks(new.replace(f"<pre>{bad}</pre>", "").replace(f"<code>{bad}</code>", "")))[0]
+    assert repairer.repair_page(new) == new and repairer.repair_page("<p>plain &amp; simple</p>") == "<p>plain &amp; simple</p>"
+
+
+def test_one_run_alone(repairer):
+    bad = CLEAN[6].encode("gb18030").decode("latin-1")
+    run = "".join(c for c in bad if c > "\x80")[:16]
+    assert repairer.examine([f"Title {run}"])[0] > 0 and repairer.examine(["Title ±§"])[0] == 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
 def test_spans_never_fail_and_keep_ascii(text):
