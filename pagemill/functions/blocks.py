@@ -68,6 +68,16 @@ def split_blocks(markup: str) -> list[str]:
     return out
 
 
+def split_at(markup: str) -> list[tuple[str, int]]:
+    """Blocks of cleaned markup, each with the position at which its text begins."""
+    out, at = [], 0
+    for m in _BLOCK_TAG.finditer(markup):
+        if m.start() > at:
+            out += [(b, at) for b in split_blocks(markup[at : m.start()])]
+        at = m.end()
+    return out + [(b, at) for b in split_blocks(markup[at:])]
+
+
 def visible_blocks(html: str | None) -> list[str]:
     """Blocks of a page in document order; none for a null or empty page."""
     return split_blocks(body_markup(html)) if html else []
