@@ -13,6 +13,7 @@ from __future__ import annotations
 import gc
 import re
 from html import unescape
+from itertools import islice
 from math import log2
 
 import numpy as np
@@ -22,11 +23,14 @@ from pyspark.sql import functions as F
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import _ATTRS, INLINE, body_markup, crc, squeeze
 from pagemill.llm.memo import Memo
-from pagemill.llm.samples import sample_rows
+from pagemill.llm.samples import PAGE_CHARS, sample_rows
 
 ROLES = ("main", "menu", "crumb", "consent", "sidebar", "footer")
 MAIN = 0
 SAMPLE_PAGES = 1500
+#: Blocks of the longest page that is trained on: a bound of the driver's memory. Every page is decoded, however long.
+MAX_BLOCKS = 5000
+MOST_WORDS = 96
 FEATURES = 1 << 14
 EPOCHS = 12
 
@@ -185,7 +189,8 @@ def _bin(n: float) -> int:
 
 
 def _text_features(text: str) -> list[str]:
-    words = [w.lower() for w in _WORD.findall(text[:400])]
+    # The largest bin begins below MOST_WORDS, so counting stops there; words are looked for in the whole text.
+    words = [m[0].lower() for m in islice(_WORD.finditer(text), MOST_WORDS)]
     out = [f"len{_bin(len(text))}", f"words{_bin(len(words))}"]
     if _sentence(text):
         out.append("sentence")
@@ -348,7 +353,7 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 7) -> Field:
     box, leaf, text, data = Memo(_box_slots), Memo(_leaf_slots), Memo(_text_slots), []
     for html in pages:
         page = leaves(html)
-        if 1 <= len(page) <= 400:
+        if 1 <= len(page) <= MAX_BLOCKS:
             keys = block_keys(page)
             data.append(([box[a][0] + leaf[b] + text[c] for a, b, c in keys], [box[a][1] for a, _, _ in keys], np.array(labels(page))))
     k = len(ROLES)
@@ -394,8 +399,8 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 7) -> Field:
 
 
 def fit(cache: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
-    """Field trained on a bounded sample of cached pages."""
-    return train([r["html"] for r in sample_rows(cache, "page_id", ["html"], "html", rows)])
+    """Field trained on a bounded sample of cached pages (``rows`` pages of at most ``samples.PAGE_CHARS`` characters)."""
+    return train([r["html"] for r in sample_rows(cache, "page_id", ["html"], "html", rows, PAGE_CHARS)])
 
 
 class Scores:

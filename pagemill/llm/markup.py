@@ -9,6 +9,8 @@ and LaTeX source is found by one grammar per kind.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from html import unescape
 from html.entities import html5
 
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
-from pagemill.functions.blocks import _ATTRS, body_markup, split_blocks, without_code
+from pagemill.functions.blocks import _ATTRS, _CODE as CODE, body_markup, split_at, split_blocks
 from pagemill.llm.memo import Memo
 from pagemill.llm.site_lines import page_hosts
 from pagemill.session import materialise
@@ -25,6 +27,8 @@ from pagemill.session import materialise
 MIN_PAGES = 4
 MIN_SHARE = 0.2
 SALTS = 16
+#: Subtrees kept around a block, outermost first. A block that only a deeper subtree makes part of a template is judged on its page, to the same verdict.
+CHAIN = 64
 
 #: Element names of HTML and MathML that count as markup when they show as text.
 TAGS = (
@@ -93,39 +97,89 @@ _NO_TREE = frozenset("html body main b i em strong span code a u s sub sup small
 _DIGITS = re.compile("[0-9]+")
 
 
+def _normal(text: str) -> str:
+    """White space squeezed and digit runs as one class, so counters and dates don't hide a template."""
+    return _DIGITS.sub("#", " ".join(text.split()))
+
+
 def subtrees(markup: str) -> list[tuple[int, int, int]]:
     """(start, end, hash) of the element subtrees of cleaned markup, inner ones first.
 
-    Unclosed elements end with their parent. The hash is of the subtree's markup with white
-    space squeezed and digit runs as one class, so counters and dates don't hide a template.
+    Unclosed elements end with their parent. A subtree's hash is of its opening tag, its text and
+    the hashes of its children, so each character is hashed once, however deep the page.
     """
     out: list[tuple[int, int, int]] = []
-    stack: list[tuple[str, int]] = []
-
-    def close(name: str, start: int, end: int) -> None:
+    names: list[str] = []
+    starts: list[int] = []
+    parts: list[list[str]] = [[]]
+    open_: Counter = Counter()
+    at = 0
+
+    def close(end: int) -> None:
+        name, start, mine = names.pop(), starts.pop(), parts.pop()
+        open_[name] -= 1
+        h = xxhash.xxh3_64_intdigest("\x1f".join(mine).encode("utf-8", "surrogatepass"))
         if name not in _NO_TREE:
-            text = _DIGITS.sub("#", " ".join(markup[start:end].split()))
-            h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
             out.append((start, end, h - (1 << 64) if h >= 1 << 63 else h))
+        parts[-1].append(str(h))
 
     for m in _ELEMENT.finditer(markup):
+        s, e = m.span()
+        if s > at and (text := markup[at:s]) and not text.isspace():
+            parts[-1].append(_normal(text))
+        at = e
         name = m[2].lower()
         if m[1]:
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, at = stack.pop()
-                    close(n, at, m.end() if n == name else m.start())
-                    if n == name:
-                        break
-        elif name not in _VOID:
-            if stack and stack[-1][0] in _IMPLIED.get(name, ()):
-                close(*stack.pop(), m.start())
-            stack.append((name, m.start()))
-    while stack:
-        close(*stack.pop(), len(markup))
+            if open_[name]:
+                while names[-1] != name:
+                    close(s)
+                close(e)
+        elif name in _VOID:
+            parts[-1].append(_normal(m[0]))
+        else:
+            if names and names[-1] in _IMPLIED.get(name, ()):
+                close(s)
+            names.append(name)
+            starts.append(s)
+            open_[name] += 1
+            parts.append([_normal(m[0])])
+    if at < len(markup) and not markup[at:].isspace():
+        parts[-1].append(_normal(markup[at:]))
+    while names:
+        close(len(markup))
     return out
 
 
+def _enclosing(trees: list[tuple[int, int, int]]):
+    """A function from a position to the hashes of the subtrees around it, outermost first."""
+    order = sorted(trees, key=lambda t: (t[0], -t[1]))
+    starts = [t[0] for t in order]
+    parent: list[int] = []
+    stack: list[int] = []
+    for i, (a, _, _) in enumerate(order):
+        while stack and order[stack[-1]][1] <= a:
+            stack.pop()
+        parent.append(stack[-1] if stack else -1)
+        stack.append(i)
+
+    def around(pos: int) -> list[int]:
+        i = bisect_right(starts, pos) - 1
+        while i >= 0 and order[i][1] <= pos:
+            i = parent[i]
+        chain = []
+        while i >= 0:
+            chain.append(order[i][2])
+            i = parent[i]
+        return chain[::-1]
+
+    return around
+
+
+def _without_code(markup: str) -> str:
+    """Markup of equal length with code blanked out; preformatted code ends a block."""
+    return CODE.sub(lambda m: "<hr" + " " * (len(m[0]) - 4) + ">" if m[1].lower() == "pre" else " " * len(m[0]), markup)
+
+
 def drop_subtrees(markup: str, gone: set[int]) -> str:
     """Markup without the subtrees whose hash is in ``gone``."""
     spans = sorted((a, b) for a, b, h in subtrees(markup) if h in gone)
@@ -138,64 +192,98 @@ def drop_subtrees(markup: str, gone: set[int]) -> str:
 
 
 def page_trees(cache: DataFrame) -> DataFrame:
-    """``page_id, trees, residue``: subtree hashes and, per block with residue, its kinds and innermost subtree.
+    """``page_id, trees, suspects``: subtree hashes, and the blocks that hold a character of some markup.
 
-    Null and empty html give empty arrays. The residue of a block inside several subtrees is held
-    once, by the innermost that contains it.
+    A suspect is a block's text outside code, not yet judged, with the subtrees around it, outermost
+    first. Null and empty html give empty arrays.
     """
 
     def one(html: str) -> tuple[list, list]:
         markup = body_markup(html)
         trees = subtrees(markup)
-        residue = []
-        plain = without_code(markup)
-        if _HINT.search(plain) or "&" in plain:
-            kinds = sorted({k for b in split_blocks(plain) for k in residue_kinds(b)})
-            if kinds:
-                left = set(kinds)
-                for a, b, h in trees:
-                    if not left:
-                        break
-                    mine = {k for x in split_blocks(without_code(markup[a:b])) for k in residue_kinds(x)} & left
-                    residue += [{"tree": h, "kind": k} for k in sorted(mine)]
-                    left -= mine
-                residue += [{"tree": 0, "kind": k} for k in sorted(left)]
-        return list(dict.fromkeys(h for _, _, h in trees)), residue
+        plain = _without_code(markup)
+        suspects, around, seen = [], None, set()
+        for text, at in split_at(plain):
+            if _HINT.search(text):
+                around = around or _enclosing(trees)
+                chain = around(at)[:CHAIN]
+                if (text, tuple(chain)) not in seen:
+                    seen.add((text, tuple(chain)))
+                    suspects.append({"text": text, "around": chain})
+        return list(dict.fromkeys(h for _, _, h in trees)), suspects
 
     def fn(b, _):
         got = [one(h) if h else ([], []) for h in b.column(1).to_pylist()]
-        return {"page_id": b.column(0).to_pylist(), "trees": [g[0] for g in got], "residue": [g[1] for g in got]}
+        return {"page_id": b.column(0).to_pylist(), "trees": [g[0] for g in got], "suspects": [g[1] for g in got]}
 
-    return map_arrow(cache.select("page_id", "html"), fn, "page_id bigint, trees array<bigint>, residue array<struct<tree:bigint,kind:string>>")
+    return map_arrow(cache.select("page_id", "html"), fn, "page_id bigint, trees array<bigint>, suspects array<struct<text:string,around:array<bigint>>>")
 
 
-def site_templates(trees: DataFrame, hosts: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``host, tree``: subtrees on at least ``min_pages`` pages and ``min_share`` of the host's pages."""
-    t = trees.join(hosts.select("page_id", "host"), "page_id").select("host", "trees")
-    need = t.groupBy("host").agg(F.greatest(F.lit(min_pages), F.ceil(F.count("*") * min_share - 1e-9)).alias("need"))
+def site_templates(trees: DataFrame, hosts: DataFrame, min_urls: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, tree``: subtrees on at least ``min_urls`` addresses and ``min_share`` of the host's addresses.
+
+    Addresses count, not records: a page fetched again and again is one address, so its own text
+    is no template.
+    """
+    t = trees.join(hosts.select("page_id", "host", F.xxhash64("url").alias("u")), "page_id").select("host", "u", "trees")
+    need = t.select("host", "u").distinct().groupBy("host").agg(F.greatest(F.lit(min_urls), F.ceil(F.count("*") * min_share - 1e-9)).alias("need"))
+    # Pages bound addresses: what stands on too few pages is dropped before addresses are told apart.
     n = t.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
-    return n.join(need, "host").where("n >= need").select("host", "tree")
+    some = n.join(need, "host").where("n >= need").select("host", "tree", "need")
+    per = t.select("host", "u", F.explode("trees").alias("tree")).join(some, ["host", "tree"]).select("host", "tree", "need", "u").distinct()
+    return per.groupBy("host", "tree", "need").agg(F.count("*").alias("urls")).where("urls >= need").select("host", "tree")
+
+
+def known_trees(templates: DataFrame, salts: int = SALTS) -> DataFrame:
+    """``host, salt, known``: a host's template subtrees as one array, repeated for each salt.
+
+    A subtree stands on a fifth of the host's addresses at least, so there are at most five times as
+    many as a page has subtrees on average: the array is bounded.
+    """
+    return templates.groupBy("host").agg(F.collect_set("tree").alias("known")).select("host", "known", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
 
 
 def found(cache: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, field, kind``: pages and titles that show source markup.
 
-    Residue in a deleted template subtree is judged once per host and subtree and returned for
-    each page that holds it; residue in what remains is returned per page.
+    Template subtrees are taken out of the pages: what they hold is judged once per host, subtree
+    and text, and the verdict goes to each page that holds them. What is left of a page is judged
+    on its own. Pages of unknown host have no templates. Null and empty html show nothing.
     """
     hosts = page_hosts(pages)
     trees = materialise(page_trees(cache))
-    templates = site_templates(trees, hosts)
-    dirty = trees.where(F.size("residue") > 0).select("page_id", F.explode("residue").alias("r")).select("page_id", "r.tree", "r.kind")
-    dirty = dirty.join(hosts.select("page_id", "host"), "page_id", "left")
-    known = dirty.join(templates, ["host", "tree"], "left_semi")
-    once = known.select("host", "tree", "kind").distinct()
-    in_template = known.select("page_id", "host", "tree").join(once, ["host", "tree"]).select("page_id", "kind")
-    kept = dirty.join(templates, ["host", "tree"], "left_anti").select("page_id", "kind")
-    body = in_template.unionByName(kept).select("page_id", F.lit("html").alias("field"), "kind")
+    per_host = known_trees(site_templates(trees, hosts))
+    some = trees.where(F.size("suspects") > 0).select("page_id", F.explode("suspects").alias("s")).select("page_id", "s.text", "s.around")
+    some = some.join(hosts.select("page_id", "host"), "page_id", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    some = some.join(per_host, ["host", "salt"], "left")
+    tree = F.try_element_at(F.filter("around", lambda t: F.array_contains("known", t)), F.lit(1))
+    some = materialise(some.select("page_id", "host", "salt", "text", tree.alias("tree")))
+    # One row per host, subtree and text stands for all pages that hold them.
+    inside = some.where("tree is not null").withColumn("t", F.xxhash64("text"))
+    once = inside.groupBy("host", "tree", "t").agg(F.min("text").alias("text"))
+    shown = _judge(once.select(F.struct("host", "tree", "t").alias("k"), "text"), "k struct<host:string,tree:bigint,t:bigint>")
+    shown = shown.select("k.host", "k.tree", "k.t", "kind", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    judged = inside.select("page_id", "host", "tree", "t", "salt").join(shown, ["host", "tree", "t", "salt"]).select("page_id", "kind")
+    left = _judge(some.where("tree is null").select("page_id", "text"), "page_id bigint")
+    body = judged.unionByName(left).select("page_id", F.lit("html").alias("field"), "kind")
     return body.unionByName(dirty_titles(pages)).distinct()
 
 
+def _judge(texts: DataFrame, key: str) -> DataFrame:
+    """The key with each kind of markup its text shows."""
+    name = key.split(" ")[0]
+
+    def fn(b, memo):
+        out: dict = {name: [], "kind": []}
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for kind in memo[t]:
+                out[name].append(k)
+                out["kind"].append(kind)
+        return out
+
+    return map_arrow(texts, fn, f"{key}, kind string", lambda: Memo(residue_kinds))
+
+
 def dirty_titles(pages: DataFrame) -> DataFrame:
     """``page_id, field, kind`` for titles that show markup as stored; null titles give nothing."""
 
@@ -301,8 +389,7 @@ def clean_pages(cache: DataFrame, pages: DataFrame) -> DataFrame:
     """
     hosts = page_hosts(pages)
     trees = materialise(page_trees(cache).select("page_id", "trees"))
-    per_host = site_templates(trees, hosts).groupBy("host").agg(F.collect_set("tree").alias("known"))
-    per_host = per_host.select("host", "known", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    per_host = known_trees(site_templates(trees, hosts))
     mine = trees.join(hosts.select("page_id", "host"), "page_id").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     gone = mine.join(per_host, ["host", "salt"]).select("page_id", F.array_intersect("trees", "known").alias("gone"))
     j = cache.select("page_id", "html").join(gone, "page_id", "left")

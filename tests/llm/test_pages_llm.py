@@ -123,6 +123,38 @@ def test_markup_over_pages(spark):
     assert markup.found(c.limit(0), p.limit(0)).count() == 0
 
 
+def test_subtrees_are_hashed_once():
+    from time import perf_counter
+
+    deep = "<div>" * 4000 + "x" + "</div>" * 4000
+    at = perf_counter()
+    assert len(markup.subtrees(deep)) == 4000 and perf_counter() - at < 0.5
+    a, b = markup.subtrees("<div><p>Page 3</p><p>b</p></div>"), markup.subtrees("<ul><div>\n<p>Page  12</p> <p>b</p></div></ul>")
+    assert [h for _, _, h in a] == [h for _, _, h in b][:3] and len({h for _, _, h in b}) == 4
+    assert markup.drop_subtrees("<p>a</p><div><p>b</p></div>", {h for _, _, h in markup.subtrees("<div><p>b</p></div>")}).startswith("<p>a</p>")
+
+
+def test_own_text_of_an_address_fetched_often_is_no_template(spark):
+    rows = [(i, f"<body><p>own text {i // 5 * 'x'}</p><div>menu</div>", 0, "") for i in range(30)]
+    pages = [(i, "h", f"u{i // 5}", None, "") for i in range(30)]
+    c, p = spark.createDataFrame(rows, CACHE), spark.createDataFrame(pages, PAGES)
+    assert {r["text"] for r in markup.clean_pages(c, p).collect()} == {f"own text {k * 'x'}".strip() for k in range(6)}
+
+
+def test_template_verdicts_match_page_by_page(spark):
+    rnd = random.Random(8)
+    bits = ["a **b** c", "plain | menu", "x &amp;amp; y", "[[Page]]", "text", r"\emph{x}", "# 3", "<code>**n**</code>"]
+    rows, pages = [], []
+    for i in range(150):
+        shared = f"<nav><p>{bits[0] if i % 2 else bits[4]}</p></nav>"
+        own = "".join(f"<div><p>{rnd.choice(bits)} {i}</p></div>" for _ in range(3))
+        rows.append((i, f"<body>{shared}<section>{own}</section>", 0, ""))
+        pages.append((i, "big" if i % 3 else f"h{i % 9}", f"u{i}", None, ""))
+    c, p = spark.createDataFrame(rows, CACHE), spark.createDataFrame(pages, PAGES)
+    want = {(i, k) for i, h, _, _ in rows for b in visible_blocks(h.replace("<code>**n**</code>", "")) for k in markup.residue_kinds(b)}
+    assert {(r["page_id"], r["kind"]) for r in markup.found(c, p).collect()} == want
+
+
 def page(i, words):
     body = "".join(f"<p>{' '.join(words.choices(WORDS, k=14)).capitalize()}.</p>" for _ in range(4))
     chrome = "<div id=menu>" + "".join(f"<li><a href=/{k}>{w}</a></li>" for k, w in enumerate(("Home", "Docs", "Blog", "About"))) + "</div>"
