@@ -154,9 +154,12 @@ def sentences(text: str) -> list[tuple[list[str], bool]]:
 
 
 class Model:
-    """Automata of all languages the labelled rows bear out, fitted on (label, text) rows."""
+    """Automata of all languages the labelled rows bear out, fitted on (label, text) rows.
 
-    def __init__(self, rows):
+    ``sizes`` tells how many rows of the table bear each language's label, where the rows are a sample.
+    """
+
+    def __init__(self, rows, sizes: dict[str, int] | None = None):
         by: dict[str, list[list[list[str]]]] = defaultdict(list)
         for label, text in rows:
             code = language_code(label)
@@ -164,7 +167,7 @@ class Model:
                 doc = [w for w, _ in sentences(text) if len(w) > 2 or _IS_CJK.match(w[0])]
                 if doc:
                     by[code].append(doc)
-        kept = self._agreeing({c: by[c] for c in sorted(by)})
+        kept = self._agreeing({c: by[c] for c in sorted(by)}, sizes or {})
         self.codes = sorted(kept)
         self.automata = []
         for code in self.codes:
@@ -181,7 +184,7 @@ class Model:
             self.automata.append(Automaton(common + list(dict.fromkeys(runs))))
 
     @staticmethod
-    def _agreeing(by: dict[str, list[list[list[str]]]]) -> dict[str, list[list[str]]]:
+    def _agreeing(by: dict[str, list[list[list[str]]]], sizes: dict[str, int]) -> dict[str, list[list[str]]]:
         """Per language the sentences that the other documents of their label explain best; languages with too few are left out."""
         numbers: dict[str, int] = {}
 
@@ -195,6 +198,8 @@ class Model:
             np.add.at(counts[:, k], np.concatenate([u for _, u in d]), 1)
         total = counts.sum(0) + SMOOTHING * len(numbers)
         logs = np.log(counts + SMOOTHING)
+        # Where two labels explain a sentence alike, the one that more documents bear is the language's name.
+        prior = np.log([max(1, sizes.get(c, len(d))) for c, d in by.items()])
         out: dict[str, list] = {c: [] for c in by}
         seen = Counter()
         codes = list(by)
@@ -204,8 +209,8 @@ class Model:
             own = dict(zip(at.tolist(), np.log(counts[at, k] - n + SMOOTHING).tolist()))
             size = total[k] - len(mine)
             for s, u in d:
-                v = logs[u].sum(0) - len(u) * np.log(total)
-                v[k] = sum(map(own.__getitem__, u.tolist())) - len(u) * log(size)
+                v = prior + logs[u].sum(0) - len(u) * np.log(total)
+                v[k] = prior[k] + sum(map(own.__getitem__, u.tolist())) - len(u) * log(size)
                 seen[codes[k]] += 1
                 if v[k] >= v.max() - 1e-9:
                     out[codes[k]].append(s)
@@ -305,7 +310,8 @@ def fit(documents: DataFrame) -> Model:
     """Automata from a bounded sample of labelled documents, an equal share for each language the labels name."""
     names = F.create_map(*[F.lit(x) for pair in _NAME.items() for x in pair])
     code = F.try_element_at(names, F.split_part(F.translate(F.lower(F.trim("lang")), "_", "-"), F.lit("-"), F.lit(1)))
-    return Model((r["lang"], r["text"]) for r in sample_groups(documents, "doc_id", code, ["lang", "text"], "text"))
+    rows = sample_groups(documents, "doc_id", code, ["lang", "text"], "text")
+    return Model(((r["lang"], r["text"]) for r in rows), {r["_g"]: r["_s"] for r in rows})
 
 
 def _identifier(documents: DataFrame):

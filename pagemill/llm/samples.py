@@ -45,7 +45,8 @@ def sample_groups(df: DataFrame, key: str, group: Column, columns: list[str], te
     """Rows of least key hash of each of the ``MAX_GROUPS`` commonest groups, an equal share of ``rows`` for each.
 
     A rare group gives all its rows, so what is rare in the table is not rare in the sample. Rows
-    of a null group are left out. Each result row has its group in ``_g``.
+    of a null group are left out. Each result row has its group in ``_g`` and, in ``_s``, how many
+    rows of the table the group has.
     """
     some = df.where(F.col(text).isNotNull() & F.length(text).between(20, chars)).select(*columns, group.alias("_g"), F.xxhash64(key).alias("_h")).where("_g is not null")
     sizes = some.groupBy("_g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_g").limit(MAX_GROUPS).collect()
@@ -54,7 +55,8 @@ def sample_groups(df: DataFrame, key: str, group: Column, columns: list[str], te
     per = max(1, rows // len(sizes))
     limits = {r["_g"]: int(-(2**63) + 2**64 * min(1.0, 1.5 * per / r["n"])) if r["n"] > 2 * per else 2**63 - 1 for r in sizes}
     spark = df.sparkSession
-    table = spark.createDataFrame(list(limits.items()), "_g string, _t bigint")  # at most MAX_GROUPS rows
+    size = {r["_g"]: r["n"] for r in sizes}
+    table = spark.createDataFrame([(g, t, size[g]) for g, t in limits.items()], "_g string, _t bigint, _s bigint")  # at most MAX_GROUPS rows
     got = some.join(F.broadcast(table), "_g").where("_h <= _t").drop("_t").collect()
     out: dict[str, list] = {}
     for r in sorted(got, key=lambda r: r["_h"]):

@@ -196,4 +196,30 @@ def test_languages(spark):
     seg = [(r["segment"], r["lang"], r["sentences"]) for r in language.segments(df).where("doc_id = 1003").orderBy("segment").collect()]
     assert seg == [(0, "en", 4), (1, "de", 2)]
     assert language.mislabelled(df.limit(0)).count() == 0
-    assert [language.language_code(x) for x in ("EN", "pt_BR", "Japanese", "zho", "xx", "", None, "??")] == ["en", "pt", "ja", "zh", None, None, None, None]
+    assert [language.language_code(x) for x in ("EN", "pt_BR", "Japanese", "zho", "xx", "", None, "??", "fi", "Korean", "und")] == ["en", "pt", "ja", "zh", None, None, None, None, "fi", "ko", None]
+
+
+FI = ["Hakija lukee jokaisen sivun oikeassa järjestyksessä.", "Työkalu säilyttää linkkien luettelon jokaiselle palvelimelle.", "Välimuisti pitää kaikki sivut ennen seuraavaa ajoa.", "Jokainen lukija tarkistaa luettelon järjestyksen."]
+
+
+def test_languages_are_those_of_the_labels(spark):
+    rnd = random.Random(6)
+    rows = [(i, " ".join(rnd.choices(s, k=6)), lab) for i, (s, lab) in enumerate([(EN, "en"), (DE, "de")] * 300)]
+    rows += [(1000 + i, " ".join(rnd.choices(FI, k=6)), "fi") for i in range(12)]
+    rows += [(2000 + i, " ".join(rnd.choices(EN, k=6)), "tr") for i in range(12)] + [(3000, " ".join(FI), "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.fit(df)
+    assert model.codes == ["de", "en", "fi"]
+    got = {(r["doc_id"], r["lang"]) for r in language.mislabelled(df).collect()}
+    assert got == {(2000 + i, "en") for i in range(12)} | {(3000, "fi")}
+
+
+def test_samples_are_filled_or_told(spark):
+    from pagemill.llm.samples import SHORTEST_ROWS, sample_groups, sample_rows
+
+    df = spark.range(20_000).selectExpr("id", "repeat('x', if(id % 10 = 0, 30, 500)) as t", "if(id < 3, 'rare', if(id < 19000, 'a', 'b')) as g")
+    assert len(sample_rows(df, "id", ["t"], "t", 1000, 100)) == 1000
+    assert len(sample_rows(df, "id", ["t"], "t", 1000, 25)) == SHORTEST_ROWS
+    assert len(sample_rows(df.limit(0), "id", ["t"], "t", 1000, 100)) == 0
+    got = Counter(r["_g"] for r in sample_groups(df, "id", df["g"], ["t"], "t", 300, 1000))
+    assert got == {"a": 100, "b": 100, "rare": 3}
