@@ -1,18 +1,19 @@
 """Evaluation texts leaking into documents, by latent semantic retrieval (problem 9).
 
-Evaluation items are TF-IDF vectors over their own vocabulary, weighted by document counts over
-the whole corpus. A distributed randomised SVD of these vectors gives a latent space; windows of
-every document are folded into it and compared with the items by cosine. Runs of four words shared
-with an item are counted beside it, so that no leak is lost because its words are frequent. Each candidate pair is
-then aligned word by word: chains of shared word runs, their longest common subsequence, and the
-share of the item they hold together decide. Items are a stated query set, taken in blocks.
+The passages of all evaluation items are TF-IDF vectors over the items' vocabulary, weighted by
+document counts over the whole corpus. A distributed randomised SVD of these passages, truncated
+far below their number, gives a latent space; windows of every document are folded into it and
+compared with the items by cosine. Runs of four words shared with an item are counted beside it,
+so that no leak is lost because its words are frequent. Each candidate pair is then aligned word by
+word: chains of shared word runs, their longest common subsequence, and the share of the item they
+hold together decide. Items are a stated query set, taken in blocks.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,20 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 
-#: Items of one block and the latent rank; a block holds no more items than the rank, so none is lost to truncation.
-BLOCK_ITEMS = 384
+#: Items of one block: a bound of what is broadcast. A block of 240 items holds some 2,500 passages.
+BLOCK_ITEMS = 2048
+#: Latent rank, spare columns of the sketch, and rounds that sharpen it.
 RANK = 384
 OVERSAMPLE = 10
+POWER = 1
+#: Passages that one task sketches.
+TASK_PASSAGES = 4000
 #: Words in more than this share of documents have no weight, save an item's rarest ones.
 MAX_SHARE = 0.01
 RAREST = 20
-#: Words of a window, and the cosine from which a window makes its document a candidate.
+#: Words of a window, words between passages of an item, and the cosine from which a window makes its document a candidate.
 WINDOW = 24
+STEP = 12
 MIN_COSINE = 0.12
 #: Weighted words of a window.
 LEAST_WORDS = 2
@@ -40,6 +46,8 @@ MIN_LCS = 0.78
 #: Words of a shared run, and edits of a leaked word up to which shared runs alone make every leak a candidate.
 RUN = 4
 EDITS = 0.12
+#: Edits among some ``MIN_PASSAGE`` words in a row of such a leak.
+PASSAGE_EDITS = 2
 #: Equal words of an alignment that no cosine backs: frequent words alone align texts of one pattern, such as lists with other names.
 MIN_LCS_FREQUENT = 0.86
 
@@ -103,41 +111,53 @@ def corpus_counts(documents: DataFrame, vocabulary: list[str]) -> tuple[np.ndarr
     return out[:size], int(out[size])
 
 
-def randomised_svd(rows: DataFrame, width: int, rank: int, seed: int = 11) -> np.ndarray:
-    """Right singular vectors (width x rank) of sparse rows ``ix array<int>, val array<double>``.
+def randomised_svd(rows: DataFrame, width: int, rank: int, tasks: int = 1, power: int = POWER, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right singular vectors (width x rank) of sparse rows ``ix array<int>, val array<double>``.
 
-    Two passes over the rows: the first sketches the range, the second projects on it. Only the
-    sketch (rows x rank) and the projection (rank x width) reach the driver; a block of items bounds both.
+    The range of the rows is sketched from their right side, sharpened ``power`` times and
+    orthogonalised; the rows folded into it give a small Gram matrix, whose eigenvectors turn the
+    sketch into singular vectors. Each pass sends sums of width x (rank + OVERSAMPLE) from each of
+    ``tasks`` tasks, whatever the number of rows.
     """
-    rank = max(1, rank)
-    n = rank + OVERSAMPLE
-    omega = np.random.default_rng(seed).standard_normal((width, n))
-    numbered = rows.select("item_id", "ix", "val")
+    n = min(width, max(1, rank) + OVERSAMPLE)
     sc = rows.sparkSession.sparkContext
-    om = sc.broadcast(omega)
-
-    def sketch(b, _):
-        out = [(np.asarray(v) @ om.value[np.asarray(i, np.int64)]).tolist() if i else [0.0] * n for i, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-        return {"item_id": b.column(0).to_pylist(), "y": out}
-
-    y = map_arrow(numbered, sketch, "item_id bigint, y array<double>").collect()
-    q, _ = np.linalg.qr(np.array([r["y"] for r in y]).reshape(len(y), n))
-    basis = sc.broadcast({r["item_id"]: q[i] for i, r in enumerate(y)})
-
-    def project(batches):
-        acc = np.zeros((q.shape[1], width))
-        for b in batches:
-            for k, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                acc[:, np.asarray(i, np.int64)] += np.outer(basis.value[k], v)
-        for j in range(len(acc)):
-            yield pa.RecordBatch.from_pydict({"j": pa.array([j], pa.int32()), "b": pa.array([acc[j].tolist()], pa.list_(pa.float64()))})
+    src = rows.select("ix", "val").repartition(tasks).persist()
+
+    def total(q: np.ndarray, fold) -> np.ndarray:
+        """Sum over the rows of ``fold(indices, values, row folded into q)``, each a (places, values) addend."""
+        shared = sc.broadcast(q)
+
+        def run(batches):
+            acc = None
+            for b in batches:
+                for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if i:
+                        at = np.asarray(i, np.int64)
+                        w = np.asarray(v)
+                        y = w @ shared.value[at]
+                        if acc is None:
+                            acc = np.zeros((width if fold == "range" else n, n))
+                        if fold == "range":
+                            acc[at] += np.outer(w, y)
+                        else:
+                            acc += np.outer(y, y)
+            if acc is not None:
+                yield pa.RecordBatch.from_pydict({"m": pa.array([acc.tobytes()], pa.binary())})
+
+        out = np.zeros((width if fold == "range" else n, n))
+        for r in src.mapInArrow(run, "m binary").toLocalIterator():
+            out += np.frombuffer(bytes(r["m"])).reshape(out.shape)
+        shared.unpersist()
+        return out
 
-    b = np.zeros((q.shape[1], width))
-    for r in numbered.coalesce(4).mapInArrow(project, "j int, b array<double>").collect():
-        b[r["j"]] += r["b"]
-    _, s, vt = np.linalg.svd(b, full_matrices=False)
-    keep = s > 1e-9 * max(s[0], 1e-12) if len(s) else s > 0
-    return vt[keep][:rank].T
+    q = np.random.default_rng(seed).standard_normal((width, n))
+    for _ in range(power + 1):
+        q, _ = np.linalg.qr(total(q, "range"))
+    values, vectors = np.linalg.eigh(total(q, "gram"))
+    src.unpersist()
+    s = np.sqrt(np.maximum(values[::-1], 0.0))
+    keep = s[:rank] > 1e-7 * max(float(s[0]), 1e-12)
+    return s[:rank][keep], (q @ vectors[:, ::-1])[:, :rank][:, keep]
 
 
 def runs_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +212,7 @@ class Space:
         self.holders = cell % max(1, len(ids))
         self.starts = np.searchsorted(cell // max(1, len(ids)), np.arange(len(self.runs) + 1))
         self.least = np.array([least_runs(len(ns)) for ns in self.numbers])
+        self.lines = [np.searchsorted(self.runs, r) for r in runs]
 
     def sharing(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs that share enough runs of words, however frequent these are."""
@@ -214,10 +235,26 @@ class Space:
             cell = np.repeat(doc[at:stop] - doc[at], n) * len(self.ids) + self.holders[rows]
             count = np.bincount(cell, weights=self.times[rows], minlength=2048 * len(self.ids)).reshape(2048, -1)
             d, i = np.nonzero(count >= self.least)
-            found.update(zip((d + doc[at]).tolist(), i.tolist()))
+            lo, hi = np.searchsorted(doc[at:stop], doc[at] + d), np.searchsorted(doc[at:stop], doc[at] + d + 1)
+            held = np.zeros(len(self.runs), bool)
+            last = -1
+            for x, item, a, b in zip(d.tolist(), i.tolist(), lo.tolist(), hi.tolist()):
+                if x != last:
+                    held[:] = False
+                    held[run[at + a : at + b]] = True
+                    last = x
+                if self.dense(held, item):
+                    found.add((x + int(doc[at]), item))
             at = stop
         return found
 
+    def dense(self, held: np.ndarray, item: int) -> bool:
+        """Whether some ``MIN_PASSAGE`` words in a row of the item hold the runs that ``PASSAGE_EDITS`` edits leave."""
+        c = np.cumsum(held[self.lines[item]])
+        w = MIN_PASSAGE - RUN + 1
+        most = int(c[-1]) if len(c) <= w else max(int(c[w - 1]), int((c[w:] - c[:-w]).max()))
+        return most >= min(w, len(c)) - RUN * PASSAGE_EDITS
+
     def candidates(self, flat: np.ndarray, ends: np.ndarray) -> set[tuple[int, int]]:
         """(document, item) pairs with a window whose cosine to the item is high enough."""
         w = np.where(flat >= 0, self.weights[np.maximum(flat, 0)], np.float32(0))
@@ -327,43 +364,65 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     repeated item rows count once (least text), copies of a document each count.
     """
     rows = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min("text").alias("text"))
-    ids = [r["item_id"] for r in rows.select("item_id").orderBy("item_id").toLocalIterator()]
+    ids, held = [], Counter()
+    for r in rows.orderBy("item_id").toLocalIterator():
+        ids.append(r["item_id"])
+        held.update(set(words_of(r["text"])))
+    schema = "doc_id bigint, item_id bigint, share double, passages int, answers int"
+    if not held:
+        return documents.sparkSession.createDataFrame([], schema)
+    # Counts and weights are of all items and all documents; a block only bounds what is broadcast.
+    vocabulary = sorted(held)
+    df, n = corpus_counts(documents, vocabulary)
+    stats = {w: (int(f), held[w]) for w, f in zip(vocabulary, df)}
     out = None
     for s in range(0, len(ids), BLOCK_ITEMS):
         part = ids[s : s + BLOCK_ITEMS]
-        block = rows.where(F.col("item_id").between(part[0], part[-1]))
-        got = _block_leaks(documents, block)
+        got = _block_leaks(documents, rows.where(F.col("item_id").between(part[0], part[-1])), stats, n, len(ids))
         out = got if out is None else out.unionByName(got)
-    schema = "doc_id bigint, item_id bigint, share double, passages int, answers int"
-    return documents.sparkSession.createDataFrame([], schema) if out is None else out
+    return out
 
 
-def _block_leaks(documents: DataFrame, block: DataFrame) -> DataFrame:
-    spark = documents.sparkSession
-    texts = {r["item_id"]: r["text"] for r in block.collect()}
-    ids = sorted(texts)
-    words = {i: words_of(texts[i]) for i in ids}
-    vocabulary = sorted({w for ws in words.values() for w in ws})
-    df, n = corpus_counts(documents, vocabulary)
+def passages_of(numbers: list[int]) -> list[list[int]]:
+    """Overlapping windows of an item's words, the last one whole."""
+    return [numbers[a : a + WINDOW] for a in range(0, max(1, len(numbers) - STEP), STEP)]
+
+
+def _unit(numbers: list[int], weights: np.ndarray) -> tuple[list[int], list[float]]:
+    """Sparse TF-IDF vector of unit length."""
+    u, c = np.unique(np.array(numbers, np.int64), return_counts=True)
+    x = c * weights[u]
+    x = x / max(1e-9, float(np.linalg.norm(x)))
+    return u.tolist(), x.tolist()
+
+
+def item_weights(words: list[list[str]], vocabulary: list[str], stats: dict[str, tuple[int, int]], n: int, items: int) -> np.ndarray:
+    """Weight of each vocabulary word, from the documents and the items of the whole tables that hold it."""
+    number = {w: i for i, w in enumerate(vocabulary)}
+    df = np.array([stats[w][0] for w in vocabulary])
     idf = np.log((n + 1) / (df + 1)) + 0.1
     weights = np.where(df <= max(1, MAX_SHARE * n), idf, 0.0)
-    number = {w: i for i, w in enumerate(vocabulary)}
-    for i in ids:
-        rare = sorted({number[w] for w in words[i]}, key=lambda k: (df[k], k))[:RAREST]
+    for ws in words:
+        rare = sorted({number[w] for w in ws}, key=lambda k: (df[k], vocabulary[k]))[:RAREST]
         weights[rare] = idf[rare]
-    held = np.zeros(len(vocabulary))
-    for i in ids:
-        held[[number[w] for w in set(words[i])]] += 1
     # Words that many items share, such as those of a common instruction, don't tell items apart.
-    weights = weights * np.log((len(ids) + 1) / np.maximum(held, 1)) / max(1e-9, np.log(len(ids) + 1))
-    sparse = []
-    for i in ids:
-        u, c = np.unique([number[w] for w in words[i]], return_counts=True) if words[i] else (np.array([], int), np.array([]))
-        x = c * weights[u]
-        x = x / max(1e-9, float(np.linalg.norm(x)))
-        sparse.append((i, u.tolist(), x.tolist()))
-    matrix = spark.createDataFrame(sparse, "item_id bigint, ix array<int>, val array<double>")
-    basis = randomised_svd(matrix, len(vocabulary), min(RANK, len(ids))) if vocabulary else np.zeros((0, 1))
+    shared = np.array([stats[w][1] for w in vocabulary])
+    return weights * np.log((items + 1) / np.maximum(shared, 1)) / max(1e-9, np.log(items + 1))
+
+
+def _block_leaks(documents: DataFrame, block: DataFrame, stats: dict[str, tuple[int, int]], n: int, items: int) -> DataFrame:
+    spark = documents.sparkSession
+    texts = {r["item_id"]: r["text"] for r in block.collect()}
+    ids = sorted(texts)
+    words = [words_of(texts[i]) for i in ids]
+    vocabulary = sorted({w for ws in words for w in ws})
+    weights = item_weights(words, vocabulary, stats, n, items)
+    number = {w: i for i, w in enumerate(vocabulary)}
+    matrix = [_unit(p, weights) for ws in words for p in passages_of([number[w] for w in ws]) if p]
+    basis = np.zeros((len(vocabulary), 1))
+    if matrix:
+        rows = spark.createDataFrame(matrix, "ix array<int>, val array<double>")
+        _, basis = randomised_svd(rows, len(vocabulary), min(RANK, len(matrix)), -(-len(matrix) // TASK_PASSAGES))
     unseen = float(np.log(n + 1) + 0.1)
     shared = spark.sparkContext.broadcast((Space(ids, [texts[i] for i in ids], vocabulary, weights, unseen, basis), {i: answers(texts[i]) for i in ids}))
 

@@ -144,6 +144,34 @@ def test_blocks_of_items(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in leakage.leaks(D, E).collect()} == {(i, i) for i in range(7)}
 
 
+def test_recall_of_the_latent_space(spark):
+    """Pairs that an alignment of every document with every item finds, among the candidates of truncated spaces."""
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    docs = [r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").where("text is not null").select("text").collect()]
+    texts = [r["text"] for r in spark.read.parquet(f"{d}/eval_items.parquet").where("text is not null").orderBy("item_id").collect()]
+    words = [leakage.words_of(t) for t in texts]
+    vocabulary = sorted({w for ws in words for w in ws})
+    number = {w: i for i, w in enumerate(vocabulary)}
+    numbers = leakage.Numbers(number)
+    docs = [[numbers[w] for w in leakage._tokens(t)] for t in docs]
+    df, held = Counter(x for t in docs for x in set(t)), Counter(w for ws in words for w in set(ws))
+    stats = {w: (df[number[w]], held[w]) for w in vocabulary}
+    weights = leakage.item_weights(words, vocabulary, stats, len(docs), len(texts))
+    rows = [leakage._unit(p, weights) for ws in words for p in leakage.passages_of([number[w] for w in ws])]
+    _, basis = leakage.randomised_svd(spark.createDataFrame(rows, "ix array<int>, val array<double>"), len(vocabulary), leakage.RANK)
+    assert basis.shape[1] < len(rows) / 4
+    recall, truth = {}, None
+    flat, ends = np.array([x for t in docs for x in t], np.int32), np.cumsum([len(t) for t in docs])
+    for rank in (64, 192, leakage.RANK):
+        space = leakage.Space(list(range(len(texts))), texts, vocabulary, weights, float(np.log(len(docs) + 1) + 0.1), basis[:, :rank])
+        if truth is None:
+            truth = {(k, i) for k, t in enumerate(docs) if t for pairs in [space.shared_pairs(t)] for i in range(len(texts)) if space.verify(t, i, pairs)}
+        recall[rank] = len(truth & space.candidates(flat, ends)) / len(truth)
+    assert recall[leakage.RANK] >= 0.97 and recall[64] < recall[leakage.RANK], recall
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
 def test_lcs(a, b):
@@ -157,8 +185,9 @@ def test_lcs(a, b):
 def test_randomised_svd(spark):
     a = np.random.default_rng(0).normal(size=(9, 4)) @ np.random.default_rng(1).normal(size=(4, 30))
     rows = spark.createDataFrame([(i, list(range(30)), r.tolist()) for i, r in enumerate(a)], "item_id bigint, ix array<int>, val array<double>")
-    v = leakage.randomised_svd(rows, 30, 4)
-    assert np.allclose(a @ v @ v.T, a)
+    s, v = leakage.randomised_svd(rows, 30, 4, tasks=3)
+    assert np.allclose(a @ v @ v.T, a) and np.allclose(s, np.linalg.svd(a)[1][:4]) and np.allclose(v.T @ v, np.eye(4))
+    assert leakage.randomised_svd(rows, 30, 9)[1].shape == (30, 4)
     assert leakage.answers("Q? (A) One two (B) Three") == ["one two", "three"]
 
 
