@@ -12,6 +12,14 @@ def p1_repaired(spark, d):
     return encoding.repaired_pages(load(spark, d, "http_cache"), load(spark, d, "documents"))
 
 
+def p1_declared(spark, d):
+    return encoding.declared_charsets(load(spark, d, "http_cache"), load(spark, d, "documents"), load(spark, d, "crawl_pages"))
+
+
+def p2_clean_titles(spark, d):
+    return markup.clean_titles(load(spark, d, "crawl_pages")).distinct()
+
+
 def p2_found(spark, d):
     return markup.found(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
@@ -48,6 +56,10 @@ def p5_clean(spark, d):
     return site_lines.without_repeated(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
 
 
+def p5_templates(spark, d):
+    return site_lines.templates(load(spark, d, "http_cache"), load(spark, d, "crawl_pages"))
+
+
 def p8_containers(spark, d):
     return packing.containers(load(spark, d, "documents"))
 
@@ -80,7 +92,13 @@ def p10_segments(spark, d):
     return language.segments(load(spark, d, "documents"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_fill_single_bucket": p8_fill_single_bucket, "p9_found": p9_found, "p9_evidence": p9_evidence, "p10_found": p10_found, "p10_languages": p10_languages, "p10_segments": p10_segments, "p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_main_text": p3_main_text, "p3_selection_check": p3_selection_check, "p4_found": p4_found, "p4_kept_pages": p4_kept_pages, "p5_found": p5_found, "p5_clean": p5_clean}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_repaired, p1_declared, p2_found, p2_clean, p2_clean_titles, p3_found, p3_main_text, p3_selection_check, p4_found, p4_kept_pages, p5_found, p5_clean, p5_templates,
+        p8_containers, p8_fill, p8_fill_single_bucket, p9_found, p9_evidence, p10_found, p10_languages, p10_segments,
+    )
+}
 
 
 def queries() -> dict:

@@ -15,6 +15,7 @@ from html import escape, unescape
 from math import log
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import _ATTRS, body_markup, split_blocks, title_text, without_code
@@ -398,3 +399,16 @@ def repaired_pages(cache: DataFrame, documents: DataFrame) -> DataFrame:
         return {"page_id": ids, "html": new, "changed": [a != c for a, c in zip(pages, new)]}
 
     return map_arrow(cache.select("page_id", "html"), fn, "page_id bigint, html string, changed boolean", _setup(cache.sparkSession, documents))
+
+
+def declared_charsets(cache: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """``page_id, runs, encoding, declared, told``: wrongly decoded pages with the character set of their content type.
+
+    ``told`` says whether the declared set names the wrong reading; null where none is declared or
+    no reading was found. Only the found rows are joined, never page bodies.
+    """
+    charset = F.regexp_extract(F.lower("content_type"), r"charset\s*=\s*[\"']?\s*([\w.:-]+)", 1)
+    own = pages.where("page_id is not null").groupBy("page_id").agg(F.min(F.when(charset != "", charset)).alias("declared"))
+    got = garbled_pages(cache, documents).distinct().join(own, "page_id", "left")
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "windows-", "cp"), "[^a-z0-9]", "")
+    return got.withColumn("told", plain(F.col("declared")) == plain(F.regexp_replace("encoding", "^.* as ", "")))

@@ -1,0 +1,25 @@
+"""Splitting hosts that hold a large share of all pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Pages of a host that one task may have to join; a larger host is split into so many parts.
+HOT_ROWS = 100_000
+
+
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """``host, parts`` of the hosts with more than ``HOT_ROWS`` pages: at most one row per ``HOT_ROWS`` pages, so it is broadcast."""
+    return pages.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("host", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts"))
+
+
+def split_rows(rows: DataFrame, hot: DataFrame, key: str = "page_id") -> DataFrame:
+    """Rows with ``salt``: the part of their host that ``key`` puts them in, 0 for other hosts."""
+    return rows.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64(key), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+
+
+def for_each_part(side: DataFrame, hot: DataFrame) -> DataFrame:
+    """The side that is joined to split rows, once for each part of its host."""
+    side = side.join(F.broadcast(hot), "host", "left")
+    return side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import _ATTRS, _CODE as CODE, body_markup, split_at, split_blocks
+from pagemill.llm.hot import for_each_part, hot_hosts, split_rows
 from pagemill.llm.memo import Memo
 from pagemill.llm.site_lines import page_hosts
 from pagemill.session import materialise
 
 MIN_PAGES = 4
 MIN_SHARE = 0.2
-SALTS = 16
 #: Subtrees kept around a block, outermost first. A block that only a deeper subtree makes part of a template is judged on its page, to the same verdict.
 CHAIN = 64
 
@@ -228,19 +228,20 @@ def site_templates(trees: DataFrame, hosts: DataFrame, min_urls: int = MIN_PAGES
     t = trees.join(hosts.select("page_id", "host", F.xxhash64("url").alias("u")), "page_id").select("host", "u", "trees")
     need = t.select("host", "u").distinct().groupBy("host").agg(F.greatest(F.lit(min_urls), F.ceil(F.count("*") * min_share - 1e-9)).alias("need"))
     # Pages bound addresses: what stands on too few pages is dropped before addresses are told apart.
+    hot = hot_hosts(t)
     n = t.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
-    some = n.join(need, "host").where("n >= need").select("host", "tree", "need")
-    per = t.select("host", "u", F.explode("trees").alias("tree")).join(some, ["host", "tree"]).select("host", "tree", "need", "u").distinct()
+    some = for_each_part(n.join(need, "host").where("n >= need").select("host", "tree", "need"), hot)
+    per = split_rows(t.select("host", "u", F.explode("trees").alias("tree")), hot, "u").join(some, ["host", "tree", "salt"]).select("host", "tree", "need", "u").distinct()
     return per.groupBy("host", "tree", "need").agg(F.count("*").alias("urls")).where("urls >= need").select("host", "tree")
 
 
-def known_trees(templates: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``host, salt, known``: a host's template subtrees as one array, repeated for each salt.
+def known_trees(templates: DataFrame) -> DataFrame:
+    """``host, known``: a host's template subtrees as one array.
 
     A subtree stands on a fifth of the host's addresses at least, so there are at most five times as
     many as a page has subtrees on average: the array is bounded.
     """
-    return templates.groupBy("host").agg(F.collect_set("tree").alias("known")).select("host", "known", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return templates.groupBy("host").agg(F.collect_set("tree").alias("known"))
 
 
 def found(cache: DataFrame, pages: DataFrame) -> DataFrame:
@@ -250,19 +251,19 @@ def found(cache: DataFrame, pages: DataFrame) -> DataFrame:
     and text, and the verdict goes to each page that holds them. What is left of a page is judged
     on its own. Pages of unknown host have no templates. Null and empty html show nothing.
     """
-    hosts = page_hosts(pages)
+    hosts = materialise(page_hosts(pages))
+    hot = hot_hosts(hosts)
     trees = materialise(page_trees(cache))
-    per_host = known_trees(site_templates(trees, hosts))
+    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot)
     some = trees.where(F.size("suspects") > 0).select("page_id", F.explode("suspects").alias("s")).select("page_id", "s.text", "s.around")
-    some = some.join(hosts.select("page_id", "host"), "page_id", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    some = some.join(per_host, ["host", "salt"], "left")
+    some = split_rows(some.join(hosts.select("page_id", "host"), "page_id", "left"), hot).join(per_host, ["host", "salt"], "left")
     tree = F.try_element_at(F.filter("around", lambda t: F.array_contains("known", t)), F.lit(1))
     some = materialise(some.select("page_id", "host", "salt", "text", tree.alias("tree")))
     # One row per host, subtree and text stands for all pages that hold them.
     inside = some.where("tree is not null").withColumn("t", F.xxhash64("text"))
     once = inside.groupBy("host", "tree", "t").agg(F.min("text").alias("text"))
     shown = _judge(once.select(F.struct("host", "tree", "t").alias("k"), "text"), "k struct<host:string,tree:bigint,t:bigint>")
-    shown = shown.select("k.host", "k.tree", "k.t", "kind", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    shown = for_each_part(shown.select("k.host", "k.tree", "k.t", "kind"), hot)
     judged = inside.select("page_id", "host", "tree", "t", "salt").join(shown, ["host", "tree", "t", "salt"]).select("page_id", "kind")
     left = _judge(some.where("tree is null").select("page_id", "text"), "page_id bigint")
     body = judged.unionByName(left).select("page_id", F.lit("html").alias("field"), "kind")
@@ -387,10 +388,11 @@ def clean_pages(cache: DataFrame, pages: DataFrame) -> DataFrame:
 
     Pages of unknown host keep all subtrees. Null or empty html gives an empty text.
     """
-    hosts = page_hosts(pages)
+    hosts = materialise(page_hosts(pages))
+    hot = hot_hosts(hosts)
     trees = materialise(page_trees(cache).select("page_id", "trees"))
-    per_host = known_trees(site_templates(trees, hosts))
-    mine = trees.join(hosts.select("page_id", "host"), "page_id").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot)
+    mine = split_rows(trees.join(hosts.select("page_id", "host"), "page_id"), hot)
     gone = mine.join(per_host, ["host", "salt"]).select("page_id", F.array_intersect("trees", "known").alias("gone"))
     j = cache.select("page_id", "html").join(gone, "page_id", "left")
 

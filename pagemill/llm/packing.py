@@ -20,6 +20,8 @@ from pagemill.session import materialise
 
 CAPACITY = 2048
 BUCKETS = 128
+#: Distinct sizes that the dynamic programming takes as they are; beyond, sizes are rounded up to a grid of so many, which bounds its matrix (a capacity of 2,048 is never rounded).
+MOST_SIZES = 4096
 #: Rank files and the pattern they are used with; the path is a parameter of every function.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the published pre-tokenisation pattern of that vocabulary.
@@ -47,6 +49,10 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Upper bounds of at most ``buckets`` buckets over sorted distinct sizes, minimising total padding."""
+    if len(sizes) > max(MOST_SIZES, buckets):
+        step = -(-int(sizes[-1]) // MOST_SIZES)
+        grid, at = np.unique(np.minimum(-(-sizes // step) * step, sizes[-1]), return_inverse=True)
+        return bucket_bounds(grid, np.bincount(at, counts, len(grid)), buckets)
     n = len(sizes)
     if n <= buckets:
         return sizes.copy()

@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import body_markup, crc, split_blocks
+from pagemill.llm.hot import for_each_part, hot_hosts, split_rows
 from pagemill.llm.memo import Memo
 from pagemill.session import materialise
 
 DEPTH = 3
 MIN_URLS = 4
 MIN_SHARE = 0.2
-SALTS = 16
 
 _DIGITS = re.compile("[0-9]+")
 
@@ -79,20 +79,21 @@ def site_lines(cache: DataFrame, pages: DataFrame) -> DataFrame:
     return page_lines(cache).join(page_hosts(pages), "page_id").select("page_id", "host", F.xxhash64("url").alias("url_hash"), "lines")
 
 
+def thresholds(site: DataFrame, min_urls: int, min_share: float) -> DataFrame:
+    """``host, need``: addresses a line must stand on."""
+    n = site.select("host", "url_hash").distinct().groupBy("host").agg(F.count("*").alias("n"))
+    return n.select("host", F.greatest(F.lit(min_urls), F.ceil(F.col("n") * min_share - 1e-9)).alias("need"))
+
+
 def repeated_lines(site: DataFrame, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE) -> DataFrame:
     """``host, line, urls``: lines in the bodies of at least ``min_urls`` urls and ``min_share`` of the host's urls."""
-    need = (
-        site.select("host", "url_hash").distinct().groupBy("host").agg(F.count("*").alias("n"))
-        .select("host", F.greatest(F.lit(min_urls), F.ceil(F.col("n") * min_share - 1e-9)).alias("need"))
-    )
+    hot = hot_hosts(site)
     leaves = (
         site.select("host", F.explode(F.array_distinct("lines.leaf")).alias("leaf")).groupBy("host", "leaf").agg(F.count("*").alias("pages"))
-        .join(need, "host").where("pages >= need").select("host", "leaf", "need")
-    )
-    per_url = (
-        site.select("host", "url_hash", F.explode("lines").alias("l")).select("host", "url_hash", "l.line", "l.leaf")
-        .join(leaves, ["host", "leaf"]).select("host", "need", "line", "url_hash").distinct()
+        .join(thresholds(site, min_urls, min_share), "host").where("pages >= need").select("host", "leaf", "need")
     )
+    lines = site.select("host", "url_hash", F.explode("lines").alias("l")).select("host", "url_hash", "l.line", "l.leaf")
+    per_url = split_rows(lines, hot, "url_hash").join(for_each_part(leaves, hot), ["host", "leaf", "salt"]).select("host", "need", "line", "url_hash").distinct()
     return per_url.groupBy("host", "need", "line").agg(F.count("*").alias("urls")).where("urls >= need").select("host", "line", "urls")
 
 
@@ -100,15 +101,40 @@ def repeated_blocks(site: DataFrame, repeated: DataFrame) -> DataFrame:
     """``page_id, block_crc`` of all blocks that are a repeated line of their page's host.
 
     At most ``1 / min_share`` times the mean line count of a page can repeat in a host, so its
-    lines are one bounded array; it is joined to pages over salted hosts.
+    lines are one bounded array; it is joined to the pages, of which large hosts are split.
     """
-    per_host = repeated.groupBy("host").agg(F.collect_set("line").alias("known"))
-    per_host = per_host.select("host", "known", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    s = site.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    hit = s.join(per_host, ["host", "salt"]).select("page_id", F.array_distinct(F.expr("filter(lines, x -> array_contains(known, x.line)).crc")).alias("c"))
+    hot = hot_hosts(site)
+    per_host = for_each_part(repeated.groupBy("host").agg(F.collect_set("line").alias("known")), hot)
+    hit = split_rows(site, hot).join(per_host, ["host", "salt"]).select("page_id", F.array_distinct(F.expr("filter(lines, x -> array_contains(known, x.line)).crc")).alias("c"))
     return hit.select("page_id", F.explode("c").alias("block_crc"))
 
 
+def templates(cache: DataFrame, pages: DataFrame, min_urls: int = MIN_URLS, min_share: float = MIN_SHARE) -> DataFrame:
+    """``host, template, lines, urls``: the templates that cover many of a host's addresses.
+
+    The lines of a leaf of the token tree are merged token by token: what all of them hold stays,
+    the rest is a slot '<*>'. Trees of different partitions merge by the least and greatest token
+    of each place, which is associative. Only leaves on at least ``min_urls`` addresses and
+    ``min_share`` of the host's come out; null and empty html give nothing.
+    """
+
+    def fn(b, memo):
+        lines = [[{"leaf": memo[x][2], "line": normal_line(x)} for x in dict.fromkeys(split_blocks(body_markup(h)))] if h else [] for h in b.column(1).to_pylist()]
+        return {"page_id": b.column(0).to_pylist(), "lines": lines}
+
+    text = map_arrow(cache.select("page_id", "html"), fn, "page_id bigint, lines array<struct<leaf:bigint,line:string>>", lambda: Memo(_describe))
+    site = materialise(text.join(page_hosts(pages), "page_id").select("page_id", "host", F.xxhash64("url").alias("url_hash"), "lines"))
+    hot = hot_hosts(site)
+    leaves = site.select("host", "url_hash", F.explode(F.array_distinct("lines.leaf")).alias("leaf")).distinct().groupBy("host", "leaf").agg(F.count("*").alias("urls"))
+    leaves = leaves.join(thresholds(site, min_urls, min_share), "host").where("urls >= need").select("host", "leaf", "urls")
+    lines = split_rows(site.select("host", "url_hash", F.explode("lines").alias("l")).select("host", "url_hash", "l.leaf", "l.line"), hot, "url_hash")
+    lines = lines.join(for_each_part(leaves, hot), ["host", "leaf", "salt"]).select("host", "leaf", "urls", "line").distinct()
+    place = lines.select("host", "leaf", "urls", F.posexplode(F.split("line", " ")).alias("at", "token")).groupBy("host", "leaf", "urls", "at")
+    place = place.agg(F.count("*").alias("lines"), F.when(F.min("token") == F.max("token"), F.min("token")).otherwise("<*>").alias("token"))
+    tokens = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ")
+    return place.groupBy("host", "leaf", "urls").agg(tokens.alias("template"), F.max("lines").alias("lines")).select("host", "template", "lines", "urls")
+
+
 def found(cache: DataFrame, pages: DataFrame) -> DataFrame:
     site = materialise(site_lines(cache, pages))
     return repeated_blocks(site, repeated_lines(site))

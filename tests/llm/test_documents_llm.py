@@ -30,6 +30,13 @@ def test_bounds_are_optimal(hist, k):
     assert len(got) <= max(k, 1) and got[-1] == size[-1] and pad(got) == best
 
 
+def test_bounds_of_many_sizes(monkeypatch):
+    monkeypatch.setattr(packing, "MOST_SIZES", 100)
+    size = np.arange(1, 1001)
+    got = packing.bucket_bounds(size, np.ones(1000, np.int64), 20)
+    assert len(got) == 20 and got[-1] == 1000 and np.searchsorted(got, size).max() == 19
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 200), min_size=1, max_size=12))
 def test_patterns_use_all_counts(hist):

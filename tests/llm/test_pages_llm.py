@@ -297,3 +297,45 @@ def test_template_trees_merge():
     a, b = "By Jo #".split(), "By Al #".split()
     assert site_lines.merge_template(site_lines.merge_template(None, a), b) == ["By", "<*>", "#"]
     assert site_lines.template_path("page # of #") == (4, "page", "<*>", "of")
+
+
+@pytest.mark.parametrize("rows", [site_lines.hot_hosts.__globals__["HOT_ROWS"], 7])
+def test_templates_and_hot_hosts_match_brute_force(spark, monkeypatch, rows):
+    from pagemill.llm import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", rows)
+    rnd = random.Random(12)
+    cache, pages = [], []
+    for i in range(90):
+        host = "big" if i % 3 else f"h{i % 6}"
+        pages.append((i, host, f"u{rnd.randint(0, 50)}", None, ""))
+        cache.append((i, f"<p>Written on {i} March by {rnd.choice(WORDS)}</p><p>Share this</p><p>{' '.join(rnd.choices(WORDS, k=3))}</p>", 0, ""))
+    c, p = spark.createDataFrame(cache, CACHE), spark.createDataFrame(pages, PAGES)
+    got = {tuple(r) for r in site_lines.templates(c, p).collect()}
+    by, urls = defaultdict(set), defaultdict(set)
+    where = defaultdict(set)
+    for (i, host, url, *_), (_, html, *_) in zip(pages, cache):
+        urls[host].add(url)
+        for b in visible_blocks(html):
+            n = site_lines.normal_line(b)
+            by[host, site_lines.template_path(n)].add(n)
+            where[host, site_lines.template_path(n)].add(url)
+    want = set()
+    for (host, path), lines in by.items():
+        if len(where[host, path]) >= max(4, 0.2 * len(urls[host])):
+            t = None
+            for n in sorted(lines):
+                t = site_lines.merge_template(t, n.split(" "))
+            want.add((host, " ".join(t), len(lines), len(where[host, path])))
+    assert got == want and any("<*>" in t for _, t, _, _ in got)
+    assert {tuple(r) for r in site_lines.found(c, p).collect()} == brute_lines(cache, pages)
+    assert markup.clean_pages(c, p).count() == 90
+
+
+def test_declared_charsets(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(CLEAN)], "doc_id bigint, text string")
+    bad = CLEAN[0].encode().decode("cp1252", "replace").replace("\ufffd", "x")
+    c = spark.createDataFrame([(i, f"<p>{bad}</p>") for i in (1, 2, 3)], "page_id bigint, html string")
+    p = spark.createDataFrame([(1, "text/html; charset=Windows-1252"), (2, None), (3, "text/html;charset=utf-8"), (1, None)], "page_id bigint, content_type string")
+    got = {r["page_id"]: (r["declared"], r["told"]) for r in encoding.declared_charsets(c, docs, p).collect()}
+    assert got == {1: ("windows-1252", True), 2: (None, None), 3: ("utf-8", False)}
