@@ -260,7 +260,11 @@ def chunk_duplicates(spark, d):
     return c.select("fingerprint", "copies")
 
 
-_STOP = ", ".join(f"'{w}'" for w in corpus.STOP_WORDS)
+#: The words that are no keywords, stated apart from the operator's own list.
+_STOP = (
+    "'a','an','and','are','as','at','be','been','but','by','for','from','had','has','have','he','her','him','his','i','if','in','into','is','it','its','me','more','most','my','no','not','of','on','or','our','ours','she',"
+    "'so','some','than','that','the','their','them','then','there','these','they','this','those','to','too','up','us','was','we','were','what','when','where','which','who','will','with','you','your'"
+)
 
 
 @query(f"""
@@ -288,22 +292,6 @@ def duplicate_documents(spark, d):
 # ---- markup, by expressions alone
 
 
-@query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM http_cache")
-def raw_titles(spark, d):
-    return load(spark, d, "http_cache").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
-
-
-@query("SELECT page_id, CAST(unnest(generate_series(1, len(h))) AS BIGINT) AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM http_cache)")
-def raw_links(spark, d):
-    x = load(spark, d, "http_cache").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("p", "href"))
-    return x.select("page_id", (F.col("p") + 1).cast("bigint").alias("pos"), "href")
-
-
-@query("SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, count(*) AS pages FROM http_cache GROUP BY 1")
-def page_languages(spark, d):
-    return load(spark, d, "http_cache").groupBy(F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang")).agg(F.count("*").alias("pages"))
-
-
 @query(r"SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '[ \t\n\f\r\x0B]+', ' ', 'g'), '>[ ]+<', '><', 'g'))) AS digest FROM http_cache")
 def collapsed_markup(spark, d):
     return load(spark, d, "http_cache").select("page_id", F.md5(C.collapse_markup(F.col("html"))).alias("digest"))

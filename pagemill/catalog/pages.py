@@ -2,23 +2,20 @@
 
 from pyspark.sql import functions as F
 
-from pagemill.functions.batches import spread
 from pagemill.operators import audit, select, transform
-from pagemill.operators.extract import EXTRACTORS, extract, extract_many
+from pagemill.operators.extract import EXTRACTORS, extract, extract_joined
 from pagemill.session import load
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def bodies(spark, d):
-    """Cached bodies with the address of their page."""
-    p = load(spark, d, "crawl_pages").where("page_id is not null").groupBy("page_id").agg(F.min("url").alias("url"))
-    return spread(load(spark, d, "http_cache").select("page_id", "html")).join(p, "page_id", "left")
+def addresses(spark, d):
+    return load(spark, d, "crawl_pages").select("page_id", "url")
 
 
 def _extractor(kind: str):
-    return lambda spark, d: extract(bodies(spark, d), kind)
+    return lambda spark, d: extract(load(spark, d, "http_cache"), kind, urls=addresses(spark, d))
 
 
 for _kind in EXTRACTORS:
@@ -27,24 +24,25 @@ for _kind in EXTRACTORS:
 
 def host_overview(spark, d):
     """Pages, outgoing links and readable words of each host, from one parse of each page."""
-    x = extract_many(bodies(spark, d), ["crawl_links", "readable"])
+    x = extract_joined(load(spark, d, "http_cache").select("page_id", "html"), ["crawl_links", "readable"], addresses(spark, d))
+    x = x.select("page_id", F.size("crawl_links").alias("links"), F.col("readable")[0]["words"].alias("words"))
     p = load(spark, d, "crawl_pages").where("page_id is not null and host is not null").groupBy("page_id").agg(F.min("host").alias("host"))
-    return x.join(p, "page_id").groupBy("host").agg(F.count("*").alias("pages"), F.sum(F.size("crawl_links")).alias("links"), F.round(F.avg(F.col("readable")[0]["words"]), 3).alias("mean_words"))
+    return x.join(p, "page_id").groupBy("host").agg(F.count("*").alias("pages"), F.sum("links").alias("links"), F.round(F.avg("words"), 3).alias("mean_words"))
 
 
 QUERIES |= {
     "host_overview": host_overview,
     "select_elements": lambda s, d: select.elements(load(s, d, "http_cache"), "article p, main p, div.t").drop("html"),
-    "select_values": lambda s, d: select.values(bodies(s, d), "li > a::attr(href)", url="url"),
+    "select_values": lambda s, d: select.values(load(s, d, "http_cache"), "li > a::attr(href)"),
     "select_by_text": lambda s, d: select.by_text(load(s, d, "http_cache"), "javascript", selector="p, h1, h2").drop("html"),
     "select_similar": lambda s, d: select.similar(load(s, d, "http_cache"), "li"),
-    "select_records": lambda s, d: select.records(bodies(s, d), "tr", {"name": "td:nth-child(1)", "amount": "td:nth-child(2)", "note": "td:nth-child(3)"}),
-    "record_report": lambda s, d: select.record_report(select.records(bodies(s, d), "tr", {"name": "td:nth-child(1)", "amount": "td:nth-child(2)", "link": "a::attr(href)"}), ["name", "amount", "link"]),
+    "select_records": lambda s, d: select.records(load(s, d, "http_cache"), "tr", {"name": "td:nth-child(1)", "amount": "td:nth-child(2)", "note": "td:nth-child(3)"}),
+    "record_report": lambda s, d: select.record_report(select.records(load(s, d, "http_cache"), "tr", {"name": "td:nth-child(1)", "amount": "td:nth-child(2)", "link": "a::attr(href)"}), ["name", "amount", "link"]),
     "select_collections": lambda s, d: select.collections(load(s, d, "http_cache")),
     "style_usage": lambda s, d: select.style_usage(load(s, d, "http_cache")),
     "dom_nodes": lambda s, d: select.dom_nodes(load(s, d, "http_cache")),
     "audit": lambda s, d: audit.audit(load(s, d, "http_cache")),
-    "compatibility": lambda s, d: audit.compatibility(bodies(s, d)),
+    "compatibility": lambda s, d: audit.compatibility(load(s, d, "http_cache")),
 }
 
 
@@ -57,18 +55,22 @@ QUERIES["nodes_outside_navigation"] = nodes_outside_navigation
 
 
 def api_catalog(spark, d):
-    return transform.api_catalog(extract(bodies(spark, d), "doc_endpoints"))
+    return transform.api_catalog(extract(load(spark, d, "http_cache"), "doc_endpoints", url=None))
 
 
 def page_changes(spark, d):
-    """Differences between the two latest cached bodies of each address."""
+    """Differences between the two latest cached bodies of each address.
+
+    Which bodies these are is told by ids alone; only bodies of addresses with two of them are moved, once.
+    """
+    cache = load(spark, d, "http_cache")
     p = load(spark, d, "crawl_pages").where("page_id is not null and url is not null").groupBy("page_id").agg(F.min("url").alias("url"), F.min("started").alias("started"))
-    j = load(spark, d, "http_cache").select("page_id", "html").join(p, "page_id")
-    latest = j.groupBy("url").agg(F.max(F.struct("started", "page_id")).alias("a"))
-    k = j.join(latest, "url")
-    before = k.where((F.struct("started", "page_id") < F.col("a"))).groupBy("url").agg(F.max(F.struct("started", "page_id", "html")).alias("b"))
-    now = k.where(F.col("page_id") == F.col("a.page_id")).select("url", "html")
-    return transform.differences(now.join(before, "url").select("url", F.col("b.html").alias("old"), F.col("html").alias("new")), "url", "old", "new")
+    p = p.join(cache.where("html is not null").select("page_id"), "page_id", "left_semi")
+    last = p.groupBy("url").agg(F.max(F.struct("started", "page_id")).alias("a"))
+    before = p.join(last, "url").where(F.struct("started", "page_id") < F.col("a")).groupBy("url").agg(F.max(F.struct("started", "page_id")).alias("b"))
+    pairs = last.join(before, "url").select("url", F.explode(F.array(F.struct(F.col("a.page_id").alias("page_id"), F.lit("new").alias("role")), F.struct(F.col("b.page_id").alias("page_id"), F.lit("old").alias("role")))).alias("x"))
+    both = cache.select("page_id", "html").join(pairs.select("url", "x.page_id", "x.role"), "page_id").groupBy("url").agg(*[F.max(F.when(F.col("role") == r, F.col("html"))).alias(r) for r in ("old", "new")])
+    return transform.differences(both, "url", "old", "new")
 
 
 def _transform(name: str):

@@ -160,6 +160,12 @@ def strong_entity_tag(tag: Column) -> Column:
 _ZONES = {"GMT": "+00:00", "UTC": "+00:00", "UT": "+00:00", "Z": "+00:00", "EST": "-05:00", "EDT": "-04:00", "CST": "-06:00", "CDT": "-05:00", "MST": "-07:00", "MDT": "-06:00", "PST": "-08:00", "PDT": "-07:00"}
 
 
+#: Date forms besides ISO ones; two-digit years from 50 on are of the last century.
+DATE_FORMS = (
+    "d MMM yyyy HH:mm:ss XXX", "d MMM yyyy HH:mm XXX", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d-MMM-yyyy", "MM/dd/yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM-yyyy", "MMMM yyyy",
+)
+
+
 def web_date(text: Column) -> Column:
     """Instant of a date as the web writes it: ISO day, month or instant, RFC 822, or a written day; null otherwise.
 
@@ -172,8 +178,8 @@ def web_date(text: Column) -> Column:
         r = F.regexp_replace(r, rf"(?i)(\d)\s+{name}$", f"$1 {off}")
     iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?\s*(Z|[+-]\d\d:?\d\d)?)?$"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2"), "^(.{10}) ", "$1T")))
     month = F.when(t.rlike(r"^\d{4}-\d\d$"), F.try_to_timestamp(F.concat(t, F.lit("-01"))))
-    forms = ["d MMM yyyy HH:mm:ss XXX", "d MMM yyyy HH:mm XXX", "d MMM yyyy HH:mm:ss", "d-MMM-yyyy", "MM/dd/yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMMM yyyy"]
-    return F.when(F.length(t) <= 64, F.coalesce(iso, month, *[F.try_to_timestamp(r, F.lit(f)) for f in forms]))
+    r = F.regexp_replace(F.regexp_replace(r, r"^(\d{1,2} [A-Za-z]{3}) ([0-4]\d) (\d\d:)", "$1 20$2 $3"), r"^(\d{1,2} [A-Za-z]{3}) ([5-9]\d) (\d\d:)", "$1 19$2 $3")
+    return F.when(F.length(t) <= 64, F.coalesce(iso, month, *[F.try_to_timestamp(r, F.lit(f)) for f in DATE_FORMS]))
 
 
 # ---- tokens

@@ -28,6 +28,8 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
+#: Depth of a tree. What is nested deeper hangs side by side below an element of this depth, as in browsers, so no walk runs out of stack.
+MAX_DEPTH = 512
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -122,7 +124,7 @@ def _attributes(raw: str) -> dict:
 
 
 def parse(html: str | None) -> Node:
-    """Tree of a page; the root is a '#document' node. Null parses like an empty page."""
+    """Tree of a page; the root is a '#document' node. Null parses like an empty page; no tree is deeper than ``MAX_DEPTH`` + 1."""
     root = Node("#document")
     if not html:
         return label(root)
@@ -191,8 +193,9 @@ def parse(html: str | None) -> Node:
                     break
                 if stack[i].tag in ("table", "td", "th"):
                     break
-        node = Node(tag, stack[-1], _attributes(m[5]))
-        stack[-1].children.append(node)
+        top = stack[-1] if len(stack) <= MAX_DEPTH else stack[MAX_DEPTH]
+        node = Node(tag, top, _attributes(m[5]))
+        top.children.append(node)
         if tag in VOID or m[5].endswith("/>") and tag in ("path", "circle", "rect", "use", "line"):
             continue
         stack.append(node)

@@ -12,11 +12,21 @@ _TRACKED = re.compile(f"(?:{TRACKING_PATTERN})$", re.I)
 _DEFAULT_PORT = {"http": 80, "https": 443}
 
 
+class _Raw(str):
+    """Stands for an address not known yet: references stay as they are written, to be resolved later. One object in every process."""
+
+    def __reduce__(self):
+        return "RAW"
+
+
+RAW = _Raw("")
+
+
 def resolve(value: str | None, base: str | None) -> str:
     """Absolute form of a reference; '' when it can't be resolved."""
     v = (value or "").strip().replace("\\", "/")
-    if not v:
-        return ""
+    if not v or base is RAW:
+        return v
     try:
         out = urljoin(base, v) if base else v
         return out if urlsplit(out).scheme or not base else ""
@@ -26,6 +36,8 @@ def resolve(value: str | None, base: str | None) -> str:
 
 def effective_base(root, url: str | None) -> str | None:
     """The page's base: its first ``base[href]``, resolved on the page's own address."""
+    if url is RAW:
+        return RAW
     b = next((n for n in root.elements("base") if n.get("href").strip()), None)
     return (resolve(b.get("href"), url) or url) if b is not None else url
 

@@ -8,115 +8,207 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.dom import HEADINGS, Node
-from pagemill.functions.urls import resolve
-from pagemill.operators.select import _rows, positional
+from pagemill.operators.extract import is_javascript, srcset
+from pagemill.operators.select import _rows
 
 FINDING = "code string, severity string, message string, element string"
-_URL_ATTRS = ("href", "src", "action", "formaction", "data", "poster")
+COMPATIBILITY = "rule_id string, severity string, message string, selector string, element string, attribute string, value string"
+#: Attributes that hold addresses, and starts of addresses that embed a harmless image.
+URL_ATTRIBUTES = ("href", "xlink:href", "src", "action", "formaction")
+SAFE_IMAGES = (
+    "data:image/png;base64,", "data:image/jpeg;base64,", "data:image/jpg;base64,", "data:image/gif;base64,", "data:image/webp;base64,", "data:image/avif;base64,",
+    "data:image/bmp;base64,", "data:image/x-icon;base64,", "data:image/svg+xml,", "data:image/svg+xml;base64,",
+)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_REFRESH = re.compile(r"^[^;]*;\s*url\s*=\s*(.*)$", re.I | re.S)
 
 
-def unsafe_url(tag: str, attr: str, value: str) -> bool:
-    """Executable schemes, and data addresses other than images where images stand."""
-    v = re.sub(r"[\x00-\x20]", "", value).lower()
-    if v.startswith(("javascript:", "vbscript:")):
-        return True
-    return v.startswith("data:") and not (tag in ("img", "source", "video") and re.match(r"data:image/(?!svg)", v))
+def unsafe_url(tag: str, attr: str, value: str, rel: str = "") -> bool:
+    """Whether an address has a scheme that its place doesn't allow.
 
+    Assets may be loaded by HTTP only, or be an embedded image where an image stands; other
+    addresses may also be mail and telephone ones. Relative addresses are safe.
+    """
+    v = re.sub(r"[\s\x00-\x1f\x7f-\x9f]", "", value).lower()
+    m = _SCHEME.match(v)
+    if not m or m[0] in ("http:", "https:"):
+        return False
+    icon = tag == "link" and attr == "href" and any(w.endswith("icon") for w in rel.lower().split())
+    if (icon or tag == "video" and attr == "poster" or attr == "src" and tag in ("img", "image", "source", "input")) and v.startswith(SAFE_IMAGES):
+        return False
+    asset = attr == "src" or (tag, attr) in (("link", "href"), ("object", "data"), ("video", "poster"))
+    return asset or m[0] not in ("mailto:", "tel:")
 
-def _named(n: Node, root: Node, ids: dict[str, Node], labels: dict[str, str]) -> bool:
-    if n.get("aria-label").strip() or n.get("title").strip() or n.get("alt").strip():
-        return True
-    if any(i in ids and ids[i].clean() for i in n.get("aria-labelledby").split()):
-        return True
-    if labels.get(n.get("id")):
-        return True
-    lab = n.closest("label")
-    if lab is not None and lab.clean():
-        return True
-    return n.tag in ("a", "button") and bool(n.clean() or any(i.get("alt").strip() for i in n.elements("img"))) or n.tag == "input" and n.get("type").lower() in ("submit", "button", "reset") and bool(n.get("value"))
+
+def described(n: Node) -> str:
+    """tag#id, tag.class or tag."""
+    return f"{n.tag}#{n.get('id')}" if n.get("id").strip() else ".".join([n.tag, *n.classes()[:1]])
+
+
+def _shown(n: Node) -> bool:
+    return bool(n.text().strip())
+
+
+def _alt_inside(n: Node) -> bool:
+    return any(i.get("alt").strip() for i in n.elements("img"))
+
+
+class _Names:
+    """What gives the elements of a page their accessible names."""
+
+    def __init__(self, root: Node):
+        self.ids: dict[str, list[Node]] = {}
+        for n in root.elements():
+            if n.get("id").strip():
+                self.ids.setdefault(n.get("id"), []).append(n)
+        self.labels: dict[str, list[Node]] = {}
+        for n in root.elements("label"):
+            if n.get("for").strip():
+                self.labels.setdefault(n.get("for"), []).append(n)
+
+    def named(self, n: Node, own_text: bool) -> bool:
+        kind = n.get("type").lower()
+        return (
+            bool(n.get("aria-label").strip() or n.get("title").strip()) or own_text and _shown(n) or n.tag == "input" and kind == "image" and bool(n.get("alt").strip()) or _alt_inside(n)
+            or any(_shown(x) for i in n.get("aria-labelledby").split() for x in self.ids.get(i, ()))
+            or any(_shown(x) for x in self.labels.get(n.get("id"), ()) if n.get("id"))
+            or any(a.tag == "label" and _shown(a) for a in n.ancestors())
+            or kind in ("submit", "reset") or kind == "button" and bool(n.get("value").strip())
+        )
+
+    def labelled(self, n: Node) -> bool:
+        """The rule for form fields: what a label reads counts as its text, title, or the images in it."""
+        kind = n.get("type").strip().lower()
+        own = n.tag == "button" and (_shown(n) or _alt_inside(n)) or n.tag == "input" and (kind == "image" and n.get("alt").strip() or kind == "button" and n.get("value").strip())
+        return (
+            bool(n.get("aria-label").strip() or n.get("title").strip() or own) or any(readable_label(self.ids[i][0]) for i in n.get("aria-labelledby").split() if i in self.ids)
+            or any(readable_label(x) for x in self.labels.get(n.get("id"), ()) if n.get("id"))
+            or any(a.tag == "label" and "for" not in a.attrs and readable_label(a) for a in n.ancestors())
+        )
+
+
+def readable_label(n: Node) -> bool:
+    return _shown(n) or bool(n.get("aria-label").strip() or n.get("title").strip()) or _alt_inside(n)
 
 
 def audit_tree(root: Node) -> list[dict]:
+    """Findings in the order of the rules: metadata, ids, names, addresses, headings. Codes and messages are fixed values."""
     out: list[dict] = []
 
-    def add(code: str, severity: str, message: str, n: Node | None = None) -> None:
-        out.append({"code": code, "severity": severity, "message": message, "element": positional(n) if n is not None else ""})
+    def add(code: str, severity: str, message: str, element: str) -> None:
+        out.append({"code": code, "severity": severity, "message": message, "element": element})
 
-    html = root.first("html")
-    title = root.first("title")
+    every = list(root.elements())
+    title, html = root.first("title"), root.first("html")
     if title is None or not title.clean():
-        add("missing-title", "Warning", "The page has no title")
+        add("document-title-missing", "Warning", "The document does not define a non-empty title.", "head")
     if html is None or not html.get("lang").strip():
-        add("missing-lang", "Warning", "The page declares no language", html)
-    ids: dict[str, Node] = {}
-    for n in root.elements():
-        i = n.get("id")
-        if i and i in ids:
-            add("duplicate-id", "Error", f"The id '{i}' is used more than once", n)
-        elif i:
-            ids[i] = n
-    labels: dict[str, str] = {}
-    for lab in root.elements("label"):
-        if lab.get("for"):
-            labels[lab.get("for")] = labels.get(lab.get("for"), "") + lab.clean()
-            if lab.get("for") not in ids:
-                add("label-without-target", "Warning", f"No element has the id '{lab.get('for')}'", lab)
-    for n in root.elements("img", "a", "button", "input", "select", "textarea"):
-        if n.tag == "img":
-            if "alt" not in n.attrs:
-                add("missing-alt", "Error", "The image has no alternative text", n)
-        elif n.tag == "a" and "href" not in n.attrs or n.tag == "input" and n.get("type").lower() == "hidden":
-            continue
-        elif not _named(n, root, ids, labels):
-            add("missing-name", "Error", f"The {n.tag} has no accessible name", n)
-    for n in root.elements():
-        for a in _URL_ATTRS:
-            if n.get(a) and unsafe_url(n.tag, a, n.get(a)):
-                add("unsafe-url", "Error", f"The {a} runs code", n)
-        for a in n.attrs:
-            if a.startswith("on"):
-                add("inline-handler", "Info", f"The element has an {a} handler", n)
+        add("document-language-missing", "Warning", "The document root does not declare a language.", "html")
+    names = _Names(root)
+    for i, ns in names.ids.items():
+        if len(ns) > 1:
+            add("duplicate-id", "Error", f"The id '{i}' is used by {len(ns)} elements.", f"#{i}")
+    for n in every:
+        if n.tag == "img" and "alt" not in n.attrs:
+            add("image-alt-missing", "Error", "The image does not define an alt attribute. Use an empty alt value for decorative images.", described(n))
+        if (n.tag == "button" or n.tag == "a" and "href" in n.attrs or n.get("role").lower() in ("button", "link")) and not names.named(n, True):
+            add("interactive-name-missing", "Error", "The interactive element has no accessible name.", described(n))
+        if (n.tag in ("select", "textarea") or n.tag == "input" and n.get("type").lower() != "hidden") and not names.named(n, False):
+            add("form-label-missing", "Error", "The form control has no associated label or accessible name.", described(n))
+    for n in every:
+        places = [a for a in URL_ATTRIBUTES if n.get(a)] + [a for t, a in (("object", "data"), ("video", "poster")) if n.tag == t and n.get(a)]
+        for a in places:
+            if unsafe_url(n.tag, a, n.get(a), n.get("rel")):
+                add("unsafe-url-scheme", "Error", f"The {a} attribute uses an executable URL scheme.", described(n))
+        m = _REFRESH.match(n.get("content")) if n.tag == "meta" and n.get("http-equiv").strip().lower() == "refresh" else None
+        if m and unsafe_url("meta", "href", m[1].strip().strip("\"'")):
+            add("unsafe-url-scheme", "Error", "The meta refresh target uses an executable URL scheme.", described(n))
     last = 0
-    for h in root.elements(*HEADINGS):
-        level = int(h.tag[1])
-        if last and level > last + 1:
-            add("heading-jump", "Warning", f"h{level} follows h{last}", h)
-        last = level
+    for h in every:
+        if h.tag in HEADINGS:
+            level = int(h.tag[1])
+            if last and level > last + 1:
+                add("heading-level-skipped", "Warning", f"Heading hierarchy jumps from h{last} to h{level}.", described(h))
+            last = level
     return out
 
 
 def audit(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Findings of each page in document order; null and empty pages have none."""
+    """Findings of each page; null and empty pages have none."""
     return _rows(pages, lambda root, _: audit_tree(root), FINDING, key, html, None)
 
 
-_OBSOLETE = frozenset("acronym applet basefont bgsound big blink center dir font frame frameset isindex keygen listing marquee multicol nobr noembed noframes plaintext rb rtc spacer strike tt xmp".split())
+_LABELABLE = ("button", "meter", "output", "progress", "select", "textarea")
+
+
+def _link_kind(n: Node) -> bool:
+    rels = set(n.get("rel").lower().split())
+    return bool(rels & {"stylesheet", "modulepreload", "preload", "prefetch", "preconnect", "dns-prefetch", "manifest", "icon", "apple-touch-icon", "mask-icon"})
+
+
+def assets_of(root: Node) -> list[tuple[Node, str, str]]:
+    """(element, attribute, address) of what a page loads: scripts, sheets, hints, icons, images and their candidates, media."""
+    out = []
+    for n in root.elements("script", "link", "img", "input", "source", "audio", "video", "track"):
+        if n.tag == "script":
+            take = ["src"] if "src" in n.attrs and is_javascript(n.get("type")) else []
+        elif n.tag == "link":
+            take = ["href"] if "href" in n.attrs and _link_kind(n) else []
+            if "preload" in n.get("rel").lower().split() and n.get("as").lower() == "image":
+                take.append("imagesrcset")
+        elif n.tag == "input":
+            take = ["src"] if n.get("type").strip().lower() == "image" and "src" in n.attrs else []
+        elif n.tag == "source" and n.parent is not None and n.parent.tag == "picture":
+            take = ["srcset"]
+        else:
+            take = [a for a in (("src", "srcset") if n.tag == "img" else ("poster", "src") if n.tag == "video" else ("src",)) if a in n.attrs]
+        for a in take:
+            out += [(n, a, u) for u, _ in srcset(n.get(a))] if a.endswith("srcset") else [(n, a, n.get(a))]
+    return out
+
 
+def compatibility(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Findings about ids, images, labels, fields, styles and resources of a page; rules and messages are fixed values.
 
-def compatibility(pages: DataFrame, key: str = "page_id", html: str = "html", url: str | None = "url") -> DataFrame:
-    """Findings that keep a page from working everywhere: obsolete elements, mixed content, invalid addresses, missing declarations."""
+    A resource is at fault when its address is blank, holds white space or can't be read, whatever the
+    page's own address; so the operator needs the markup alone. Null and empty pages have none.
+    """
 
-    def fn(root, u):
+    def fn(root, _):
         rows = []
-        add = lambda c, m, n: rows.append({"code": c, "severity": "Warning", "message": m, "element": positional(n) if n is not None else ""})
-        if not any(m.get("charset") or "charset=" in m.get("content").lower() for m in root.elements("meta")):
-            add("missing-charset", "No character set is declared", None)
-        if not any(m.get("name").lower() == "viewport" for m in root.elements("meta")):
-            add("missing-viewport", "No viewport is declared", None)
+
+        def add(rule: str, severity: str, message: str, n: Node, attribute: str | None, value: str | None) -> None:
+            rows.append({"rule_id": rule, "severity": severity, "message": message, "selector": described(n), "element": n.tag, "attribute": attribute, "value": value})
+
+        names = _Names(root)
+        for i, ns in names.ids.items():
+            for n in ns if len(ns) > 1 else ():
+                add("duplicate-id", "Error", f"Duplicate id '{i}'.", n, "id", i)
+        for n in root.elements("img"):
+            if "alt" not in n.attrs:
+                add("missing-img-alt", "Warning", "Image is missing an alt attribute.", n, "alt", n.attrs.get("src"))
+        for n in root.elements("label"):
+            if not readable_label(n):
+                add("empty-label", "Warning", "Label has no readable text.", n, None, None)
+            to = n.get("for")
+            if to.strip() and to not in names.ids:
+                add("label-target-missing", "Error", f"Label references missing id '{to}'.", n, "for", to)
+            elif to.strip():
+                t = names.ids[to][0]
+                if t.tag not in _LABELABLE and not (t.tag == "input" and t.get("type").strip().lower() != "hidden"):
+                    add("label-target-invalid", "Error", f"Label references non-labelable id '{to}'.", n, "for", to)
+        for n in root.elements("input", *_LABELABLE):
+            if not (n.tag == "input" and n.get("type").strip().lower() in ("hidden", "submit", "reset")) and not names.labelled(n):
+                add("form-field-missing-label", "Warning", "Form field has no associated label or accessible name.", n, None, n.attrs.get("name"))
         for n in root.elements():
-            if n.tag in _OBSOLETE:
-                add("obsolete-element", f"{n.tag} is obsolete", n)
-            for a in ("src", "href"):
-                v = n.get(a)
-                if v and n.tag in ("img", "script", "link", "iframe", "source") and not v.startswith("data:"):
-                    full = resolve(v, u)
-                    if not full:
-                        add("invalid-resource-url", f"{a} can't be resolved", n)
-                    elif (u or "").startswith("https:") and full.startswith("http:"):
-                        add("mixed-content", f"{a} is loaded without encryption", n)
+            if "style" in n.attrs and not n.get("style").strip():
+                add("empty-inline-style", "Info", "Element has an empty inline style attribute.", n, "style", None)
+        for n, a, u in assets_of(root):
+            if not u.strip() or re.search(r"\s", u.strip()):
+                rows.append({"rule_id": "invalid-resource-url", "severity": "Error", "message": f"Asset URL '{u}' could not be resolved.", "selector": n.tag, "element": n.tag, "attribute": a, "value": u})
         return rows
 
-    return _rows(pages, fn, FINDING, key, html, url)
+    return _rows(pages, fn, COMPATIBILITY, key, html, None)
 
 
 #: What in a page's scripts needs a network at run time.

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+from heapq import nsmallest
+
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.batches import spread
+from pagemill.functions.batches import map_arrow
 from pagemill.functions.columns import fingerprint, glob, host_in_scope, squash, summary_crawl, url_host, url_path
 from pagemill.session import materialise
 
 CHUNK_WORDS, CHUNK_OVERLAP = 140, 30
+_KEYWORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}'_-]*")
 
 #: Words that are no keywords.
 STOP_WORDS = (
-    "about after all also and any are because been before being between both but can could did does doing each few for from further had has have having her here his how into its just more most not now off once only other our out over own same she should some such than that the their them then there these they this those through too under until very was were what when where which while who why will with you your"
+    "a an and are as at be been but by for from had has have he her him his i if in into is it its me more most my no not of on or our ours she so some than that the their "
+    "them then there these they this those to too up us was we were what when where which who will with you your"
 ).split()
 
 
@@ -66,12 +72,35 @@ def distinct_chunks(chunks: DataFrame, key: str) -> DataFrame:
 
 
 def keywords(docs: DataFrame, key: str, text: str = "text", top: int = 12, stop: list[str] | None = None) -> DataFrame:
-    """The ``top`` most frequent words of each text: three letters or more, no stop words; ties by the word itself."""
-    stop = STOP_WORDS if stop is None else stop
-    w = spread(docs.select(key, text)).select(key, F.explode(F.expr(rf"regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\'_-]*', 0)")).alias("w"))
-    w = w.select(key, F.regexp_replace(F.lower(F.regexp_replace("w", "^['_-]+|['_-]+$", "")), "'s$", "").alias("term")).where((F.length("term") >= 3) & ~F.col("term").isin(stop))
-    n = w.groupBy(key, "term").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))).where(F.col("rank") <= top)
+    """``key, term, n, rank``: the ``top`` most frequent words of each text: three letters or more, no stop words; ties by the word itself.
+
+    All words of a text are in its row, so they are counted there, batch by batch; nothing is shuffled.
+    Null and empty texts have none; repeated keys are separate texts.
+    """
+    drop = frozenset(STOP_WORDS if stop is None else stop)
+    kind = docs.schema[key].dataType.simpleString()
+
+    def fn(b, terms):
+        out: dict = {"key": [], "term": [], "n": [], "rank": []}
+        for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            seen: Counter = Counter()
+            for w, n in Counter(_KEYWORD.findall(t or "")).items():
+                term = terms.get(w)
+                if term is None:
+                    if len(terms) > 200_000:
+                        terms.clear()
+                    term = w.strip("'_-").lower()
+                    term = terms[w] = term[:-2] if term.endswith("'s") else term
+                if len(term) >= 3 and term not in drop:
+                    seen[term] += n
+            for i, (term, n) in enumerate(nsmallest(top, seen.items(), key=lambda x: (-x[1], x[0]))):
+                out["key"].append(k)
+                out["term"].append(term)
+                out["n"].append(n)
+                out["rank"].append(i + 1)
+        return out
+
+    return map_arrow(docs.select(F.col(key).alias("key"), text), fn, f"key {kind}, term string, n bigint, rank int", dict).withColumnRenamed("key", key)
 
 
 # ---- graph

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from pagemill.functions.batches import pieces, spread
 from pagemill.functions.dom import HEADINGS, Node, normal, parse
 from pagemill.functions.text import fragment_lines, fragment_text, markdown, readable, words
-from pagemill.functions.urls import crawl_key, effective_base, is_external, normalise, resolve
+from pagemill.functions.urls import RAW, crawl_key, effective_base, is_external, normalise, resolve
 from pagemill.operators import tables as T
 
 _QUIET = frozenset(("script", "style", "noscript", "template", "svg"))
@@ -67,9 +67,11 @@ def direct_lists(root: Node, url):
 
 
 def table_rows(root: Node, url):
-    for t in T.read_tables(root, base=effective_base(root, url)):
+    for t in T.read_tables(root):
         for k, r in enumerate(t["rows"]):
-            yield {"table_ix": t["table_ix"], "caption": t["caption"], "row_ix": k, "cells": list(r.items())}
+            yield {"table_ix": t["table_ix"], "caption": t["caption"], "row_ix": k, "cells": list(r.items()), "error": None}
+        if t["error"]:
+            yield {"table_ix": t["table_ix"], "caption": t["caption"], "row_ix": None, "cells": [], "error": t["error"]}
 
 
 def table_heads(root: Node, url):
@@ -142,9 +144,8 @@ def forms(root: Node, url):
     by = _controls(root)
     for i, f in enumerate(root.elements("form")):
         cs = by.get(f.pre, [])
-        action = resolve(f.get("action"), base) or (url or "")
         yield {
-            "form_ix": i, "id": f.get("id"), "name": f.get("name"), "action": action if action.lower().startswith(("http:", "https:")) or not base else "",
+            "form_ix": i, "id": f.get("id"), "name": f.get("name"), "action": _action(f.get("action"), base, url),
             "method": (f.get("method") or "get").upper(), "fields": [{"name": c.get("name"), "type": _kind(c), "value": _value(c)} for c in cs],
             "successful": [{"key": k, "value": v} for c in cs for k, v in successful(c)],
             "login": any(_kind(c) == "password" for c in cs),
@@ -152,6 +153,14 @@ def forms(root: Node, url):
         }
 
 
+def _action(raw: str, base, url) -> str:
+    """Where a form is sent: its action, else the page; '' where that is no web address."""
+    if base is RAW:
+        return raw
+    a = resolve(raw, base) or (url or "")
+    return a if a.lower().startswith(("http:", "https:")) or not base else ""
+
+
 def _relay(f: Node, cs: list[Node], root: Node) -> str | None:
     """Protocol of a form that submits itself with hidden fields only."""
     shown = [c for c in cs if _kind(c) not in ("hidden", "submit")]
@@ -223,14 +232,14 @@ def json_ld(root: Node, url):
             continue
         raw = s.text().strip()
         try:
-            items = _ld_items(json.loads(raw))
-        except ValueError as e:
+            items = [(it, json.dumps(it, ensure_ascii=False)) for it in _ld_items(json.loads(raw))]
+        except (ValueError, RecursionError) as e:
             yield {"item_ix": i, "type": "", "name": "", "raw": raw, "error": str(e)}
             i += 1
             continue
-        for it in items:
+        for it, text in items:
             t = it.get("@type", "") if isinstance(it, dict) else ""
-            yield {"item_ix": i, "type": ",".join(map(str, t)) if isinstance(t, list) else str(t or ""), "name": str(it.get("name") or "") if isinstance(it, dict) else "", "raw": json.dumps(it, ensure_ascii=False), "error": None}
+            yield {"item_ix": i, "type": ",".join(map(str, t)) if isinstance(t, list) else str(t or ""), "name": str(it.get("name") or "") if isinstance(it, dict) else "", "raw": text, "error": None}
             i += 1
 
 
@@ -253,13 +262,16 @@ def head_links(root: Node, url):
 
 
 def canonical(root: Node, url):
-    base = effective_base(root, url)
-    for n in root.elements("link"):
-        if "canonical" in n.get("rel").lower().split():
-            u = resolve(n.get("href"), base)
-            if u.lower().startswith(("http:", "https:")):
-                yield {"url": normalise(u)}
-                return
+    rows = [{"url": n.get("href")} for n in root.elements("link") if "canonical" in n.get("rel").lower().split()]
+    return rows if url is RAW else _first_canonical(rows, effective_base(root, url), url)
+
+
+def _first_canonical(rows, base, url):
+    for r in rows:
+        u = resolve(r["url"], base)
+        if u.lower().startswith(("http:", "https:")):
+            return [{"url": normalise(u)}]
+    return []
 
 
 # ---- links and resources
@@ -277,13 +289,15 @@ def links(root: Node, url, max_context: int = 300):
 
 
 def crawl_links(root: Node, url):
-    base = effective_base(root, url)
+    rows = [{"url": h} for a in root.elements("a", "area") if (h := a.get("href").strip()) and not h.lower().startswith(("javascript:", "mailto:", "tel:"))]
+    rows = list({r["url"]: r for r in rows}.values())
+    return rows if url is RAW else _distinct_links(rows, effective_base(root, url), url)
+
+
+def _distinct_links(rows, base, url):
     seen: dict[str, None] = {}
-    for a in root.elements("a", "area"):
-        h = a.get("href").strip()
-        if not h or h.lower().startswith(("javascript:", "mailto:", "tel:")):
-            continue
-        u = resolve(h, base)
+    for r in rows:
+        u = resolve(r["url"], base)
         if u.lower().startswith(("http:", "https:")):
             seen.setdefault(crawl_key(u))
     return [{"url": u} for u in seen]
@@ -326,13 +340,11 @@ _ASSET_RELS = frozenset("stylesheet icon shortcut apple-touch-icon manifest prel
 def crawl_assets(root: Node, url):
     from pagemill.functions.css import urls as css_urls
 
-    base = effective_base(root, url)
-    seen: dict[str, str] = {}
+    rows: dict[tuple, dict] = {}
 
     def take(value: str, kind: str) -> None:
-        u = resolve(value, base)
-        if u.lower().startswith(("http:", "https:")):
-            seen.setdefault(u.split("#")[0], kind)
+        if value.strip():
+            rows.setdefault((value, kind), {"url": value, "kind": kind})
 
     for n in root.elements():
         if n.tag == "link" and not _ASSET_RELS & set(n.get("rel").lower().split()):
@@ -346,6 +358,15 @@ def crawl_assets(root: Node, url):
         if n.tag == "noscript":
             for m in parse(n.text()).elements("img"):
                 take(m.get("src"), "noscript")
+    return list(rows.values()) if url is RAW else _distinct_assets(rows.values(), effective_base(root, url), url)
+
+
+def _distinct_assets(rows, base, url):
+    seen: dict[str, str] = {}
+    for r in rows:
+        u = resolve(r["url"], base)
+        if u.lower().startswith(("http:", "https:")):
+            seen.setdefault(u.split("#")[0], r["kind"])
     return [{"url": u, "kind": k} for u, k in seen.items()]
 
 
@@ -446,7 +467,7 @@ def js_variables(script: str) -> list[tuple[str, str]]:
             if s:
                 try:
                     out.append((member_path(m[1]), json.dumps(json.loads(js_literal(s[0])), ensure_ascii=False)))
-                except (ValueError, TypeError):
+                except (ValueError, TypeError, RecursionError):
                     pass
             continue
         try:
@@ -472,9 +493,10 @@ def app_state(root: Node, url):
     for i, s in enumerate(root.elements("script")):
         if s.get("id") in _STATE_NAMES:
             try:
-                yield {"name": s.get("id"), "source": "id", "json": json.dumps(json.loads(s.text()), ensure_ascii=False)}
-            except ValueError:
+                state = json.dumps(json.loads(s.text()), ensure_ascii=False)
+            except (ValueError, RecursionError):
                 continue
+            yield {"name": s.get("id"), "source": "id", "json": state}
         elif not s.get("src") and is_javascript(s.get("type")):
             for name, value in js_variables(s.text()):
                 if name in _STATE_NAMES:
@@ -497,7 +519,7 @@ def script_data(root: Node, url):
             try:
                 json.loads(raw)
                 ok = True
-            except ValueError:
+            except (ValueError, RecursionError):
                 ok = False
             yield {"script_ix": i, "type": t, "id": s.get("id"), "json": raw, "valid": ok}
 
@@ -579,25 +601,27 @@ def has_sensitive_query(u: str, depth: int = 0) -> bool:
 def api_inventory(root: Node, url):
     """Endpoints, forms and linked endpoints with a risk and its reasons."""
     base = effective_base(root, url)
-    rows: dict = {}
+    rows = [{"kind": "javascript", "method": r["method"], "resolved_url": r["url"], "name": r["operation"], "risk": "", "reasons": []} for r in endpoints(root, url)]
+    rows += [{"kind": "form", "method": f["method"], "resolved_url": f["action"], "name": f["name"] or f["id"], "risk": "", "reasons": []} for f in forms(root, RAW)]
+    return rows if url is RAW else _assessed(rows, base, url)
+
 
-    def take(kind: str, method: str, raw: str, name: str) -> None:
+def _assessed(rows, base, url):
+    out: dict = {}
+    for r in rows:
+        method, raw = r["method"], r["resolved_url"]
+        raw = _action(raw, base, url) if r["kind"] == "form" else raw
         full = resolve(raw, base) or raw
         reasons = [
-            r for r, on in (
+            x for x, on in (
                 ("state-changing", method in _STATE_CHANGING), ("sensitive-query", has_sensitive_query(full)), ("external", is_external(full, base)),
                 ("auth", bool(re.search(r"auth|login|token|session", full, re.I))), ("unknown-method", not method),
             ) if on
         ]
         risk = "High" if {"state-changing", "sensitive-query"} & set(reasons) else "Medium" if reasons else "Low"
-        rows.setdefault((kind, method, full.lower(), name.lower()), {"kind": kind, "method": method, "resolved_url": full, "name": name, "risk": risk, "reasons": reasons})
-
-    for r in endpoints(root, url):
-        take("javascript", r["method"], r["url"], r["operation"])
-    for f in forms(root, url):
-        take("form", f["method"], f["action"], f["name"] or f["id"])
+        out.setdefault((r["kind"], method, full.lower(), r["name"].lower()), {**r, "resolved_url": full, "risk": risk, "reasons": reasons})
     rank = {"High": 0, "Medium": 1, "Low": 2}
-    return sorted(rows.values(), key=lambda r: (rank[r["risk"]], r["kind"], r["resolved_url"]))
+    return sorted(out.values(), key=lambda r: (rank[r["risk"]], r["kind"], r["resolved_url"]))
 
 
 _FLIGHT = re.compile(r"self\.__next_f\.push\(\s*")
@@ -615,11 +639,11 @@ def flight_rows(root: Node, url):
             lit = balanced(text, m.end())
             try:
                 v = js_literal(lit) if lit else None
-            except ValueError:
+                if isinstance(v, list) and len(v) > 1 and isinstance(v[1], str):
+                    parts.append((k, base64.b64decode(v[1]).decode("utf-8", "replace") if v[0] == 3 else v[1]))
+                    k += 1
+            except (ValueError, RecursionError):
                 continue
-            if isinstance(v, list) and len(v) > 1 and isinstance(v[1], str):
-                parts.append((k, base64.b64decode(v[1]).decode("utf-8", "replace") if v[0] == 3 else v[1]))
-                k += 1
     data = "".join(p for _, p in parts).encode()
     ends, n = [], 0
     for k, p in parts:
@@ -643,9 +667,10 @@ def flight_rows(root: Node, url):
         try:
             json.loads(text)
             js = text
-        except ValueError:
+        except (ValueError, RecursionError):
             js = None
-        yield {"row_ix": i, "id": int(m[1] or b"0", 16), "tag": m[2].decode(), "data": text, "json": js, "complete": stop <= len(data), "payload_ix": next((k for e, k in ends if at < e), -1)}
+        # Numbers past 64 bits can't be told apart as numbers; they share the id -1.
+        yield {"row_ix": i, "id": int(m[1] or b"0", 16) if len(m[1]) <= 15 else -1, "tag": m[2].decode(), "data": text, "json": js, "complete": stop <= len(data), "payload_ix": next((k for e, k in ends if at < e), -1)}
         i += 1
         at = nxt
 
@@ -672,7 +697,7 @@ def _sample_kind(text: str) -> str:
         try:
             json.loads(t)
             return "json"
-        except ValueError:
+        except (ValueError, RecursionError):
             return "code"
     return "markup" if t.startswith("<") else "shell" if re.match(r"(?:\$|>|PS>) ", t) else "code"
 
@@ -747,6 +772,10 @@ def layout(root: Node, url):
 _INTENT = (("buy", r"buy|cart|order|checkout"), ("signup", r"sign ?up|register|join|start"), ("login", r"log ?in|sign ?in"), ("download", r"download|install"), ("contact", r"contact|demo|talk"), ("learn", r"learn|read|docs|guide"))
 
 
+#: Fixed value: primary actions of a page.
+MOST_ACTIONS = 8
+
+
 def actions(root: Node, url):
     base = effective_base(root, url)
     out = []
@@ -758,7 +787,7 @@ def actions(root: Node, url):
         score = (30 if n.tag != "a" else 0) + (25 if intent else 0) + (20 if re.search(r"btn|button|cta|primary", n.get("class"), re.I) else 0) - (25 if n.closest("nav", "footer") else 0) - (10 if len(label) > 40 else 0)
         if score >= 20:
             out.append({"label": label, "url": resolve(n.get("href"), base), "intent": intent, "score": score, "pre": n.pre})
-    return [{k: v for k, v in r.items() if k != "pre"} for r in sorted(out, key=lambda r: (-r["score"], r["pre"]))[:10]]
+    return [{k: v for k, v in r.items() if k != "pre"} for r in sorted(out, key=lambda r: (-r["score"], r["pre"]))[:MOST_ACTIONS]]
 
 
 _METHOD_LINE = re.compile(r"^\s*(GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+(/\S*|https?://\S+)", re.M)
@@ -814,25 +843,29 @@ def publication_dates(root: Node, url):
         for a in ("property", "name", "itemprop"):
             if m.get(a):
                 metas[m.get(a).lower()].append(m.get("content").strip())
-
-    def one(values) -> str | None:
-        v = {x for x in values if x}
-        return v.pop() if len(v) == 1 else None
-
-    pub = one(v for k in ("article:published_time", "published_time", "pubdate", "datepublished") for v in metas[k])
-    mod = one(v for k in ("article:modified_time", "last-modified", "modified_time", "datemodified") for v in metas[k])
-    arts = []
+    pub = _only(v for k in ("article:published_time", "published_time", "pubdate", "datepublished") for v in metas[k])
+    mod = _only(v for k in ("article:modified_time", "last-modified", "modified_time", "datemodified") for v in metas[k])
+    rows = [{"published": pub, "modified": mod, "bound": None}]
     for r in json_ld(root, url):
         if r["error"] is None and re.search(r"Article|Posting", r["type"]):
             v = json.loads(r["raw"])
-            bound = v.get("mainEntityOfPage") or v.get("url") or ""
-            bound = bound.get("@id", "") if isinstance(bound, dict) else bound
-            arts.append((normalise(bound) == normalise(url or "") if bound else False, v))
-    mine = [v for b, v in arts if b] or ([arts[0][1]] if len(arts) == 1 else [])
-    pub = pub or one(str(v.get("datePublished") or "") for v in mine)
-    mod = mod or one(str(v.get("dateModified") or "") for v in mine)
-    if pub or mod:
-        yield {"published": pub, "modified": mod}
+            to = v.get("mainEntityOfPage") or v.get("url") or ""
+            to = to.get("@id", "") if isinstance(to, dict) else to
+            rows.append({"published": str(v.get("datePublished") or ""), "modified": str(v.get("dateModified") or ""), "bound": to if isinstance(to, str) else ""})
+    return rows if url is RAW else _bound_dates(rows, effective_base(root, url), url)
+
+
+def _only(values) -> str | None:
+    v = {x for x in values if x}
+    return v.pop() if len(v) == 1 else None
+
+
+def _bound_dates(rows, base, url):
+    head, *articles = rows
+    own = [a for a in articles if a["bound"] and normalise(a["bound"]) == normalise(url or "")] or (articles if len(articles) == 1 else [])
+    pub = head["published"] or _only(a["published"] for a in own)
+    mod = head["modified"] or _only(a["modified"] for a in own)
+    return [{"published": pub, "modified": mod, "bound": None}] if pub or mod else []
 
 
 _DATA = ("meta", "open_graph", "json_ld", "app_state", "head_links", "tokens", "endpoints", "script_data", "images", "links", "forms")
@@ -870,7 +903,7 @@ EXTRACTORS: dict = {
     "outline": (outline, "ord int, level int, title string, id string, parent_ord int"),
     "lists": (lists, "list_ix int, ordered boolean, item_ix int, segments array<string>"),
     "direct_lists": (direct_lists, "list_ix int, ordered boolean, item_ix int, segments array<string>"),
-    "tables": (table_rows, "table_ix int, caption string, row_ix int, cells map<string,string>"),
+    "tables": (table_rows, "table_ix int, caption string, row_ix int, cells map<string,string>, error string"),
     "table_heads": (table_heads, "table_ix int, caption string, id string, classes string, headers array<string>, types array<string>, row_count int, error string"),
     "reversed_tables": (reversed_tables, "table_ix int, cells map<string,string>"),
     "forms": (forms, "form_ix int, id string, name string, action string, method string, fields array<struct<name:string,type:string,value:string>>, successful array<struct<key:string,value:string>>, login boolean, relay string"),
@@ -894,7 +927,7 @@ EXTRACTORS: dict = {
     "tokens": (tokens, "name string, value string, source string"),
     "endpoints": (endpoints, "script_ix int, method string, url string, client string, operation string"),
     "api_inventory": (api_inventory, "kind string, method string, resolved_url string, name string, risk string, reasons array<string>"),
-    "flight_rows": (flight_rows, "row_ix int, id int, tag string, data string, json string, complete boolean, payload_ix int"),
+    "flight_rows": (flight_rows, "row_ix int, id bigint, tag string, data string, json string, complete boolean, payload_ix int"),
     "code_blocks": (code_blocks, "block_ix int, language string, code string, lines int, kind string"),
     "breadcrumbs": (breadcrumbs, "trail_ix int, item_ix int, label string, url string"),
     "faq": (faq, "question string, answer string, source string"),
@@ -906,48 +939,111 @@ EXTRACTORS: dict = {
     "statistics": (statistics, "words int, links int, images int, elements int, headings int, paragraphs int, tables int, lists int, forms int, scripts int, depth int"),
     "text": (page_text, "title string, lang string, text string, lines string, markdown string"),
     "readable": (readable_rows, "text string, title string, selector string, score double, candidates int, words int"),
-    "publication_dates": (publication_dates, "published string, modified string"),
+    "publication_dates": (publication_dates, "published string, modified string, bound string"),
     "facts": (facts, "ord int, kind string, source_ix int, name string, value string"),
     "plan": (plan, "mode string, confidence string, words int, links int, forms int, scripts int"),
 }
 
 
+def _resolved(field: str, only=None, external: str | None = None, keep=None):
+    """A finisher that resolves one field, in rows where ``only`` holds; rows that ``keep`` rejects go."""
+
+    def finish(rows, base, url):
+        out = []
+        for r in rows:
+            if r[field] and (only is None or only(r)):
+                r = {**r, field: resolve(r[field], base)}
+            if external:
+                r[external] = is_external(r[field], base)
+            if keep is None or keep(r):
+                out.append(r)
+        return out
+
+    return finish
+
+
+#: Kinds whose rows hold addresses, with what resolves them once the page's own address is known.
+LATE = {
+    "forms": lambda rows, base, url: [{**r, "action": _action(r["action"], base, url)} for r in rows],
+    "head_links": _resolved("url", lambda r: r["tag"] == "link"), "canonical": _first_canonical, "links": _resolved("url", external="external", keep=lambda r: r["url"]),
+    "crawl_links": _distinct_links, "images": _resolved("url"), "crawl_assets": _distinct_assets, "resources": _resolved("source"), "scripts": _resolved("src"),
+    "api_inventory": _assessed, "breadcrumbs": _resolved("url"), "actions": _resolved("url"), "publication_dates": _bound_dates,
+}
+
+
+def _schemas(kinds: list[str]):
+    structs = {k: _parse_datatype_string(EXTRACTORS[k][1]) for k in kinds}
+    return structs, {k: pa.list_(to_arrow_type(s)) for k, s in structs.items()}, {k: [f.name for f in s] for k, s in structs.items()}
+
+
 def extract_many(pages: DataFrame, kinds: list[str], key: str = "page_id", html: str = "html", url: str | None = "url") -> DataFrame:
     """``key`` and one array column of rows per kind, from one parse of each page.
 
     ``url`` names the column of page addresses, or is None where there is none.
     """
-    structs = {k: _parse_datatype_string(EXTRACTORS[k][1]) for k in kinds}
-    arrow = {k: pa.list_(to_arrow_type(s)) for k, s in structs.items()}
+    return _extract(pages, kinds, key, html, url, False)
+
+
+def _extract(pages: DataFrame, kinds: list[str], key: str, html: str, url: str | None, late: bool) -> DataFrame:
+    structs, arrow, names = _schemas(kinds)
     kd = pages.schema[key].dataType
-    names = {k: [f.name for f in s] for k, s in structs.items()}
 
     def run(batches):
         for b in (x for batch in batches for x in pieces(batch)):
             out: dict = {k: [] for k in kinds}
+            bases: list = []
             urls = b.column(2).to_pylist()
             for h, u in zip(b.column(1).to_pylist(), urls):
                 root = parse(h) if h else None
+                bases.append(next((n.get("href") for n in root.elements("base") if n.get("href").strip()), None) if late and root is not None else None)
                 for k in kinds:
-                    rows = list(EXTRACTORS[k][0](root, u)) if root is not None else []
+                    rows = list(EXTRACTORS[k][0](root, RAW if late and k in LATE else u)) if root is not None else []
                     out[k].append([{n: r[n] for n in names[k]} for r in rows])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(out[k], arrow[k]) for k in kinds]], names=["key", *kinds])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bases, pa.string()), *[pa.array(out[k], arrow[k]) for k in kinds]], names=["key", "base", *kinds])
 
-    schema = StructType().add("key", kd)
+    schema = StructType().add("key", kd).add("base", "string")
     for k in kinds:
-        schema = schema.add(k, _array(structs[k]))
+        schema = schema.add(k, ArrayType(structs[k]))
     src = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), (F.col(url) if url else F.lit(None).cast("string")).alias("url"))
-    return spread(src).mapInArrow(run, schema).withColumnRenamed("key", key)
-
+    got = spread(src).mapInArrow(run, schema)
+    return got if late else got.drop("base").withColumnRenamed("key", key)
 
-def _array(s: StructType):
-    from pyspark.sql.types import ArrayType
 
-    return ArrayType(s)
+def extract_joined(pages: DataFrame, kinds: list[str], urls: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """As ``extract_many``, for pages whose addresses stand in another table ``urls`` (key, url).
 
+    Pages are parsed where they are read; only the extracted rows, with the references as they are
+    written and the page's base, meet the addresses in a join and are resolved after it. A page's
+    markup is never shuffled, and kinds without addresses need no join at all.
+    """
+    late = [k for k in kinds if k in LATE]
+    got = _extract(pages, kinds, key, html, None, True)
+    if not late:
+        return got.drop("base").withColumnRenamed("key", key)
+    structs, arrow, _ = _schemas(kinds)
+    one = urls.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min("url").alias("url"))
+    j = got.join(one, "key", "left").select("key", "base", "url", *kinds)
 
-def extract(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html", url: str | None = "url") -> DataFrame:
-    """Rows of one kind, each with its page's key."""
-    return extract_many(pages, [kind], key, html, url).select(key, F.explode(kind).alias("r")).select(key, "r.*")
+    def run(batches):
+        for b in (x for batch in batches for x in pieces(batch)):
+            cols = [b.column(0)]
+            bases, own = b.column(1).to_pylist(), b.column(2).to_pylist()
+            bases = [(resolve(x, u) or u) if x else u for x, u in zip(bases, own)]
+            for i, k in enumerate(kinds):
+                if k in LATE:
+                    rows = [LATE[k](r, x, u) if r else [] for r, x, u in zip(b.column(3 + i).to_pylist(), bases, own)]
+                    cols.append(pa.array(rows, arrow[k]))
+                else:
+                    cols.append(b.column(3 + i))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", *kinds])
+
+    schema = StructType().add("key", pages.schema[key].dataType)
+    for k in kinds:
+        schema = schema.add(k, ArrayType(structs[k]))
+    return j.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
+def extract(pages: DataFrame, kind: str, key: str = "page_id", html: str = "html", url: str | None = "url", urls: DataFrame | None = None) -> DataFrame:
+    """Rows of one kind, each with its page's key; addresses are of the column ``url`` or, where given, of the table ``urls``."""
+    got = extract_joined(pages, [kind], urls, key, html) if urls is not None else extract_many(pages, [kind], key, html, url)
+    return got.select(key, F.explode(kind).alias("r")).select(key, "r.*")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pagemill.functions.dom import Node, normal
 from pagemill.functions.text import fragment_lines
@@ -102,10 +103,12 @@ def read_table(
     out: list[dict] = []
     active: dict[int, tuple[int, str | None, str]] = {}
     group = None
-    for at, (row, _, g) in enumerate(data):
+    remaining = Counter(g for _, _, g in data)
+    for row, _, g in data:
         if g != group:
             active, group = {}, g
-        left = sum(1 for _, _, h in data[at:] if h == g)
+        left = remaining[g]
+        remaining[g] -= 1
         record: dict = {}
         col = 0
         cells = iter(_cells(row))

@@ -28,7 +28,7 @@ def decode_bytes(data: bytes | None, charset: str | None = None) -> str | None:
     for bom, enc in _BOMS:
         if data.startswith(bom):
             return data[len(bom) :].decode(enc, "replace")
-    m = _CHARSET.search(data[:4096])
+    m = _CHARSET.search(data)
     for name in (charset, m[1].decode() if m else None):
         try:
             if name:
