@@ -48,6 +48,25 @@ def test_paths_match_walk(record):
     assert sorted(got) == sorted(walk(record))
 
 
+@settings(max_examples=200, deadline=None)
+@given(tree)
+def test_reader_of_any_depth(v):
+    text = json.dumps(v)
+    deep = "[" * 5000 + text + "]" * 5000
+    got = N.read_json(deep)
+    for _ in range(5000):
+        (got,) = got
+    assert got == v
+    for bad in ("[" * 5000 + "1 2" + "]" * 5000, "[" * 5000, "[" * 5000 + "]" * 4999, "[" * 5000 + "{,}" + "]" * 5000, "[" * 5000 + "]" * 5000 + "x"):
+        assert N._loads(bad) is None
+
+
+def test_records_of_any_depth():
+    text = '{"Items":[' * 1500 + '{"Name":"x"}' + "]}" * 1500
+    rows = N.unfold(N._loads(text))
+    assert len(rows) == 1500 and rows[-1][1].count("Items[0]") == 1500 and rows[0][2] == "" and all(a[4] == b[5] for a, b in zip(rows, rows[1:]))
+
+
 def test_cases(spark):
     rec = {"items": [{"Name": "a", "Data": '[{"x":1},null,{"x":1}]'}, None, {"Name": "a", "Data": {"x": 1}}], "Body": '{"Items":[{}]}'}
     rows = [(1, json.dumps(rec), "p"), (1, json.dumps(rec), "q"), (2, None, ""), (3, "", ""), (4, '{"Items":[{"a":', ""), (5, json.dumps(json.dumps(rec)), ""), (6, "null", ""), (7, "[1,2]", ""), (8, "[" * 100_000, ""), (9, json.dumps({"Items": {"n": "x" * 200_000}}), "")]
@@ -60,6 +79,7 @@ def test_cases(spark):
     assert len(same) == 1
     o = {r["kind"]: r for r in N.objects(b.where("page_id = 5 and kind = 'Data'")).collect()}
     assert o["Data"]["occurrences"] == 3 and json.loads(o["Data"]["attributes"]) == {"X": 1}
+    assert {r["occurrences"] for r in N.objects(b.where("page_id = 1 and kind = 'Data'")).collect()} == {3}
     flat = N.flat_table(b, "Items", ["Name"]).where("page_id = 5").orderBy("node_path").collect()
     assert [r["Name"] for r in flat] == ["a", "a"]
     assert N.bridge(df.limit(0)).count() == 0
