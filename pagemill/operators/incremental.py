@@ -9,9 +9,11 @@ A failed run publishes nothing, so the next run covers the same interval again.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +70,9 @@ def changed_records(pages: DataFrame) -> DataFrame:
     """
     r = first_deliveries(pages)
     known = r.where(F.col("url").isNotNull())
-    p = with_previous(
-        known, "url", ["started", "page_id"], ["page_id", "entity_tag", "last_modified"], F.coalesce(F.date_trunc("month", "started"), F.to_timestamp(F.lit("1900-01-01")))
-    )
+    # Days, and within records without a start ranges of ids, which order as the records do.
+    bucket = F.struct(F.date_trunc("day", "started").alias("day"), F.when(F.col("started").isNull(), F.expr("page_id div 65536")).alias("range"))
+    p = with_previous(known, "url", ["started", "page_id"], ["page_id", "entity_tag", "last_modified"], bucket)
     a, b = strong_tag(F.col("entity_tag")), strong_tag(F.col("previous.entity_tag"))
     p = p.withColumn(
         "reason",
@@ -92,22 +94,30 @@ def commit_windows(runs: DataFrame) -> DataFrame:
 
     ``high`` is the attempt's own start; ``low`` the start of the succeeded attempt before it
     (null for the first). Attempts without a start are left out; equal starts leave the later
-    ids an empty window.
+    ids an empty window. Attempts are ordered month by month, never all in one task.
     """
     ok = runs.where((F.col("proc_state") == "succeeded") & F.col("started").isNotNull()).select("proc_id", "started").distinct()
-    return ok.select("proc_id", F.lag("started").over(Window.orderBy("started", "proc_id")).alias("low"), F.col("started").alias("high"))
+    w = with_previous(ok.withColumn("_all", F.lit(1)), "_all", ["started", "proc_id"], ["started"], F.date_trunc("month", "started"))
+    return w.select("proc_id", F.col("previous.started").alias("low"), F.col("started").alias("high"))
+
+
+#: Parts of a day's records; windows are repeated for each.
+PARTS = 16
 
 
-def assign_windows(records: DataFrame, windows: DataFrame, at: str = "stored_at") -> DataFrame:
+def assign_windows(records: DataFrame, windows: DataFrame, at: str = "stored_at", key: str = "page_id") -> DataFrame:
     """Give each record the window that holds its commit time.
 
-    An interval join by day: windows are repeated for each day they touch, so it is an equi-join
-    whatever the number of windows. The one window without a lower bound is the only row fetched;
-    the records before its end are its own.
+    An interval join by day and part of the day's records: windows are repeated for each day they
+    touch, so it is an equi-join whatever the number of windows, and a day with most of all records
+    is many tasks. The one window without a lower bound is the only row fetched; the records before
+    its end are its own.
     """
     first = windows.where("low is null").agg(F.min(F.struct("high", "proc_id")).alias("f")).first()["f"]
     w = windows.where("low < high").select("proc_id", "low", "high", F.explode(F.sequence(F.to_date("low"), F.to_date("high"))).alias("_w"))
-    j = records.withColumn("_d", F.to_date(at)).join(w, (F.col("_d") == F.col("_w")) & (F.col(at) >= F.col("low")) & (F.col(at) < F.col("high")), "left")
+    w = w.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    r = records.withColumn("_d", F.to_date(at)).withColumn("_q", F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+    j = r.join(w, (F.col("_d") == F.col("_w")) & (F.col("_q") == F.col("_p")) & (F.col(at) >= F.col("low")) & (F.col(at) < F.col("high")), "left")
     owner = F.col("proc_id") if first is None else F.when(F.col(at) < F.lit(first["high"]), F.lit(first["proc_id"])).otherwise(F.col("proc_id"))
     return j.select(owner.alias("proc_id"), *records.columns).where("proc_id is not null")
 
@@ -117,33 +127,62 @@ def run_assignment(pages: DataFrame, runs: DataFrame) -> DataFrame:
     return assign_windows(changed_records(pages), commit_windows(runs)).select("proc_id", "page_id").distinct()
 
 
+def catch_up(job: IncrementalJob, pages: DataFrame, runs: DataFrame) -> dict | None:
+    """One run of ``job`` that publishes what all succeeded attempts since its last one handle.
+
+    The upper limit is the start of the last succeeded attempt, fixed before anything is read; only
+    changes committed from the watermark up to it are handled, and the rows of all these attempts
+    become visible with the new watermark in one step. None if no attempt is new.
+    """
+    windows = commit_windows(runs)
+    upper = windows.agg(F.max("high").alias("h")).first()["h"]
+    if upper is None or job.watermark() == str(upper):
+        return None
+    return job.run(changed_records(pages), "stored_at", upper, lambda part: assign_windows(part, windows).select("proc_id", "page_id").distinct())
+
+
 class IncrementalJob:
     """Runs ``transform`` over the commits since the last successful run.
 
     State is a chain of manifest files ``_log/<n>.json`` in ``target``; a manifest names the
-    output folder of its run and the upper limit reached. It is written aside and renamed into
-    place, which is the only commit point: before it nothing is visible, after it both output
-    and watermark are. A run that finds its number taken publishes nothing and raises.
+    output folder of its run and the upper limit reached. It is created whole and only if its
+    name is free, by the file manager that streaming queries commit with: that is the only
+    commit point. Before it nothing is visible, after it both output and watermark are. Of two runs
+    with one number one publishes and the other raises. Every ``COMPACT`` manifests one holds all
+    before it, so a run reads a bounded number of them, without a Spark job.
+
+    The commit column must be a sequence that never falls: what is committed later must not be
+    below an upper limit used before. Rows with a null commit are not committed yet and are never handled.
     """
 
+    COMPACT = 20
+
     def __init__(self, spark: SparkSession, target: str):
         self.spark, self.target = spark, target.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._log = self._path(f"{self.target}/_log")
+        self._files = self._jvm.org.apache.spark.sql.execution.streaming.checkpointing.CheckpointFileManager.create(self._log, spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, p: str):
         return self._jvm.org.apache.hadoop.fs.Path(p)
 
+    def _read(self, name: str) -> dict:
+        f = self._files.open(self._path(f"{self.target}/_log/{name}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
+        finally:
+            f.close()
+
     def manifests(self) -> list[dict]:
-        log = self._path(f"{self.target}/_log")
-        if not self._fs.exists(log):
+        """All manifests, first run first."""
+        if not self._files.exists(self._log):
             return []
-        out = []
-        for st in self._fs.listStatus(log):
-            if st.getPath().getName().endswith(".json"):
-                text = self.spark.read.text(st.getPath().toString(), wholetext=True).first()[0]
-                out.append(json.loads(text))
-        return sorted(out, key=lambda m: m["n"])
+        names = sorted(n for st in self._files.list(self._log) if re.fullmatch(r"\d{12}\.json", n := st.getPath().getName()))
+        if not names:
+            return []
+        start = (len(names) - 1) // self.COMPACT * self.COMPACT
+        late = [self._read(n) for n in names[start:]]
+        return late[0].pop("before", []) + late
 
     def watermark(self):
         m = self.manifests()
@@ -160,18 +199,20 @@ class IncrementalJob:
         folder = f"{self.target}/data/run-{n}-{uuid.uuid4().hex[:8]}"
         transform(part).write.parquet(folder)
         manifest = {"n": n, "low": low, "upper": str(upper), "folder": folder}
-        tmp = self._path(f"{self.target}/_log/.{n}-{uuid.uuid4().hex}.tmp")
-        final = self._path(f"{self.target}/_log/{n:012d}.json")
-        if self._fs.exists(final):
-            raise RuntimeError(f"run {n} was published by another process")
-        stream = self._fs.create(tmp, False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        if not self._fs.rename(tmp, final):
-            self._fs.delete(tmp, False)
-            raise RuntimeError(f"run {n} was published by another process")
+        self._publish(manifest, {"before": done} if n % self.COMPACT == 0 else {})
         return manifest
 
+    def _publish(self, manifest: dict, more: dict) -> None:
+        if not self._files.exists(self._log):
+            self._files.mkdirs(self._log)
+        stream = self._files.createAtomic(self._path(f"{self.target}/_log/{manifest['n']:012d}.json"), False)
+        try:
+            stream.write(bytearray(json.dumps(manifest | more).encode()))
+            stream.close()
+        except Py4JJavaError as e:
+            stream.cancel()
+            raise RuntimeError(f"run {manifest['n']} was published by another process") from e
+
     def read(self) -> DataFrame | None:
         folders = [m["folder"] for m in self.manifests()]
         return self.spark.read.parquet(*folders) if folders else None

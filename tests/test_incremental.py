@@ -61,6 +61,39 @@ def test_empty_tables(spark):
     assert I.run_assignment(one, spark.createDataFrame([(1, T0, None, "succeeded")], RUNS)).count() == 0
 
 
+def test_attempt_by_attempt_and_all_at_once(spark, tmp_path):
+    pages = [(n, f"u{n % 5}", "Success", T0 + H * (n * 7 % 50), T0 + H * (n * 11 % 90), None, None, None, None) for n in range(80)]
+    runs = [(i, T0 + 12 * H * i, None, "failed" if i % 3 == 1 else "succeeded") for i in range(7)]
+    P, R = spark.createDataFrame(pages, SCHEMA), spark.createDataFrame(runs, RUNS)
+    once, step = I.IncrementalJob(spark, str(tmp_path / "once")), I.IncrementalJob(spark, str(tmp_path / "step"))
+    I.catch_up(once, P, R)
+    for i in range(1, 8):
+        I.catch_up(step, P, R.where(f"proc_id < {i}"))
+    assert len(step.manifests()) == 5 and I.catch_up(step, P, R) is None
+    want = brute(pages, runs)
+    assert {tuple(r) for r in once.read().collect()} == want == {tuple(r) for r in step.read().collect()} and once.read().count() == step.read().count() == len(want)
+    assert I.catch_up(I.IncrementalJob(spark, str(tmp_path / "none")), P, R.limit(0)) is None
+
+
+def test_one_number_is_published_once(spark, tmp_path):
+    src = spark.createDataFrame([(i, i) for i in range(60)], "id int, seq int")
+    a, b = I.IncrementalJob(spark, str(tmp_path / "t")), I.IncrementalJob(spark, str(tmp_path / "t"))
+    a.run(src, "seq", 1, lambda d: d)
+
+    def overtaken(d):
+        b.run(src, "seq", 3, lambda x: x)
+        return d
+
+    with pytest.raises(RuntimeError):
+        a.run(src, "seq", 2, overtaken)
+    assert a.watermark() == "3"
+    for k in range(4, 26):
+        a._publish({"n": k - 2, "low": str(k - 1), "upper": str(k), "folder": a.manifests()[0]["folder"]}, {"before": a.manifests()} if (k - 2) % a.COMPACT == 0 else {})
+    assert [m["n"] for m in a.manifests()] == list(range(24)) and a.watermark() == "25"
+    a.run(src, "seq", 60, lambda d: d)
+    assert a.manifests()[-1]["low"] == "25"
+
+
 def test_job_publishes_output_and_watermark_together(spark, tmp_path):
     src = spark.createDataFrame([(i, i % 10) for i in range(40)], "id int, seq int")
     job = I.IncrementalJob(spark, str(tmp_path / "t"))
