@@ -1,8 +1,8 @@
 """Named queries over the tables of a folder, with their SQL counterparts."""
 
-from pagemill.catalog import crawl, data_flow, pages
+from pagemill.catalog import crawl, data_flow, literal, pages
 
-MODULES = [data_flow, crawl, pages]
+MODULES = [data_flow, crawl, pages, literal]
 
 
 def queries() -> dict:

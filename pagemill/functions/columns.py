@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pagemill.functions.redact import SENSITIVE_NAMES
 from pagemill.functions.urls import TRACKING_PATTERN
 
 # ---- URLs
@@ -176,7 +177,7 @@ def web_date(text: Column) -> Column:
     r = F.regexp_replace(r, r"(:\d\d\s*[+-]\d\d)(\d\d)$", "$1:$2")
     for name, off in _ZONES.items():
         r = F.regexp_replace(r, rf"(?i)(\d)\s+{name}$", f"$1 {off}")
-    iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?\s*(Z|[+-]\d\d:?\d\d)?)?$"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, r"([+-]\d\d)(\d\d)$", "$1:$2"), "^(.{10}) ", "$1T")))
+    iso = F.when(t.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d(:\d\d(\.\d{1,9})?)?\s*(Z|[+-]\d\d:?\d\d)?)?$"), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(:\d\d(?:\.\d+)?\s*[+-]\d\d)(\d\d)$", "$1:$2"), "^(.{10}) ", "$1T"), r"^(.{10}T\d\d:\d\d)(?!:\d\d(?!$|:?\d?$)|:\d\d$|:\d\d[.Z\s+-])", "$1:00")))
     month = F.when(t.rlike(r"^\d{4}-\d\d$"), F.try_to_timestamp(F.concat(t, F.lit("-01"))))
     r = F.regexp_replace(F.regexp_replace(r, r"^(\d{1,2} [A-Za-z]{3}) ([0-4]\d) (\d\d:)", "$1 20$2 $3"), r"^(\d{1,2} [A-Za-z]{3}) ([5-9]\d) (\d\d:)", "$1 19$2 $3")
     return F.when(F.length(t) <= 64, F.coalesce(iso, month, *[F.try_to_timestamp(r, F.lit(f)) for f in DATE_FORMS]))
@@ -204,5 +205,7 @@ def jwt(token: Column) -> Column:
 
 
 def redact_query(url: Column) -> Column:
-    """URL whose sensitive parameters show '<redacted>'."""
-    return F.regexp_replace(url, r"(?i)([?&#][^=&#]*(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth|session(?:id)?|sid|signature|sig|code|jwt)[^=&#]*=)[^&#]*", "$1<redacted>")
+    """URL whose user information and sensitive parameters, by the whole words of their names, show '<redacted>'."""
+    words = "|".join(sorted(SENSITIVE_NAMES, key=len, reverse=True))
+    u = F.regexp_replace(url, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//)[^/?#@]+@", "$1<redacted>@")
+    return F.regexp_replace(u, rf"(?i)([?&#](?:[^=&#]*[^A-Za-z0-9=&#])?(?:{words})(?:[^A-Za-z0-9=&#][^=&#]*)?=)[^&#]*", "$1<redacted>")

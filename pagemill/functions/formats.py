@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
-from html import escape as entitize
 from html import unescape as deentitize
 
 from pagemill.functions import css
@@ -14,6 +13,15 @@ from pagemill.functions.urls import resolve
 
 __all__ = ["compare", "deentitize", "entitize", "format_css", "format_html", "inline_css", "local_links", "minify_css", "minify_html", "without"]
 
+#: Characters that are always written as references.
+_ENTITIES = {"<": "&lt;", ">": "&gt;", "&": "&amp;", '"': "&quot;", "'": "&#39;"}
+
+
+def entitize(text: str) -> str:
+    """Text with markup signs, Latin-1 letters and characters beyond the basic plane as references."""
+    return re.sub("[<>&\"'\xa0-\xff\U00010000-\U0010ffff]", lambda m: _ENTITIES.get(m[0]) or f"&#{ord(m[0])};", text)
+
+
 _KEEP = frozenset(("pre", "textarea", "script", "style"))
 
 
@@ -102,7 +110,7 @@ def minify_css(sheet: str) -> str:
     s = re.sub(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|calc\((?:[^()]|\([^()]*\))*\)", hold, s)
     s = re.sub(r"\s+", " ", s)
     s = re.sub(r" ?([{};,>~]) ?", r"\1", s)
-    s = re.sub(r": (?=[^{}]*[;}])", ":", s).replace(";}", "}").strip()
+    s = re.sub(r" ?: ?(?=[^{}]*[;}])", ":", s).replace(";}", "}").strip()
     return re.sub("\x00(\\d+)\x00", lambda m: held[int(m[1])], s)
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 
 from pagemill.functions.batches import pieces, spread
 from pagemill.functions.dom import HEADINGS, Node, normal, parse
+from pagemill.functions.redact import has_sensitive_query
 from pagemill.functions.text import fragment_lines, fragment_text, markdown, readable, words
 from pagemill.functions.urls import RAW, crawl_key, effective_base, is_external, normalise, resolve
 from pagemill.operators import tables as T
@@ -251,14 +252,23 @@ def _ld_items(v) -> list:
     return [v]
 
 
+#: Names of metadata whose content is an address; so is that of names ending in ':url' or ':secure_url'.
+_META_URLS = frozenset("contenturl embedurl msapplication-starturl msapplication-tileimage msapplication-config og:url og:image og:audio og:video twitter:url twitter:image twitter:player".split())
+
+
+def _holds_url(r: dict) -> bool:
+    name = r["name"].strip().lower()
+    return r["tag"] == "link" or name in _META_URLS or name.endswith((":url", ":secure_url"))
+
+
 def head_links(root: Node, url):
     base = effective_base(root, url)
     head = root.first("head") or root
     for n in head.elements("link", "meta"):
         target = n.get("href") if n.tag == "link" else n.get("content")
         if target.strip():
-            name = n.get("rel") if n.tag == "link" else next((n.get(a) for a in ("name", "property", "http-equiv") if n.get(a)), "")
-            yield {"tag": n.tag, "name": name, "value": target, "url": resolve(target, base) if n.tag == "link" else "", "media_type": n.get("type")}
+            r = {"tag": n.tag, "name": n.get("rel") if n.tag == "link" else next((n.get(a) for a in ("name", "property", "http-equiv") if n.get(a)), ""), "value": target, "url": "", "media_type": n.get("type")}
+            yield {**r, "url": resolve(target, base) if _holds_url(r) else ""}
 
 
 def canonical(root: Node, url):
@@ -524,19 +534,24 @@ def script_data(root: Node, url):
             yield {"script_ix": i, "type": t, "id": s.get("id"), "json": raw, "valid": ok}
 
 
-_TOKEN_NAME = re.compile(r"csrf|xsrf|token|nonce|__requestverification|authenticity", re.I)
-_TOKEN_JS = re.compile(r"[\"']?([\w.-]*(?:csrf|xsrf|token|nonce)[\w.-]*)[\"']?\s*[:=]\s*[\"']([^\"']{4,})[\"']", re.I)
+#: Words that tell the name of a token.
+_TOKEN_WORDS = "csrf|xsrf|token|nonce|authenticity|verification"
+_TOKEN_NAME = re.compile(_TOKEN_WORDS, re.I)
+_TOKEN_JS = re.compile(rf"([\"'])([A-Za-z0-9_-]*(?:{_TOKEN_WORDS})[A-Za-z0-9_-]*)\1\s*[:=]\s*[\"']([^\"']+)[\"']|([A-Za-z0-9_-]*(?:{_TOKEN_WORDS})[A-Za-z0-9_-]*)\s*[:=]\s*[\"']([^\"']+)[\"']", re.I)
 
 
 def tokens(root: Node, url):
-    for n in root.elements("input", "meta"):
-        name = n.get("name") or n.get("id")
-        value = n.get("value") if n.tag == "input" else n.get("content")
-        if _TOKEN_NAME.search(name) and value.strip():
-            yield {"name": name, "value": value, "source": n.tag}
-    for _, s in _page_scripts(root):
+    """Token-like values of inputs, metadata, data-token and nonce attributes, then of scripts, in document order."""
+    for n in root.elements():
+        if "data-token" in n.attrs or "nonce" in n.attrs or n.tag == "input" and "name" in n.attrs or n.tag == "meta" and ("name" in n.attrs or "property" in n.attrs):
+            name = next((n.get(a) for a in ("name", "property") if a in n.attrs), "data-token" if "data-token" in n.attrs else "nonce")
+            value = next((n.get(a) for a in ("value", "content", "data-token", "nonce") if a in n.attrs), "")
+            if value.strip() and _TOKEN_NAME.search(name):
+                yield {"name": name, "value": value, "source": n.tag}
+    for s in root.elements("script"):
         for m in _TOKEN_JS.finditer(s.text()):
-            yield {"name": m[1], "value": m[2], "source": "script"}
+            if (m[3] or m[5]).strip():
+                yield {"name": m[2] or m[4], "value": m[3] or m[5], "source": "script"}
 
 
 _CALL = re.compile(
@@ -576,28 +591,6 @@ def endpoints(root: Node, url):
 
 
 _STATE_CHANGING = ("POST", "PUT", "PATCH", "DELETE")
-_SENSITIVE = re.compile(r"(?:^|[_\W])(?:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|session(?:id)?|sid|signature|sig|code|jwt|credential)s?(?:$|[_\W])", re.I)
-
-
-def sensitive_name(name: str) -> bool:
-    return bool(_SENSITIVE.search(name))
-
-
-def has_sensitive_query(u: str, depth: int = 0) -> bool:
-    from urllib.parse import parse_qsl, urlsplit
-
-    try:
-        p = urlsplit(u)
-    except ValueError:
-        return False
-    if p.username or p.password:
-        return True
-    for k, v in parse_qsl(p.query) + parse_qsl(p.fragment):
-        if sensitive_name(k) or depth < 4 and "://" in v and has_sensitive_query(v, depth + 1):
-            return True
-    return False
-
-
 def api_inventory(root: Node, url):
     """Endpoints, forms and linked endpoints with a risk and its reasons."""
     base = effective_base(root, url)
@@ -965,7 +958,7 @@ def _resolved(field: str, only=None, external: str | None = None, keep=None):
 #: Kinds whose rows hold addresses, with what resolves them once the page's own address is known.
 LATE = {
     "forms": lambda rows, base, url: [{**r, "action": _action(r["action"], base, url)} for r in rows],
-    "head_links": _resolved("url", lambda r: r["tag"] == "link"), "canonical": _first_canonical, "links": _resolved("url", external="external", keep=lambda r: r["url"]),
+    "head_links": _resolved("url", _holds_url), "canonical": _first_canonical, "links": _resolved("url", external="external", keep=lambda r: r["url"]),
     "crawl_links": _distinct_links, "images": _resolved("url"), "crawl_assets": _distinct_assets, "resources": _resolved("source"), "scripts": _resolved("src"),
     "api_inventory": _assessed, "breadcrumbs": _resolved("url"), "actions": _resolved("url"), "publication_dates": _bound_dates,
 }

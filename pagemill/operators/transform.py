@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import dom, formats, text
+from pagemill.functions import dom, formats, redact, text
 from pagemill.functions.batches import map_arrow
 
 
@@ -19,6 +19,7 @@ TRANSFORMS = {
     "format_html": formats.format_html, "minify_html": formats.minify_html, "inline_css": formats.inline_css, "format_css": formats.format_css, "minify_css": formats.minify_css,
     "entity_decode": formats.deentitize, "entity_encode": formats.entitize, "markdown": lambda h: text.markdown(_body(h)), "text": lambda h: text.fragment_text(_body(h)),
     "lines": lambda h: text.fragment_lines(_body(h)), "readable": lambda h: text.readable(dom.parse(h))["text"],
+    "redact_url": redact.redact_url, "redact_structured": redact.redact_structured, "redact_links": redact.redact_links,
 }
 
 
