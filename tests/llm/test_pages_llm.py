@@ -248,6 +248,15 @@ def test_residue_under_much_chrome(body, kind):
     assert judge.kinds([f"<body><ul>{menu}</ul>{body}"]) == [kind]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["page not found", "lorem ipsum dolor", "javascript", "the crawler reads", "é 12", "x", "服务暂时不可用"]), max_size=8).map(" ".join), max_size=12))
+def test_blocks_judged_together_as_alone(texts):
+    r = residue.Ratios(["the crawler reads every page in order"] * 20, {k: v.strip().split("\n") for k, v in (("error", residue.ERROR_SEEDS), ("script", residue.SCRIPT_SEEDS), ("filler", residue.FILLER_SEEDS))})
+    for (k, x), t in zip(r.many(texts), texts):
+        a, b = r.windows(t)
+        assert (k, round(x, 6)) == (a, round(b, 6))
+
+
 @pytest.mark.parametrize("t", ["{{ a.b }}", "${x}", "%PAGE_TITLE%", "[Insert title here]", "<<NAME>>", "{% block x %}", "[object Object]", "{0} of {1} items", "#{a.b}", "undefined | undefined"])
 def test_placeholders(t):
     assert residue.placeholders("x " + t)
