@@ -47,4 +47,31 @@ SELECT proc_id, page_id FROM (
   SELECT c.page_id, s.proc_id, row_number() OVER (PARTITION BY c.page_id ORDER BY s.started, s.proc_id) AS k
   FROM c JOIN process_runs s ON s.proc_state = 'succeeded' AND s.started > c.stored_at
 ) WHERE k = 1""",
+    "p7_found": """
+WITH RECURSIVE raw AS (
+  SELECT DISTINCT page_id, CAST(structured_json AS JSON) AS v FROM page_structured_json WHERE json_valid(structured_json)
+), one AS (
+  SELECT page_id, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v ->> '$') THEN CAST(v ->> '$' AS JSON) ELSE v END AS v FROM raw
+), two AS (
+  SELECT page_id, CASE WHEN json_type(v) = 'VARCHAR' AND json_valid(v ->> '$') THEN CAST(v ->> '$' AS JSON) ELSE v END AS v FROM one
+), walk(page_id, path, owner, above, v, node) AS (
+  SELECT page_id, '', '', '', v, false FROM two WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  UNION ALL
+  SELECT page_id, c.path, CASE WHEN node_here THEN c.path ELSE owner END, owner, c.v, node_here FROM (
+    SELECT page_id, owner, c, json_type(v) = 'ARRAY' AND json_type(c.v) = 'OBJECT' AS node_here FROM (
+      SELECT page_id, owner, v, unnest(CASE json_type(v)
+        WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {'path': path || '[' || i || ']', 'v': json_extract(v, '$[' || i || ']')})
+        ELSE list_transform(json_keys(v), lambda k: {
+          'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || upper(k[1]) || k[2:],
+          'v': CASE WHEN upper(k[1]) || k[2:] IN ('MetaTags','Regions','Breadcrumbs','Items','FaqItems','SpecTables','Entries','CodeBlocks','Callouts','ApiEndpoints','Parameters','RequestExamples','ResponseExamples','Headers','BodyFields','Forms','Fields','Tables','Data')
+            THEN CASE json_type(json_extract(v, '$."' || k || '"'))
+              WHEN 'OBJECT' THEN json_array(json_extract(v, '$."' || k || '"'))
+              WHEN 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(v, '$."' || k || '"')) THEN
+                CASE json_type(json_extract_string(v, '$."' || k || '"')) WHEN 'OBJECT' THEN json_array(CAST(json_extract_string(v, '$."' || k || '"') AS JSON)) WHEN 'ARRAY' THEN CAST(json_extract_string(v, '$."' || k || '"') AS JSON) END END
+              ELSE json_extract(v, '$."' || k || '"') END
+            ELSE json_extract(v, '$."' || k || '"') END})
+        END) AS c FROM walk)
+  ) WHERE json_type(c.v) IN ('OBJECT', 'ARRAY')
+)
+SELECT DISTINCT page_id, path AS node_path, above AS parent_path FROM walk WHERE node""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagemill.catalog.literal_rows import EXPECTED
 from pagemill.functions import columns as C
-from pagemill.operators import audit, content, corpus, extract, nested, select, transform
+from pagemill.operators import audit, content, corpus, extract, nested, schema, select, transform
 from pagemill.plans.functions_sql import register
 from pagemill.sources import sinks
 from pagemill.sources import text_files as T
@@ -90,7 +90,7 @@ PAGES = {
 
 
 def _type(t: str) -> str:
-    return {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}[t]
+    return {"tinyint": "TINYINT", "int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE", "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}[t]
 
 
 def _sql_value(v, t: str) -> str:
@@ -153,7 +153,7 @@ _KINDS = {
     "microdata_unknown": ("items",), "head_links": ("head",), "canonical": ("head", "outline"), "links": ("links",), "crawl_links": ("links",), "images": ("media", "head"), "crawl_assets": ("media",),
     "resources": ("resources",), "scripts": ("resources",), "javascript": ("scripts",), "app_state": ("scripts",), "js_config": ("scripts",), "script_data": ("scripts",), "tokens": ("tokens",), "endpoints": ("calls",),
     "api_inventory": ("calls",), "flight_rows": ("flight",), "code_blocks": ("docs",), "breadcrumbs": ("docs",), "faq": ("docs",), "spec_tables": ("docs",), "callouts": ("docs",), "layout": ("layout",), "actions": ("docs",),
-    "doc_endpoints": ("docs",), "statistics": ("docs", "links"), "text": ("text",), "readable": ("readable",), "publication_dates": ("ld", "head"), "facts": ("head", "links"), "plan": ("shell", "login", "static", "forms"),
+    "doc_endpoints": ("docs",), "statistics": ("docs", "links"), "text": ("text",), "readable": ("readable",), "publication_dates": ("ld", "head"), "facts": ("head", "links"), "surface": ("tokens", "calls", "forms"), "members": ("scripts", "calls"), "data_sources": ("scripts", "ld", "tables"), "plan": ("shell", "login", "static", "forms"),
 }
 
 for _kind, _names in _KINDS.items():
@@ -443,6 +443,7 @@ _TRANSFORMS = {
     "markdown": ("<h1>T</h1><p>a <b>b</b> <i>c</i> <a href=/x>l</a></p><ul><li>1<li>2</ul><pre><code class=language-py>x = 1</code></pre><table><tr><th>h<tr><td>v</table><blockquote>q</blockquote><img src=i.png alt=A>",),
     "text": ("<p>a<b>b</b></p><p>c</p><script>no</script>", ""), "lines": ("<p>a</p><div>b<br>c</div><pre>x\n  y</pre>",), "format_html": ("<div><p>a <b>b</b></p><ul><li>x</ul></div>",),
     "minify_html": ("<div>  <p> a </p>\n <!-- c --> <pre> k </pre></div>",), "format_css": ("a{b:c;d:e}@media print{i{f:g}}",), "minify_css": ("/* c */ a { b : c ; content: ' x ' }\n i > p { d: e; }",),
+    "minify_js": ("// c\nvar a = 1 ; /* x */ function f ( b ) {\n  return b + ++a\n}\nlet r = /a b/g.test(`x ${ f(1) } y`)\nf(2)",), "format_js": ("function f(a){if(a){return [1,2];}else{x='{;}'}}var y=1;for(let i=0;i<2;i++){f(i)}",),
     "redact_url": ("https://u:p@e.example/a?b=1&access_token=x#state=5&c=2", "/p?next=https%3A%2F%2Fo.example%2F%3Ftoken%3D1", "/p?monkey=1&myToken=2)", "https://e.example/plain", ""),
     "redact_structured": ('var appToken = "x"; cfg = {"api_key": "1", "name": "n", state: "s"}; go("https://e.example/?code=1")', "plain"), "redact_links": ("see [a](/p?token=1) and ![b](i.png)",),
     "inline_css": ("<style>p{color:red} .k{color:blue}</style><p>a</p><p class=k style=margin:0>b</p>",), "entity_decode": ("a &lt; b &amp; c &eacute;",), "entity_encode": ("a < b & 'c'",),
@@ -458,6 +459,107 @@ def _sql_functions(spark):
     return spark.sql("SELECT page_id, html_text(html) AS t, css_select(html, 'h3') AS heads, url_resolve('../x', url) AS u, url_normalize('HTTP://E.example:80/a/?utm_source=1#f') AS n FROM literal_cards")
 
 
+@literal("xpath")
+def _xpath(spark):
+    p, out = page_table(spark, "cards", "tables"), None
+    for e in ("//div[@class='card'][2]/a/@href", "//h3[text()='Cat']/following-sibling::span", "//p[not(@class)]/text() | //p[contains(., 'Other')]", "//div[last()]/h3", "//td[position() > 1 and . != 'x']", "//caption/parent::table/@id", "//div[count(a) = 1 and starts-with(h3, 'A')]/h3"):
+        got = select.by_xpath(p, e).withColumn("expression", F.lit(e))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@literal("selectors_for")
+def _selectors_for(spark):
+    return select.selectors_for(page_table(spark, "cards"), "text")
+
+
+@literal("typed_fields")
+def _typed(spark):
+    r = spark.createDataFrame([(1, "1,234.50", "7", "TRUE", "1 March 2024", "x"), (2, "abc", "300", "yes", "", None), (3, None, " 12 ", None, None, "long")], "id bigint, price string, count string, on string, day string, letter string")
+    return schema.convert_fields(r, {"price": "Double", "count": "SByte", "on": "Boolean", "day": "DateTime", "letter": "Char"}, {"count": -1}, ["letter"])
+
+
+@literal("property_paths")
+def _paths(spark):
+    t = texts(spark, '{"a":{"b":[{"c":5},{"c":"x"}]},"d e":null}', "[1", '{"a":1}')
+    c = F.col("content")
+    return t.select("id", schema.property_path(c, "a.b[1].c").alias("deep"), schema.property_path(c, "a").alias("shallow"), schema.typed(c, "a struct<b:array<struct<c:string>>>").alias("typed"))
+
+
+@literal("json_schemas")
+def _json_schemas(spark):
+    t = texts(spark, '{"a":1,"b":[{"c":"x"},{"c":null,"d":true}]}', '{"a":1.5,"b":[]}', "{", '{"a":null}').withColumn("kind", F.when(F.col("id") < 4, "k").otherwise("one"))
+    return schema.json_schemas(t, ["kind"], "content")
+
+
+@literal("openapi_documents")
+def _openapi(spark):
+    pages = spark.createDataFrame([(1, "<h2>GET /v1/items/{id}</h2><p>Reads one item.</p><h2>POST /v1/items</h2><p>Adds.</p>", U), (2, "<h3>GET /v1/items/{id}</h3><p>Reads one.</p><pre>DELETE /v1</pre>", U)], "page_id bigint, html string, url string")
+    e = extract.extract(pages, "doc_endpoints").withColumn("host", F.lit("shop.example"))
+    return schema.openapi_documents(e, "host", "Shop")
+
+
+@literal("linked_endpoints")
+def _linked(spark):
+    refs = extract.extract(page_table(spark, "media", "resources"), "scripts").select("page_id", "src")
+    return transform.linked_endpoints(refs, spark.createDataFrame([("https://shop.example/s.js", "fetch('/api/x')"), ("https://shop.example/other.js", "fetch('/api/y')"), ("https://shop.example/s.js", "fetch('/api/x')")], "url string, content string"))
+
+
+@literal("embedded_images")
+def _embedded(spark):
+    p = spark.createDataFrame([(1, "<p><img src=a.png><img src=b.png></p>"), (2, None)], "page_id bigint, html string")
+    a = spark.createDataFrame([(1, "a.png", "image/png", b"abc"), (1, "b.png", "image/png", b"x" * 300_000)], "page_id bigint, reference string, content_type string, data binary")
+    return transform.embed_images(p, a)
+
+
+def _graph(spark):
+    links = spark.createDataFrame([("https://a.example/", "https://a.example/x"), ("https://a.example/", "https://b.example/"), ("https://a.example/x", "https://a.example/")], "source string, target string")
+    return corpus.link_edges(links, spark.createDataFrame([("https://a.example/",), ("https://a.example/x",)], "url string"))
+
+
+@literal("graph_histograms")
+def _graph_histograms(spark):
+    return corpus.graph_histograms(_graph(spark))
+
+
+@literal("graph_export")
+def _graph_export(spark):
+    e = _graph(spark)
+    return sinks.graph_rows(e, corpus.degrees(e))
+
+
+@literal("html_index")
+def _html_index(spark):
+    return sinks.index_rows(spark.createDataFrame([("https://e.example/?a=1&b=2", "A <b>", "Success"), ("https://e.example/n", None, None)], "url string, title string, status string"))
+
+
+@literal("har_export")
+def _har_export(spark):
+    return sinks.to_har(_har(spark).withColumn("started", F.try_to_timestamp("started")), ["id"])
+
+
+@literal("http_metrics")
+def _http_metrics(spark):
+    return corpus.http_metrics(_har(spark), ["id"])
+
+
+@literal("response_budget")
+def _budget(spark):
+    p = spark.createDataFrame([(i, "h" if i < 4 else "k", i * 10 if i != 2 else None, f"2024-03-0{1 + i // 3} 10:0{i}:00") for i in range(6)], "page_id bigint, host string, size int, at string").withColumn("at", F.to_timestamp("at"))
+    return corpus.response_budget(p, "size", "at", "host", 35).select("page_id", "host", "used", "fits")
+
+
+@literal("paced_requests")
+def _paced(spark):
+    got = corpus.paced(spark.createDataFrame([("h", f"u{i}") for i in range(5)] + [("k", "z")], "host string, url string"), 1.5)
+    return got.groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("at").alias("slots"), F.max("at").alias("last"))
+
+
+@literal("local_places")
+def _local_places(spark):
+    return corpus.local_places(spark.createDataFrame([("https://E.example/a/b c.png?x=1",), ("https://e.example/",), (None,), ("https://e.example/",)], "url string"))
+
+
 @literal("nested_objects")
 def _nested(spark):
     t = texts(spark, '{"items":[{"Name":"a","Data":[{"x":1},null,{"x":1}]},{"Name":"a","Data":{"x":1}}]}', '{"Items":"[{}]"}', "{")

@@ -918,4 +918,209 @@ EXPECTED = {
             (2, 'Items', 'Items[0]', '', 0, '{}'),
         ],
     ),
+    'lit_surface': (
+        'page_id bigint, ord int, kind string, name string, method string, url string, value string',
+        [
+            (1, 0, 'Token', 'csrf-token', '', '', 'm1'),
+            (1, 1, 'Token', '__RequestVerificationToken', '', '', 'f1'),
+            (1, 2, 'Token', 'data-token', '', '', 'd1'),
+            (1, 3, 'Token', 'nonce', '', '', 'n1'),
+            (1, 4, 'Token', 'csrfToken', '', '', 's1'),
+            (1, 5, 'Token', 'xsrf_token', '', '', 's2'),
+            (2, 0, 'Form', 'form[0]', 'POST', 'https://shop.example/login', ''),
+            (2, 1, 'Endpoint', 'fetch', 'GET', '/api/v1/users', ''),
+            (2, 2, 'Endpoint', 'fetch', 'POST', '/api/v1/users', ''),
+            (2, 3, 'Endpoint', 'axios', 'GET', 'https://other.example/data.json', ''),
+            (2, 4, 'Endpoint', '$', 'POST', '/ajax/save', ''),
+            (2, 5, 'Endpoint', 'xhr', 'PUT', '/rest/item?token=1', ''),
+            (2, 6, 'Endpoint', 'literal', '', '/graphql', ''),
+            (3, 0, 'Form', 'login', 'POST', 'https://shop.example/login', ''),
+            (3, 1, 'Form', 'form[1]', 'GET', 'https://shop.example/docs/find', ''),
+            (3, 2, 'Form', 'form[2]', 'POST', 'https://sso.example/acs', ''),
+            (3, 3, 'Field', 'SAMLResponse', '', '', 'abc'),
+        ],
+    ),
+    'lit_members': (
+        'page_id bigint, script_ix int, path string, n int',
+        [
+            (1, 0, 'a', 1),
+            (1, 0, 'window.config', 1),
+            (1, 0, 'app', 1),
+            (1, 0, 'n', 1),
+            (1, 0, 's', 1),
+            (1, 0, 'JSON.parse', 1),
+            (1, 0, 'f', 1),
+            (1, 0, 'call', 1),
+            (1, 2, 'window.__INITIAL_STATE__', 1),
+            (2, 0, 'fetch', 3),
+            (2, 0, 'axios.get', 1),
+            (2, 0, '$.post', 1),
+            (2, 0, 'd', 1),
+            (2, 0, 'x.open', 1),
+            (2, 0, 'q', 1),
+        ],
+    ),
+    'lit_data_sources': (
+        'page_id bigint, kind string, name string, size int, found_ix int',
+        [
+            (1, 'app_state', '__INITIAL_STATE__', 26, 1),
+            (1, 'app_state', '__NEXT_DATA__', 13, 0),
+            (1, 'script_data', 'importmap', 14, 3),
+            (1, 'script_data', '__NEXT_DATA__', 12, 2),
+            (2, 'json_ld', 'Article', 105, 0),
+            (2, 'json_ld', 'Event', 31, 2),
+            (2, 'json_ld', 'Thing,Place', 29, 1),
+            (2, 'script_data', 'application/ld+json', 139, 3),
+            (2, 'script_data', 'application/ld+json', 30, 4),
+            (3, 'table', 'Prices', 3, 0),
+            (3, 'table', '', 2, 1),
+            (3, 'table', '', 1, 2),
+        ],
+    ),
+    'lit_transform_minify_js': (
+        'page_id bigint, result string',
+        [
+            (1, 'var a=1;function f(b){return b+ ++a}\nlet r=/a b/g.test(`x ${ f(1) } y`)\nf(2)'),
+        ],
+    ),
+    'lit_transform_format_js': (
+        'page_id bigint, result string',
+        [
+            (1, "function f(a){\n    if(a){\n        return [1,2];\n    }\n    else{\n        x='{;}'\n    }\n}\nvar y=1;\nfor(let i=0;i<2;i++){\n    f(i)\n}"),
+        ],
+    ),
+    'lit_xpath': (
+        'page_id bigint, ord int, node_id int, tag string, value string, expression string',
+        [
+            (1, 0, None, None, '/p/2', "//div[@class='card'][2]/a/@href"),
+            (1, 0, 20, 'span', '$3', "//h3[text()='Cat']/following-sibling::span"),
+            (1, 0, 23, None, 'Plain ', "//p[not(@class)]/text() | //p[contains(., 'Other')]"),
+            (1, 1, 26, 'p', 'Other text', "//p[not(@class)]/text() | //p[contains(., 'Other')]"),
+            (1, 0, 16, 'h3', 'Cat', '//div[last()]/h3'),
+            (2, 0, 23, 'td', '2', "//td[position() > 1 and . != 'x']"),
+            (2, 1, 37, 'td', 'true', "//td[position() > 1 and . != 'x']"),
+            (2, 2, 39, 'td', '2024-01-02', "//td[position() > 1 and . != 'x']"),
+            (2, 3, 51, 'td', 'b', "//td[position() > 1 and . != 'x']"),
+            (2, 4, 53, 'td', 'c', "//td[position() > 1 and . != 'x']"),
+            (2, 0, None, None, 'a', '//caption/parent::table/@id'),
+            (1, 0, 2, 'h3', 'Ape', "//div[count(a) = 1 and starts-with(h3, 'A')]/h3"),
+        ],
+    ),
+    'lit_selectors_for': (
+        'page_id bigint, rank int, selector string, matches int',
+        [
+            (1, 1, 'p.x', 1),
+            (1, 2, 'i', 1),
+            (1, 3, 'p:nth-of-type(1) > i', 1),
+            (1, 4, 'p:nth-of-type(2)', 1),
+            (1, 5, 'p', 2),
+        ],
+    ),
+    'lit_typed_fields': (
+        'id bigint, price double, count tinyint, on boolean, day string, letter string, failed string',
+        [
+            (1, 1234.5, 7, True, '2024-03-01 00:00:00', 'x', ''),
+            (2, None, -1, None, None, None, 'price|count|on|letter'),
+            (3, None, 12, None, None, None, 'letter'),
+        ],
+    ),
+    'lit_property_paths': (
+        'id bigint, deep string, shallow string, typed string',
+        [
+            (1, 'x', '{"b":[{"c":5},{"c":"x"}]}', '{"a":{"b":[{"c":"5"},{"c":"x"}]}}'),
+            (2, None, None, '{}'),
+            (3, None, '1', '{}'),
+        ],
+    ),
+    'lit_json_schemas': (
+        'kind string, schema string, records bigint',
+        [
+            ('k', '{"properties": {"a": {"type": "number"}, "b": {"items": {"properties": {"c": {"type": ["null", "string"]}, "d": {"type": "boolean"}}, "required": ["c"], "type": "object"}, "type": "array"}}, "required": ["a", "b"], "type": "object"}', 2),
+            ('one', '{"properties": {"a": {"type": "null"}}, "required": ["a"], "type": "object"}', 1),
+        ],
+    ),
+    'lit_openapi_documents': (
+        'host string, document string, operations bigint',
+        [
+            ('shop.example', '{"openapi":"3.0.3","info":{"title":"Shop","version":"1.0.0"},"paths":{"/v1/items":{"post":{"summary":"Adds.","parameters":[],"responses":{"200":{"description":"Success"}}}},"/v1/items/{id}":{"get":{"summary":"Reads one item.","parameters":[{"name":"id","in":"path","required":true,"schema":{"type":"string"}}],"responses":{"200":{"description":"Success"}}}}}}', 2),
+        ],
+    ),
+    'lit_linked_endpoints': (
+        'script_url string, page_id bigint, method string, url string, client string, operation string',
+        [
+            ('https://shop.example/s.js', 1, 'GET', '/api/x', 'fetch', ''),
+        ],
+    ),
+    'lit_embedded_images': (
+        'page_id bigint, html string',
+        [
+            (1, '<p><img src="data:image/png;base64,YWJj"><img src="b.png"></p>'),
+            (2, None),
+        ],
+    ),
+    'lit_graph_histograms': (
+        'facet string, value string, n bigint',
+        [
+            ('relation', 'fetched', 2),
+            ('source_host', 'a.example', 3),
+            ('target_host', 'a.example', 2),
+            ('relation', 'external', 1),
+            ('target_host', 'b.example', 1),
+        ],
+    ),
+    'lit_graph_export': (
+        'part string, value string',
+        [
+            ('node', '{"url":"https://a.example/","in_degree":1,"out_degree":2,"internal_out":1}'),
+            ('node', '{"url":"https://a.example/x","in_degree":1,"out_degree":1,"internal_out":1}'),
+            ('node', '{"url":"https://b.example/","in_degree":1,"out_degree":0,"internal_out":0}'),
+            ('edge', '{"source":"https://a.example/","target":"https://a.example/x","relation":"fetched"}'),
+            ('edge', '{"source":"https://a.example/","target":"https://b.example/","relation":"external"}'),
+            ('edge', '{"source":"https://a.example/x","target":"https://a.example/","relation":"fetched"}'),
+        ],
+    ),
+    'lit_html_index': (
+        'url string, item string',
+        [
+            ('https://e.example/?a=1&b=2', '<li><a href="https://e.example/?a=1&amp;b=2">A &lt;b&gt;</a> <span>Success</span></li>'),
+            ('https://e.example/n', '<li><a href="https://e.example/n">https://e.example/n</a> <span></span></li>'),
+        ],
+    ),
+    'lit_har_export': (
+        'id bigint, log string',
+        [
+            (1, '{"log":{"version":"1.2","entries":[{"request":{"method":"POST","url":"https://e.example/b"},"response":{"status":404,"content":{"mimeType":"text/html"}}},{"startedDateTime":"2024-03-01T10:00:00.000Z","time":12.5,"request":{"method":"GET","url":"https://e.example/a"},"response":{"status":200,"content":{"mimeType":"application/json","size":10}}}]}}'),
+        ],
+    ),
+    'lit_http_metrics': (
+        'id bigint, requests bigint, failed bigint, bytes bigint, mean_millis double, max_millis double',
+        [
+            (1, 2, 1, 10, 12.5, 12.5),
+        ],
+    ),
+    'lit_response_budget': (
+        'page_id bigint, host string, used bigint, fits boolean',
+        [
+            (2, 'h', 10, True),
+            (1, 'h', 10, True),
+            (0, 'h', 0, True),
+            (3, 'h', 40, False),
+            (5, 'k', 90, False),
+            (4, 'k', 40, False),
+        ],
+    ),
+    'lit_paced_requests': (
+        'host string, n bigint, slots bigint, last double',
+        [
+            ('h', 5, 5, 6.0),
+            ('k', 1, 1, 0.0),
+        ],
+    ),
+    'lit_local_places': (
+        'url string, place string',
+        [
+            ('https://E.example/a/b c.png?x=1', 'assets/e.example/b-c-a761689b3fd2.png'),
+            ('https://e.example/', 'assets/e.example/index-c9246d2616ac'),
+        ],
+    ),
 }

@@ -6,11 +6,12 @@ from collections import Counter
 from heapq import nsmallest
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.columns import fingerprint, glob, host_in_scope, squash, summary_crawl, url_host, url_path
+from pagemill.operators.hot import for_each_part, hot_keys, split_rows
 from pagemill.session import materialise
 
 CHUNK_WORDS, CHUNK_OVERLAP = 140, 30
@@ -30,11 +31,14 @@ def duplicate_pages(pages: DataFrame, order: str, text: str = "text", html: str
     """Pages with ``fingerprint``, the key of the first page with the same content, and whether they repeat it.
 
     First is least ``order``. The first page of a content is found by an aggregate, not a sort of
-    the group, so a content with a third of all pages is no single task's work. Null text is its own content.
+    the group, and its rows meet it in parts, so a content with a third of all pages is no single
+    task's work. Null text counts as empty.
     """
     p = pages.withColumn("fingerprint", fingerprint(F.coalesce(F.col(text), F.lit("")), F.col(html) if html else None))
     first = p.groupBy("fingerprint").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
-    return p.join(first, "fingerprint").withColumn("duplicate", F.col(order) != F.col("first"))
+    hot = hot_keys(first, "fingerprint", "copies")
+    j = split_rows(p, hot, "fingerprint", order).join(for_each_part(first, hot, "fingerprint"), ["fingerprint", "_salt"]).drop("_salt")
+    return j.withColumn("duplicate", F.col(order) != F.col("first"))
 
 
 def static_rendered_difference(static: DataFrame, rendered: DataFrame) -> DataFrame:
@@ -67,7 +71,9 @@ def distinct_chunks(chunks: DataFrame, key: str) -> DataFrame:
     """Chunks with ``fingerprint`` and ``chunk_id``: the first of equal ones by (key, index) is kept and names them."""
     c = chunks.withColumn("fingerprint", fingerprint(F.col("text")))
     first = c.groupBy("fingerprint").agg(F.min(F.struct(key, "chunk_index")).alias("f"), F.count("*").alias("copies"))
-    kept = c.join(first, "fingerprint").where((F.col(key) == F.col(f"f.{key}")) & (F.col("chunk_index") == F.col("f.chunk_index"))).drop("f")
+    # Only the first chunk of a fingerprint can meet it: the join is on its place as well, so no fingerprint is one task's work.
+    first = first.select(F.col("fingerprint").alias("_f"), F.col(f"f.{key}").alias("_k"), F.col("f.chunk_index").alias("_i"), "copies")
+    kept = c.join(first, (F.col("fingerprint") == F.col("_f")) & F.col(key).eqNullSafe(F.col("_k")) & (F.col("chunk_index") == F.col("_i"))).drop("_f", "_k", "_i")
     return kept.withColumn("chunk_id", F.concat(F.lit("chunk-"), F.left("fingerprint", F.lit(16)))).withColumn("summary", summary_crawl(F.col("text")))
 
 
@@ -218,3 +224,58 @@ def crawl_summary(pages: DataFrame, by: list[str]) -> DataFrame:
 def top_pages(pages: DataFrame, by: list, limit: int) -> DataFrame:
     """The first ``limit`` rows in the given order: a top-k, never a whole sort."""
     return pages.orderBy(*by).limit(limit)
+
+
+# ---- graph and crawl reports
+
+
+def graph_histograms(edges: DataFrame) -> DataFrame:
+    """``facet, value, n``: edges by relation, by source host and by target host; ``rank`` orders the values of a facet by count, then by value."""
+    facets = (("relation", F.col("relation")), ("source_host", url_host(F.col("source"))), ("target_host", url_host(F.col("target"))))
+    e = edges.select(F.explode(F.array(*[F.struct(F.lit(k).alias("facet"), c.alias("value")) for k, c in facets])).alias("x"))
+    return e.where("x.value is not null").groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+
+
+def response_budget(pages: DataFrame, size: str, order: str, by: str, budget: int) -> DataFrame:
+    """Pages with ``used``, the bytes of their group up to and including them in the given order, and whether they fit the budget.
+
+    Null sizes count as 0. Sums are taken over days first and then inside a day, so a large group is many tasks.
+    """
+    day = F.date_trunc("day", order)
+    p = pages.withColumn("_s", F.coalesce(F.col(size), F.lit(0))).withColumn("_d", day)
+    days = p.groupBy(by, "_d").agg(F.sum("_s").alias("_n"))
+    days = days.withColumn("_before", F.sum("_n").over(Window.partitionBy(by).orderBy("_d")) - F.col("_n")).drop("_n")
+    inner = F.sum("_s").over(Window.partitionBy(by, "_d").orderBy(order, *[c for c in ("page_id", "asset_id") if c in pages.columns]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    j = p.withColumn("_in", inner).join(days.withColumnRenamed(by, "_k").withColumnRenamed("_d", "_e"), F.col(by).eqNullSafe(F.col("_k")) & F.col("_d").eqNullSafe(F.col("_e")))
+    return j.withColumn("used", F.col("_in") + F.col("_before")).withColumn("fits", F.col("used") <= budget).drop("_s", "_d", "_in", "_before", "_k", "_e")
+
+
+def http_metrics(entries: DataFrame, by: list[str]) -> DataFrame:
+    """Requests, failures, bytes and times of request logs per group."""
+    failed = F.coalesce(F.col("status") >= 400, F.lit(True))
+    return entries.groupBy(*by).agg(
+        F.count("*").alias("requests"), F.count_if(failed).alias("failed"), F.sum("size").alias("bytes"), F.round(F.avg("millis"), 3).alias("mean_millis"), F.max("millis").alias("max_millis"),
+    )
+
+
+def paced(requests: DataFrame, delay: float, by: str = "host", order: str = "url") -> DataFrame:
+    """Requests with ``at``, the seconds after the start at which each may be sent: one per ``delay`` in a group, in order.
+
+    Ranks are taken in salted parts with prefix counts, so a host with most of all requests is many tasks.
+    """
+    parts = 64
+    r = requests.withColumn("_p", F.pmod(F.xxhash64(order), F.lit(parts)).cast("int"))
+    ahead = r.groupBy(by, "_p").agg(F.count("*").alias("_n"))
+    ahead = ahead.withColumn("_ahead", F.sum("_n").over(Window.partitionBy(by).orderBy("_p")) - F.col("_n")).drop("_n")
+    ranked = r.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_p").orderBy(order)) - 1)
+    j = ranked.join(ahead.withColumnRenamed(by, "_k").withColumnRenamed("_p", "_q"), F.col(by).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")))
+    return j.withColumn("at", (F.col("_r") + F.col("_ahead")) * F.lit(float(delay))).drop("_p", "_r", "_k", "_q", "_ahead")
+
+
+def local_places(assets: DataFrame, url: str = "url") -> DataFrame:
+    """``url, place``: a file name for each distinct asset, under a folder per host; names are told apart by the address's hash."""
+    u = F.col(url)
+    name = F.regexp_replace(F.regexp_extract(url_path(u), r"([^/]*)$", 1), r"[^A-Za-z0-9._-]+", "-")
+    stem, ext = F.regexp_replace(name, r"\.[A-Za-z0-9]{1,8}$", ""), F.regexp_extract(name, r"(\.[A-Za-z0-9]{1,8})$", 1)
+    place = F.concat(F.lit("assets/"), url_host(u), F.lit("/"), F.when(stem == "", "index").otherwise(F.left(stem, F.lit(48))), F.lit("-"), F.left(F.sha2(u, 256), F.lit(12)), ext)
+    return assets.where(u.isNotNull()).select(u.alias("url"), place.alias("place")).distinct()

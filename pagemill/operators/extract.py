@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +20,7 @@ from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string
 from pagemill.functions.batches import pieces, spread
 from pagemill.functions.dom import HEADINGS, Node, normal, parse
 from pagemill.functions.redact import has_sensitive_query
+from pagemill.functions.scripts import members as script_members
 from pagemill.functions.text import fragment_lines, fragment_text, markdown, readable, words
 from pagemill.functions.urls import RAW, crawl_key, effective_base, is_external, normalise, resolve
 from pagemill.operators import tables as T
@@ -892,6 +893,37 @@ def plan(root: Node, url):
     yield {"mode": mode, "confidence": sure, "words": n_words, "links": n_links, "forms": len(fs), "scripts": n_scripts}
 
 
+def surface(root: Node, url):
+    """What a visitor or a script can act on: forms and their hidden fields, tokens, endpoints, in that order."""
+    i = 0
+    found = [("Form", f["id"] or f"form[{f['form_ix']}]", f["method"], f["action"], "") for f in forms(root, url)]
+    fields = [("Field", c["name"], "", "", c["value"]) for f in forms(root, url) for c in f["fields"] if c["type"] == "hidden"]
+    tokens_ = [("Token", t["name"], "", "", t["value"]) for t in tokens(root, url)]
+    calls = [("Endpoint", r["operation"] or r["client"] or r["url"], r["method"], r["url"], "") for r in endpoints(root, url)]
+    for kind, name, method, target, value in [*found, *fields, *tokens_, *calls]:
+        yield {"ord": i, "kind": kind, "name": name, "method": method, "url": target, "value": value}
+        i += 1
+
+
+def members(root: Node, url):
+    """Member paths of a page's scripts with how often each occurs."""
+    for i, s in _page_scripts(root):
+        for path, n in Counter(p for p, _ in script_members(s.text())).items():
+            yield {"script_ix": i, "path": path, "n": n}
+
+
+def data_sources(root: Node, url):
+    """Where a page holds data, richest first: structured data, application state, script data, tables, endpoints, with their size."""
+    rank = {"json_ld": 0, "app_state": 1, "script_data": 2, "table": 3, "endpoint": 4}
+    out = [("json_ld", r["type"], len(r["raw"])) for r in json_ld(root, url) if r["error"] is None]
+    out += [("app_state", r["name"], len(r["json"])) for r in app_state(root, url)]
+    out += [("script_data", r["id"] or r["type"], len(r["json"])) for r in script_data(root, url) if r["valid"]]
+    out += [("table", t["caption"] or t["id"], len(t["rows"])) for t in T.read_tables(root) if not t["error"]]
+    out += [("endpoint", r["url"], 0) for r in endpoints(root, url)]
+    for i, (kind, name, size) in sorted(enumerate(out), key=lambda x: (rank[x[1][0]], -x[1][2], x[0])):
+        yield {"kind": kind, "name": name, "size": size, "found_ix": i}
+
+
 EXTRACTORS: dict = {
     "outline": (outline, "ord int, level int, title string, id string, parent_ord int"),
     "lists": (lists, "list_ix int, ordered boolean, item_ix int, segments array<string>"),
@@ -921,6 +953,9 @@ EXTRACTORS: dict = {
     "endpoints": (endpoints, "script_ix int, method string, url string, client string, operation string"),
     "api_inventory": (api_inventory, "kind string, method string, resolved_url string, name string, risk string, reasons array<string>"),
     "flight_rows": (flight_rows, "row_ix int, id bigint, tag string, data string, json string, complete boolean, payload_ix int"),
+    "surface": (surface, "ord int, kind string, name string, method string, url string, value string"),
+    "members": (members, "script_ix int, path string, n int"),
+    "data_sources": (data_sources, "kind string, name string, size int, found_ix int"),
     "code_blocks": (code_blocks, "block_ix int, language string, code string, lines int, kind string"),
     "breadcrumbs": (breadcrumbs, "trail_ix int, item_ix int, label string, url string"),
     "faq": (faq, "question string, answer string, source string"),
@@ -955,12 +990,16 @@ def _resolved(field: str, only=None, external: str | None = None, keep=None):
     return finish
 
 
+def _resolved_forms(rows, base, url):
+    return [{**r, "url": _action(r["url"], base, url)} if r["kind"] == "Form" else r for r in rows]
+
+
 #: Kinds whose rows hold addresses, with what resolves them once the page's own address is known.
 LATE = {
     "forms": lambda rows, base, url: [{**r, "action": _action(r["action"], base, url)} for r in rows],
     "head_links": _resolved("url", _holds_url), "canonical": _first_canonical, "links": _resolved("url", external="external", keep=lambda r: r["url"]),
     "crawl_links": _distinct_links, "images": _resolved("url"), "crawl_assets": _distinct_assets, "resources": _resolved("source"), "scripts": _resolved("src"),
-    "api_inventory": _assessed, "breadcrumbs": _resolved("url"), "actions": _resolved("url"), "publication_dates": _bound_dates,
+    "surface": _resolved_forms, "api_inventory": _assessed, "breadcrumbs": _resolved("url"), "actions": _resolved("url"), "publication_dates": _bound_dates,
 }
 
 

@@ -14,6 +14,7 @@ from pagemill.functions import css
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.dom import Node, normal, parse, serialise
 from pagemill.functions.urls import effective_base, resolve
+from pagemill.functions.xpath import compile_xpath
 
 NODE = "node_id int, tag string, id string, classes array<string>, text string, html string, attributes map<string,string>"
 
@@ -85,6 +86,42 @@ def by_text(pages: DataFrame, text: str, match: str = "contains", selector: str
     return _rows(pages, fn, NODE, key, html, None)
 
 
+def by_xpath(pages: DataFrame, expression: str, first: bool = False, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Results of an XPath expression in document order: an element's position, tag and text; attribute values and text runs have no position."""
+    run = compile_xpath(expression)
+
+    def fn(root, _):
+        out = []
+        for i, x in enumerate(run(root)[: 1 if first else None]):
+            node = isinstance(x, Node)
+            out.append({"ord": i, "node_id": x.pre if node else None, "tag": x.tag if node and x.tag[0] != "#" else None, "value": (x.value if x.tag == "#text" else x.clean()) if node else x})
+        return out
+
+    return _rows(pages, fn, "ord int, node_id int, tag string, value string", key, html, None)
+
+
+def selectors_for(pages: DataFrame, text: str, limit: int = 5, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Selectors that find the elements whose own text holds ``text``, best first: by id, by class, by tag, by position.
+
+    ``matches`` counts the elements a selector finds on the page; of equal kinds the one that finds fewest is first.
+    """
+
+    def fn(root, _):
+        seen: dict[str, tuple] = {}
+        for n in root.elements():
+            if n.tag in ("script", "style", "template") or text.lower() not in normal(n.own_text()).lower():
+                continue
+            ways = [(0, f"{n.tag}#{n.get('id')}")] if re.fullmatch(r"[A-Za-z][\w-]*", n.get("id")) else []
+            ways += [(1, f"{n.tag}.{c}") for c in n.classes() if re.fullmatch(r"[A-Za-z][\w-]*", c)] + [(2, n.tag), (3, positional(n))]
+            for kind, s in ways:
+                if s not in seen:
+                    seen[s] = (kind, len(css.select(root, s)), n.pre)
+        order = sorted(seen, key=lambda s: (seen[s][0] == 2 and seen[s][1] > 1, seen[s][0], seen[s][1], seen[s][2], s))[:limit]
+        return [{"rank": i + 1, "selector": s, "matches": seen[s][1]} for i, s in enumerate(order)]
+
+    return _rows(pages, fn, "rank int, selector string, matches int", key, html, None)
+
+
 # ---- fingerprints
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions import dom, formats, redact, text
+from pagemill.functions import dom, formats, redact, scripts, text
 from pagemill.functions.batches import map_arrow
 
 
@@ -19,7 +19,7 @@ TRANSFORMS = {
     "format_html": formats.format_html, "minify_html": formats.minify_html, "inline_css": formats.inline_css, "format_css": formats.format_css, "minify_css": formats.minify_css,
     "entity_decode": formats.deentitize, "entity_encode": formats.entitize, "markdown": lambda h: text.markdown(_body(h)), "text": lambda h: text.fragment_text(_body(h)),
     "lines": lambda h: text.fragment_lines(_body(h)), "readable": lambda h: text.readable(dom.parse(h))["text"],
-    "redact_url": redact.redact_url, "redact_structured": redact.redact_structured, "redact_links": redact.redact_links,
+    "minify_js": scripts.minify_js, "format_js": scripts.format_js, "redact_url": redact.redact_url, "redact_structured": redact.redact_structured, "redact_links": redact.redact_links,
 }
 
 
@@ -57,3 +57,46 @@ def api_catalog(endpoints: DataFrame) -> DataFrame:
         F.max_by("summary", F.struct(F.length("summary"), "summary")).alias("summary"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("parameters")))).alias("parameters"),
         F.countDistinct("page_id").alias("pages"), F.round(F.avg("score"), 2).alias("mean_score"), F.max("promoted").alias("promoted"),
     )
+
+
+def embed_images(pages: DataFrame, assets: DataFrame, limit: int = 200_000, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``key, html``: pages whose images of known content are data addresses.
+
+    ``assets`` holds ``key, reference, content_type, data``: the image as the page refers to it. Only
+    these rows are grouped, at most ``limit`` bytes an image; larger ones stay references.
+    """
+    a = assets.where(F.octet_length("data") <= limit).groupBy(F.col(key).alias("_k")).agg(F.map_from_entries(F.collect_set(F.struct("reference", F.concat(F.lit("data:"), "content_type", F.lit(";base64,"), F.base64("data"))))).alias("places"))
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(b, _):
+        out = []
+        for h, places in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            root = dom.parse(h) if h and places else None
+            for n in root.elements("img") if root is not None else ():
+                n.attrs["src"] = dict(places).get(n.get("src"), n.get("src"))
+            out.append(h if root is None else dom.serialise(root))
+        return {"key": b.column(0).to_pylist(), "html": out}
+
+    j = pages.select(F.col(key).alias("key"), F.col(html).alias("html")).join(a, F.col("key") == F.col("_k"), "left").select("key", "html", "places")
+    return map_arrow(j, run, f"key {kind}, html string").withColumnRenamed("key", key)
+
+
+def linked_endpoints(references: DataFrame, scripts_: DataFrame) -> DataFrame:
+    """Endpoints of the scripts that pages link to: each script is read once, whatever pages link to it.
+
+    ``references`` holds ``page_id, src``; ``scripts_`` ``url, content``.
+    """
+    from pagemill.operators.extract import endpoints_of
+
+    def run(b, _):
+        out: dict = {n: [] for n in ("script_url", "method", "url", "client", "operation")}
+        for u, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for r in endpoints_of(t or ""):
+                out["script_url"].append(u)
+                for n in ("method", "url", "client", "operation"):
+                    out[n].append(r[n])
+        return out
+
+    once = scripts_.groupBy("url").agg(F.min("content").alias("content"))
+    found = map_arrow(once.join(references.select(F.col("src").alias("url")), "url", "left_semi").select("url", "content"), run, "script_url string, method string, url string, client string, operation string")
+    return references.select("page_id", F.col("src").alias("script_url")).distinct().join(found, "script_url")
