@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import _ATTRS, _CODE as CODE, body_markup, split_at, split_blocks
-from pagemill.llm.hot import for_each_part, hot_hosts, split_rows
 from pagemill.llm.memo import Memo
-from pagemill.llm.site_lines import page_hosts
+from pagemill.llm.site_lines import hot_hosts, page_hosts
+from pagemill.operators.hot import for_each_part, split_rows
 from pagemill.session import materialise
 
 MIN_PAGES = 4
@@ -230,8 +230,8 @@ def site_templates(trees: DataFrame, hosts: DataFrame, min_urls: int = MIN_PAGES
     # Pages bound addresses: what stands on too few pages is dropped before addresses are told apart.
     hot = hot_hosts(t)
     n = t.select("host", F.explode("trees").alias("tree")).groupBy("host", "tree").agg(F.count("*").alias("n"))
-    some = for_each_part(n.join(need, "host").where("n >= need").select("host", "tree", "need"), hot)
-    per = split_rows(t.select("host", "u", F.explode("trees").alias("tree")), hot, "u").join(some, ["host", "tree", "salt"]).select("host", "tree", "need", "u").distinct()
+    some = for_each_part(n.join(need, "host").where("n >= need").select("host", "tree", "need"), hot, "host")
+    per = split_rows(t.select("host", "u", F.explode("trees").alias("tree")), hot, "host", "u").join(some, ["host", "tree", "_salt"]).select("host", "tree", "need", "u").distinct()
     return per.groupBy("host", "tree", "need").agg(F.count("*").alias("urls")).where("urls >= need").select("host", "tree")
 
 
@@ -254,17 +254,17 @@ def found(cache: DataFrame, pages: DataFrame) -> DataFrame:
     hosts = materialise(page_hosts(pages))
     hot = hot_hosts(hosts)
     trees = materialise(page_trees(cache))
-    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot)
+    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot, "host")
     some = trees.where(F.size("suspects") > 0).select("page_id", F.explode("suspects").alias("s")).select("page_id", "s.text", "s.around")
-    some = split_rows(some.join(hosts.select("page_id", "host"), "page_id", "left"), hot).join(per_host, ["host", "salt"], "left")
+    some = split_rows(some.join(hosts.select("page_id", "host"), "page_id", "left"), hot, "host", "page_id").join(per_host, ["host", "_salt"], "left")
     tree = F.try_element_at(F.filter("around", lambda t: F.array_contains("known", t)), F.lit(1))
-    some = materialise(some.select("page_id", "host", "salt", "text", tree.alias("tree")))
+    some = materialise(some.select("page_id", "host", "_salt", "text", tree.alias("tree")))
     # One row per host, subtree and text stands for all pages that hold them.
     inside = some.where("tree is not null").withColumn("t", F.xxhash64("text"))
     once = inside.groupBy("host", "tree", "t").agg(F.min("text").alias("text"))
     shown = _judge(once.select(F.struct("host", "tree", "t").alias("k"), "text"), "k struct<host:string,tree:bigint,t:bigint>")
-    shown = for_each_part(shown.select("k.host", "k.tree", "k.t", "kind"), hot)
-    judged = inside.select("page_id", "host", "tree", "t", "salt").join(shown, ["host", "tree", "t", "salt"]).select("page_id", "kind")
+    shown = for_each_part(shown.select("k.host", "k.tree", "k.t", "kind"), hot, "host")
+    judged = inside.select("page_id", "host", "tree", "t", "_salt").join(shown, ["host", "tree", "t", "_salt"]).select("page_id", "kind")
     left = _judge(some.where("tree is null").select("page_id", "text"), "page_id bigint")
     body = judged.unionByName(left).select("page_id", F.lit("html").alias("field"), "kind")
     return body.unionByName(dirty_titles(pages)).distinct()
@@ -391,9 +391,9 @@ def clean_pages(cache: DataFrame, pages: DataFrame) -> DataFrame:
     hosts = materialise(page_hosts(pages))
     hot = hot_hosts(hosts)
     trees = materialise(page_trees(cache).select("page_id", "trees"))
-    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot)
-    mine = split_rows(trees.join(hosts.select("page_id", "host"), "page_id"), hot)
-    gone = mine.join(per_host, ["host", "salt"]).select("page_id", F.array_intersect("trees", "known").alias("gone"))
+    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot, "host")
+    mine = split_rows(trees.join(hosts.select("page_id", "host"), "page_id"), hot, "host", "page_id")
+    gone = mine.join(per_host, ["host", "_salt"]).select("page_id", F.array_intersect("trees", "known").alias("gone"))
     j = cache.select("page_id", "html").join(gone, "page_id", "left")
 
     def fn(b, _):

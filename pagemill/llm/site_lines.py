@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import body_markup, crc, split_blocks
-from pagemill.llm.hot import for_each_part, hot_hosts, split_rows
 from pagemill.llm.memo import Memo
+from pagemill.operators.hot import for_each_part, hot_keys, split_rows
 from pagemill.session import materialise
 
 DEPTH = 3
@@ -55,17 +55,22 @@ def _describe(block: str) -> tuple[int, int, int]:
     return crc(block), _signed(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))), _signed(xxhash.xxh3_64_intdigest(path.encode("utf-8", "surrogatepass")))
 
 
-def page_lines(cache: DataFrame) -> DataFrame:
-    """``page_id, lines``: per page its distinct blocks as (crc, line, leaf) hashes; null and empty html give none."""
+def page_lines(cache: DataFrame, texts: bool = False) -> DataFrame:
+    """``page_id, lines``: per page its distinct blocks as (crc, line, leaf) hashes; null and empty html give none.
+
+    With ``texts`` also ``blocks``, the blocks themselves in their order.
+    """
 
     def fn(b, memo):
-        ids, lines = b.column(0).to_pylist(), []
+        out: dict = {"page_id": b.column(0).to_pylist(), "lines": [], "blocks": []}
         for html in b.column(1).to_pylist():
-            seen = dict.fromkeys(split_blocks(body_markup(html))) if html else ()
-            lines.append([{"crc": c, "line": n, "leaf": p} for c, n, p in (memo[x] for x in seen)])
-        return {"page_id": ids, "lines": lines}
+            blocks = split_blocks(body_markup(html)) if html else []
+            out["lines"].append([{"crc": c, "line": n, "leaf": p} for c, n, p in (memo[x] for x in dict.fromkeys(blocks))])
+            out["blocks"].append(blocks)
+        return out
 
-    return map_arrow(cache.select("page_id", "html"), fn, "page_id bigint, lines array<struct<crc:bigint,line:bigint,leaf:bigint>>", lambda: Memo(_describe))
+    schema = "page_id bigint, lines array<struct<crc:bigint,line:bigint,leaf:bigint>>" + (", blocks array<string>" if texts else "")
+    return map_arrow(cache.select("page_id", "html"), fn, schema, lambda: Memo(_describe))
 
 
 def page_hosts(pages: DataFrame) -> DataFrame:
@@ -74,9 +79,14 @@ def page_hosts(pages: DataFrame) -> DataFrame:
     return p.groupBy("page_id").agg(F.min(F.struct("host", "url")).alias("p")).select("page_id", "p.host", "p.url")
 
 
-def site_lines(cache: DataFrame, pages: DataFrame) -> DataFrame:
+def hot_hosts(pages: DataFrame) -> DataFrame:
+    """Hosts with so many pages that their rows are split."""
+    return hot_keys(pages.groupBy("host").agg(F.count("*").alias("n")), "host")
+
+
+def site_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, host, url_hash, lines`` of each cached page whose host and url are known."""
-    return page_lines(cache).join(page_hosts(pages), "page_id").select("page_id", "host", F.xxhash64("url").alias("url_hash"), "lines")
+    return lines.select("page_id", "lines").join(page_hosts(pages), "page_id").select("page_id", "host", F.xxhash64("url").alias("url_hash"), "lines")
 
 
 def thresholds(site: DataFrame, min_urls: int, min_share: float) -> DataFrame:
@@ -93,7 +103,7 @@ def repeated_lines(site: DataFrame, min_urls: int = MIN_URLS, min_share: float =
         .join(thresholds(site, min_urls, min_share), "host").where("pages >= need").select("host", "leaf", "need")
     )
     lines = site.select("host", "url_hash", F.explode("lines").alias("l")).select("host", "url_hash", "l.line", "l.leaf")
-    per_url = split_rows(lines, hot, "url_hash").join(for_each_part(leaves, hot), ["host", "leaf", "salt"]).select("host", "need", "line", "url_hash").distinct()
+    per_url = split_rows(lines, hot, "host", "url_hash").join(for_each_part(leaves, hot, "host"), ["host", "leaf", "_salt"]).select("host", "need", "line", "url_hash").distinct()
     return per_url.groupBy("host", "need", "line").agg(F.count("*").alias("urls")).where("urls >= need").select("host", "line", "urls")
 
 
@@ -104,8 +114,8 @@ def repeated_blocks(site: DataFrame, repeated: DataFrame) -> DataFrame:
     lines are one bounded array; it is joined to the pages, of which large hosts are split.
     """
     hot = hot_hosts(site)
-    per_host = for_each_part(repeated.groupBy("host").agg(F.collect_set("line").alias("known")), hot)
-    hit = split_rows(site, hot).join(per_host, ["host", "salt"]).select("page_id", F.array_distinct(F.expr("filter(lines, x -> array_contains(known, x.line)).crc")).alias("c"))
+    per_host = for_each_part(repeated.groupBy("host").agg(F.collect_set("line").alias("known")), hot, "host")
+    hit = split_rows(site, hot, "host", "page_id").join(per_host, ["host", "_salt"]).select("page_id", F.array_distinct(F.expr("filter(lines, x -> array_contains(known, x.line)).crc")).alias("c"))
     return hit.select("page_id", F.explode("c").alias("block_crc"))
 
 
@@ -127,8 +137,8 @@ def templates(cache: DataFrame, pages: DataFrame, min_urls: int = MIN_URLS, min_
     hot = hot_hosts(site)
     leaves = site.select("host", "url_hash", F.explode(F.array_distinct("lines.leaf")).alias("leaf")).distinct().groupBy("host", "leaf").agg(F.count("*").alias("urls"))
     leaves = leaves.join(thresholds(site, min_urls, min_share), "host").where("urls >= need").select("host", "leaf", "urls")
-    lines = split_rows(site.select("host", "url_hash", F.explode("lines").alias("l")).select("host", "url_hash", "l.leaf", "l.line"), hot, "url_hash")
-    lines = lines.join(for_each_part(leaves, hot), ["host", "leaf", "salt"]).select("host", "leaf", "urls", "line").distinct()
+    lines = split_rows(site.select("host", "url_hash", F.explode("lines").alias("l")).select("host", "url_hash", "l.leaf", "l.line"), hot, "host", "url_hash")
+    lines = lines.join(for_each_part(leaves, hot, "host"), ["host", "leaf", "_salt"]).select("host", "leaf", "urls", "line").distinct()
     place = lines.select("host", "leaf", "urls", F.posexplode(F.split("line", " ")).alias("at", "token")).groupBy("host", "leaf", "urls", "at")
     place = place.agg(F.count("*").alias("lines"), F.when(F.min("token") == F.max("token"), F.min("token")).otherwise("<*>").alias("token"))
     tokens = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ")
@@ -136,26 +146,21 @@ def templates(cache: DataFrame, pages: DataFrame, min_urls: int = MIN_URLS, min_
 
 
 def found(cache: DataFrame, pages: DataFrame) -> DataFrame:
-    site = materialise(site_lines(cache, pages))
+    site = materialise(site_lines(page_lines(cache), pages))
     return repeated_blocks(site, repeated_lines(site))
 
 
 def without_repeated(cache: DataFrame, pages: DataFrame) -> DataFrame:
     """``page_id, host, text, removed``: each body's blocks, one per line, without its host's repeated lines.
 
-    Pages of unknown host keep all their blocks.
+    Pages are parsed once: their blocks are written beside the hashes, and only this text, never the
+    markup, meets the lines to drop. Pages of unknown host keep all their blocks; rows of one
+    ``page_id`` share its host.
     """
-    site = materialise(site_lines(cache, pages))
+    parsed = materialise(page_lines(cache, True))
+    site = materialise(site_lines(parsed, pages))
     drop = repeated_blocks(site, repeated_lines(site)).groupBy("page_id").agg(F.collect_set("block_crc").alias("drop"))
-    j = cache.select("page_id", "html").join(site.select("page_id", "host"), "page_id", "left").join(drop, "page_id", "left")
-
-    def fn(b, _):
-        out = {"page_id": b.column(0).to_pylist(), "host": b.column(1).to_pylist(), "text": [], "removed": []}
-        for html, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            blocks, gone = split_blocks(body_markup(html)) if html else [], set(gone or ())
-            kept = [x for x in blocks if crc(x) not in gone]
-            out["text"].append("\n".join(kept))
-            out["removed"].append(len(blocks) - len(kept))
-        return out
-
-    return map_arrow(j.select("page_id", "host", "html", "drop"), fn, "page_id bigint, host string, text string, removed int")
+    hosts = site.groupBy("page_id").agg(F.min("host").alias("host")).join(drop, "page_id", "left")
+    j = parsed.select("page_id", "blocks").join(hosts, "page_id", "left")
+    kept = F.when(F.col("drop").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda x: ~F.array_contains("drop", F.crc32(x.cast("binary")))))
+    return j.withColumn("kept", kept).select("page_id", "host", F.array_join("kept", "\n").alias("text"), (F.size("blocks") - F.size("kept")).alias("removed"))

@@ -308,9 +308,9 @@ def test_template_trees_merge():
     assert site_lines.template_path("page # of #") == (4, "page", "<*>", "of")
 
 
-@pytest.mark.parametrize("rows", [site_lines.hot_hosts.__globals__["HOT_ROWS"], 7])
+@pytest.mark.parametrize("rows", [100_000, 7])
 def test_templates_and_hot_hosts_match_brute_force(spark, monkeypatch, rows):
-    from pagemill.llm import hot
+    from pagemill.operators import hot
 
     monkeypatch.setattr(hot, "HOT_ROWS", rows)
     rnd = random.Random(12)
