@@ -1,8 +1,8 @@
 """Named queries over the tables of a folder, with their SQL counterparts."""
 
-from pagemill.catalog import crawl, data_flow, literal, pages
+from pagemill.catalog import crawl, data_flow, literal, pages, streams
 
-MODULES = [data_flow, crawl, pages, literal]
+MODULES = [data_flow, crawl, pages, literal, streams]
 
 
 def queries() -> dict:

@@ -560,6 +560,38 @@ def _local_places(spark):
     return corpus.local_places(spark.createDataFrame([("https://E.example/a/b c.png?x=1",), ("https://e.example/",), (None,), ("https://e.example/",)], "url string"))
 
 
+@literal("enum_values")
+def _enums(spark):
+    return texts(spark, " success", "FAILED", "other", "").select("id", C.enum_value(F.col("content"), ["Success", "Failed", "Skipped"], "Unknown").alias("value"))
+
+
+@literal("sign_on_handoffs")
+def _handoffs(spark):
+    more = "<form method=post action='https://rp.example/cb?token=1'><input type=hidden name=code value=c1><input type=hidden name=state value=s></form><form action=/err><input name=error value=denied><input name=state></form><form><input name=q></form>"
+    f = page_table(spark, "forms").unionByName(spark.createDataFrame([(2, more, U)], "page_id bigint, html string, url string"))
+    return transform.sign_on_handoffs(extract.extract(f, "forms"))
+
+
+@literal("table_values")
+def _table_values(spark):
+    p = page_table(spark, "tables")
+    return transform.table_values(extract.extract(p, "tables"), extract.extract(p, "table_heads"))
+
+
+@literal("static_rendered")
+def _static_rendered(spark):
+    one = lambda html: extract.extract(spark.createDataFrame([(1, html)], "page_id bigint, html string"), "outline", url=None).select("level", "title")
+    return corpus.static_rendered_difference(one("<h1>A</h1><h2>B</h2><h2>B</h2>"), one("<h1>A</h1><h2>B</h2><h2>New</h2>"))
+
+
+@literal("excluded_elements")
+def _exclude(spark):
+    from pagemill.functions.formats import without
+
+    h = "<nav>n</nav><p class=ad>a</p><p id=x>x</p><p>keep</p>"
+    return spark.createDataFrame([(1, without(h, ["nav", ".ad", "#x"]))], "page_id bigint, html string")
+
+
 @literal("nested_objects")
 def _nested(spark):
     t = texts(spark, '{"items":[{"Name":"a","Data":[{"x":1},null,{"x":1}]},{"Name":"a","Data":{"x":1}}]}', '{"Items":"[{}]"}', "{")

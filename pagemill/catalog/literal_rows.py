@@ -1123,4 +1123,54 @@ EXPECTED = {
             ('https://e.example/', 'assets/e.example/index-c9246d2616ac'),
         ],
     ),
+    'lit_enum_values': (
+        'id bigint, value string',
+        [
+            (1, 'Success'),
+            (2, 'Failed'),
+            (3, 'Unknown'),
+            (4, 'Unknown'),
+        ],
+    ),
+    'lit_sign_on_handoffs': (
+        'page_id bigint, form_ix int, kind string, method string, action string, field_names string, authorization_code_present boolean, state_present boolean, error string',
+        [
+            (1, 2, 'saml', 'POST', 'https://sso.example/acs', 'SAMLResponse', False, False, ''),
+            (2, 0, 'oauth', 'POST', 'https://rp.example/cb?token=<redacted>', 'code|state', True, True, ''),
+            (2, 1, 'oauth', 'GET', 'https://shop.example/err', 'error|state', False, False, 'denied'),
+        ],
+    ),
+    'lit_table_values': (
+        'page_id bigint, table_ix int, row_ix int, column string, value string, type string',
+        [
+            (1, 0, 0, 'Item', 'Pear', 'string'),
+            (1, 0, 0, 'Cost', '2', 'bigint'),
+            (1, 0, 1, 'Item', 'Pear', 'string'),
+            (1, 0, 1, 'Cost', '3', 'bigint'),
+            (1, 0, 2, 'Item', 'Sum', 'string'),
+            (1, 0, 2, 'Cost', '5', 'bigint'),
+            (1, 1, 0, 'Column1', '1', 'bigint'),
+            (1, 1, 0, 'Column2', 'x', 'string'),
+            (1, 1, 0, 'Column3', 'x', 'string'),
+            (1, 1, 1, 'Column1', '2', 'bigint'),
+            (1, 1, 1, 'Column2', 'true', 'string'),
+            (1, 1, 1, 'Column3', '2024-01-02', 'string'),
+            (1, 2, 0, 'Name', 'a', 'string'),
+            (1, 2, 0, 'Name1', 'b', 'string'),
+            (1, 2, 0, 'Column3', 'c', 'string'),
+        ],
+    ),
+    'lit_static_rendered': (
+        'level int, title string, change string',
+        [
+            (2, 'B', 'removed'),
+            (2, 'New', 'added'),
+        ],
+    ),
+    'lit_excluded_elements': (
+        'page_id bigint, html string',
+        [
+            (1, '<p>keep</p>'),
+        ],
+    ),
 }

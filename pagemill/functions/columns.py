@@ -209,3 +209,12 @@ def redact_query(url: Column) -> Column:
     words = "|".join(sorted(SENSITIVE_NAMES, key=len, reverse=True))
     u = F.regexp_replace(url, r"^((?:[A-Za-z][A-Za-z0-9+.-]*:)?//)[^/?#@]+@", "$1<redacted>@")
     return F.regexp_replace(u, rf"(?i)([?&#](?:[^=&#]*[^A-Za-z0-9=&#])?(?:{words})(?:[^A-Za-z0-9=&#][^=&#]*)?=)[^&#]*", "$1<redacted>")
+
+
+def enum_value(text: Column, names: list[str], default: str | None = None) -> Column:
+    """The name of a fixed set that a text spells, case and outer spaces ignored; the default for any other text, null for null."""
+    t = F.lower(F.trim(text))
+    out = F.lit(default).cast("string")
+    for n in reversed(names):
+        out = F.when(t == n.lower(), F.lit(n)).otherwise(out)
+    return F.when(text.isNotNull(), out)

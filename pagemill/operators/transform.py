@@ -100,3 +100,32 @@ def linked_endpoints(references: DataFrame, scripts_: DataFrame) -> DataFrame:
     once = scripts_.groupBy("url").agg(F.min("content").alias("content"))
     found = map_arrow(once.join(references.select(F.col("src").alias("url")), "url", "left_semi").select("url", "content"), run, "script_url string, method string, url string, client string, operation string")
     return references.select("page_id", F.col("src").alias("script_url")).distinct().join(found, "script_url")
+
+
+def sign_on_handoffs(forms: DataFrame) -> DataFrame:
+    """Forms that hand a sign-on over: kind, field names, what they carry, and the target with sensitive values hidden.
+
+    ``forms`` are rows of the extractor of that name. Kinds are saml, wsfed, oidc and oauth, in this
+    order of precedence; forms with none of their fields are left out. Values don't come out.
+    """
+    from pagemill.functions.columns import redact_query
+
+    names = F.transform("fields", lambda f: F.lower(f["name"]))
+    has = lambda *n: F.arrays_overlap(names, F.array(*[F.lit(x) for x in n]))
+    filled = lambda n: F.exists("fields", lambda f: (F.lower(f["name"]) == n) & (F.trim(f["value"]) != ""))
+    kind = F.when(has("samlresponse", "samlrequest"), "saml").when(has("wresult"), "wsfed").when(has("id_token"), "oidc").when(has("code", "access_token", "error"), "oauth")
+    return forms.withColumn("kind", kind).where("kind is not null").select(
+        "page_id", "form_ix", "kind", "method", redact_query(F.col("action")).alias("action"), F.transform("fields", lambda f: f["name"]).alias("field_names"),
+        filled("code").alias("authorization_code_present"), (filled("state") | filled("relaystate")).alias("state_present"),
+        F.element_at(F.concat(F.transform(F.filter("fields", lambda f: F.lower(f["name"]) == "error"), lambda f: f["value"]), F.array(F.lit(""))), 1).alias("error"),
+    )
+
+
+def table_values(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """All tables as one long table: ``page_id, table_ix, row_ix, column, value, type``, with the type that all values of the column fit.
+
+    ``rows`` and ``heads`` are rows of the extractors ``tables`` and ``table_heads``.
+    """
+    types = heads.select("page_id", "table_ix", F.explode(F.map_from_arrays("headers", "types")).alias("column", "type"))
+    cells = rows.where("row_ix is not null").select("page_id", "table_ix", "row_ix", F.explode("cells").alias("column", "value"))
+    return cells.join(types, ["page_id", "table_ix", "column"], "left").select("page_id", "table_ix", "row_ix", "column", "value", "type")

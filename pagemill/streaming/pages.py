@@ -37,6 +37,15 @@ def stream_handler(pages: DataFrame, handler: Callable, schema: str, target: str
     return pages.mapInPandas(handler, schema).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
 
 
+def upsert(rows: DataFrame, target: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
+    """Write the result of a stream to ``target``, each batch in the place of the last one ('complete') or after it ('append')."""
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.write.mode("overwrite" if mode == "complete" else "append").parquet(target)
+
+    return rows.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def status_counts(pages: DataFrame, late: str = "1 hour", window: str = "1 hour") -> DataFrame:
     """Pages per window and status of a stream (or a table), late deliveries awaited for ``late``."""
     p = pages.withWatermark("stored_at", late) if pages.isStreaming else pages
