@@ -1,6 +1,5 @@
 """Relational queries over a crawl's tables, each with the SQL it must agree with."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import columns as C
@@ -174,8 +173,8 @@ FROM a LEFT JOIN b ON a.url = b.url""")
 def refresh_states(spark, d):
     p = load(spark, d, "crawl_pages").where("status = 'Success' and url is not null")
     p = p.groupBy("url", "page_id").agg(F.min("started").alias("started"), F.min("entity_tag").alias("entity_tag"), F.min("last_modified").alias("last_modified"))
-    p = p.withColumn("fingerprint", F.lit(None).cast("string")).withColumn("k", F.row_number().over(Window.partitionBy("url").orderBy(F.desc("started"), F.desc("page_id"))))
-    return corpus.refresh(p.where("k = 1"), p.where("k = 2"))
+    t = corpus.last_two(p.withColumn("fingerprint", F.lit(None).cast("string")), "url", ["started", "page_id"])
+    return corpus.refresh(t.select("url", "last.*"), t.where("previous is not null").select("url", "previous.*"))
 
 
 # ---- assets

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from pagemill.operators import audit, select, transform
+from pagemill.operators import audit, corpus, select, transform
 from pagemill.operators.extract import EXTRACTORS, extract, extract_joined
 from pagemill.session import load
 
@@ -66,9 +66,9 @@ def page_changes(spark, d):
     cache = load(spark, d, "http_cache")
     p = load(spark, d, "crawl_pages").where("page_id is not null and url is not null").groupBy("page_id").agg(F.min("url").alias("url"), F.min("started").alias("started"))
     p = p.join(cache.where("html is not null").select("page_id"), "page_id", "left_semi")
-    last = p.groupBy("url").agg(F.max(F.struct("started", "page_id")).alias("a"))
-    before = p.join(last, "url").where(F.struct("started", "page_id") < F.col("a")).groupBy("url").agg(F.max(F.struct("started", "page_id")).alias("b"))
-    pairs = last.join(before, "url").select("url", F.explode(F.array(F.struct(F.col("a.page_id").alias("page_id"), F.lit("new").alias("role")), F.struct(F.col("b.page_id").alias("page_id"), F.lit("old").alias("role")))).alias("x"))
+    t = corpus.last_two(p, "url", ["started", "page_id"]).where("previous is not null")
+    role = lambda c, name: F.struct(F.col(f"{c}.page_id").alias("page_id"), F.lit(name).alias("role"))
+    pairs = t.select("url", F.explode(F.array(role("last", "new"), role("previous", "old"))).alias("x"))
     both = cache.select("page_id", "html").join(pairs.select("url", "x.page_id", "x.role"), "page_id").groupBy("url").agg(*[F.max(F.when(F.col("role") == r, F.col("html"))).alias(r) for r in ("old", "new")])
     return transform.differences(both, "url", "old", "new")
 

@@ -187,6 +187,20 @@ def crawl_frontier(start: DataFrame, links: DataFrame, max_depth: int, reason=No
 # ---- refresh and summaries
 
 
+def last_two(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``key, last, previous``: the last row of each key by ``order`` and the one before it, as structs; previous is null for a single row.
+
+    Two aggregates instead of a sort per key; a key with very many rows meets its last one in parts.
+    Rows of equal order count as one.
+    """
+    row = F.struct(*order, *[c for c in rows.columns if c != key and c not in order])
+    last = rows.groupBy(key).agg(F.max(row).alias("last"), F.count("*").alias("n"))
+    hot = hot_keys(last, key)
+    at = for_each_part(last.select(key, F.struct(*[F.col(f"last.{c}").alias(c) for c in order]).alias("_at")), hot, key)
+    before = split_rows(rows, hot, key, order[-1]).join(at, [key, "_salt"]).where(F.struct(*order) < F.col("_at")).groupBy(key).agg(F.max(row).alias("previous"))
+    return last.select(key, "last").join(before, key, "left")
+
+
 def refresh(new: DataFrame, old: DataFrame) -> DataFrame:
     """``url, state`` of the pages of a new crawl against an old one: new, unchanged, changed; and gone.
 

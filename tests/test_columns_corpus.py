@@ -132,3 +132,24 @@ def test_graph_refresh_duplicates(spark):
     assert {(r["id"], r["duplicate"]) for r in d.collect()} == {(3, True), (1, False), (2, False)}
     diff = K.static_rendered_difference(spark.createDataFrame([(1,), (1,), (2,)], "x int"), spark.createDataFrame([(1,), (3,)], "x int"))
     assert sorted(tuple(r) for r in diff.collect()) == [(1, "removed"), (2, "removed"), (3, "added")]
+
+
+@pytest.mark.parametrize("rows", [100_000, 3])
+def test_large_keys_are_split(spark, monkeypatch, rows):
+    from pagemill.operators import hot
+
+    monkeypatch.setattr(hot, "HOT_ROWS", rows)
+    data = [(i, "a" if i % 3 else f"k{i % 7}", i * 7 % 11 if i % 5 else None, "same" if i % 2 else f"t{i}") for i in range(60)]
+    df = spark.createDataFrame(data, "id bigint, key string, at int, text string")
+    want = {}
+    for k in {r[1] for r in data}:
+        mine = sorted((r for r in data if r[1] == k), key=lambda r: (-1 if r[2] is None else r[2], r[0]))
+        want[k] = (mine[-1][0], mine[-2][0] if len(mine) > 1 else None)
+    got = {r["key"]: (r["last"]["id"], r["previous"]["id"] if r["previous"] else None) for r in K.last_two(df, "key", ["at", "id"]).collect()}
+    assert got == want
+    dup = K.duplicate_pages(df, "id").collect()
+    assert len(dup) == 60 and {r["first"] for r in dup if r["text"] == "same"} == {1} and sum(r["duplicate"] for r in dup) == 29
+    chunks = df.select("id", F.lit(0).alias("chunk_index"), "text")
+    assert K.distinct_chunks(chunks, "id").count() == 31
+    paced = K.paced(df.select("key", F.col("id").cast("string").alias("url")), 2.0, "key").groupBy("key").agg(F.countDistinct("at").alias("n"), F.count("*").alias("m"), F.max("at").alias("x")).collect()
+    assert all(r["n"] == r["m"] and r["x"] == 2.0 * (r["n"] - 1) for r in paced)
