@@ -77,6 +77,7 @@ def redact_url(url: str | None) -> str:
     return base + ("" if query is None else "?" + _pairs(query)) + ("" if fragment is None else "#" + _pairs(fragment))
 
 
+#: What of script and JSON text is an assignment or a member with a sensitive name.
 _WORDS = "(?:" + "|".join(STRUCTURED_NAMES) + ")"
 _ASSIGNED = r"(?:\{[^;]*\}|\"(?:\\.|[^\"])*\"|'(?:\\.|[^'])*'|[^;\r\n]+)"
 _HELD = r"(?:\"(?:\\.|[^\"])*\"|'(?:\\.|[^'])*'|[^,}\]]+)"

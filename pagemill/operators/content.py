@@ -30,6 +30,12 @@ SIGNALS = (
 #: Words and score that a reader candidate needs.
 LEAST_WORDS, LEAST_SCORE = 20, 25.0
 
+#: Points of a reader candidate for its elements and its tag, and what link density, bare lists and boilerplate cost.
+POINTS = {"p": 18, "h": 20, "code": 14, "table": 10}
+TAG_POINTS = {"article": 35, "main": 20, "section": 10}
+DENSE, DENSEST, DENSE_COST, DENSEST_COST = 0.55, 0.75, 40, 80
+LIST_COST, SIGNAL_COST, LINK_BLOCK_COST = 45, 55, 80
+
 _WORD = regex.compile(r"\b[\p{L}\p{N}][\p{L}\p{N}'_-]*\b")
 _CANDIDATES = ("article", "main", "section", "div")
 _LOW_VALUE = ("div", "section", "aside", "nav", "ul", "ol", "details", "form")
@@ -105,7 +111,7 @@ def link_dense(n: Node, m: Measures) -> bool:
     if m.count(n, "a") < 3:
         return False
     density = m.linked(n) / words
-    return density >= 0.75 and words <= 90 or m.count(n, "li") >= 4 and density >= 0.55 and words <= 140
+    return density >= DENSEST and words <= 90 or m.count(n, "li") >= 4 and density >= DENSE and words <= 140
 
 
 def low_value(n: Node, m: Measures) -> bool:
@@ -123,13 +129,12 @@ def reader_score(n: Node, m: Measures, least_words: int = LEAST_WORDS) -> float
     words = m.words(n)
     if n.tag not in _CANDIDATES or words < least_words:
         return None
-    score = float(words + 18 * m.count(n, "p") + 20 * m.count(n, "h") + 14 * m.count(n, "code") + 10 * m.count(n, "table"))
-    score += {"article": 35, "main": 20, "section": 10}.get(n.tag, 0)
+    score = float(words + sum(w * m.count(n, k) for k, w in POINTS.items()) + TAG_POINTS.get(n.tag, 0))
     density = m.linked(n) / max(1, words)
-    score -= 80 if density >= 0.75 else 40 if density >= 0.55 else 0
-    score -= 45 if m.count(n, "li") >= 5 and not m.count(n, "p") else 0
-    score -= 55 if signalled(n) else 0
-    return score - (80 if link_dense(n, m) else 0)
+    costs = (
+        (DENSEST_COST if density >= DENSEST else DENSE_COST, density >= DENSE), (LIST_COST, m.count(n, "li") >= 5 and not m.count(n, "p")), (SIGNAL_COST, signalled(n)), (LINK_BLOCK_COST, link_dense(n, m)),
+    )
+    return score - sum(c for c, on in costs if on)
 
 
 def hint(n: Node | None) -> str | None:
