@@ -91,7 +91,7 @@ def residue_kinds(text: str) -> tuple[str, ...]:
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ELEMENT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(?:" + _ATTRS + ")")
 #: An opening tag that ends an open element of the same group.
-_IMPLIED = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
+_IMPLIED = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 #: Elements that are never a template by themselves: the page's trunk and runs inside a line.
 _NO_TREE = frozenset("html body main b i em strong span code a u s sub sup small mark abbr cite q font math mi mn mo".split())
 _DIGITS = re.compile("[0-9]+")
@@ -137,7 +137,7 @@ def subtrees(markup: str) -> list[tuple[int, int, int]]:
         elif name in _VOID:
             parts[-1].append(_normal(m[0]))
         else:
-            if names and names[-1] in _IMPLIED.get(name, ()):
+            while names and names[-1] in _IMPLIED.get(name, ()):
                 close(s)
             names.append(name)
             starts.append(s)
@@ -180,17 +180,6 @@ def _without_code(markup: str) -> str:
     return CODE.sub(lambda m: "<hr" + " " * (len(m[0]) - 4) + ">" if m[1].lower() == "pre" else " " * len(m[0]), markup)
 
 
-def drop_subtrees(markup: str, gone: set[int]) -> str:
-    """Markup without the subtrees whose hash is in ``gone``."""
-    spans = sorted((a, b) for a, b, h in subtrees(markup) if h in gone)
-    out, at = [], 0
-    for a, b in spans:
-        if a >= at:
-            out += markup[at:a], "<hr>"
-            at = b
-    return "".join(out) + markup[at:]
-
-
 def page_trees(cache: DataFrame) -> DataFrame:
     """``page_id, trees, suspects``: subtree hashes, and the blocks that hold a character of some markup.
 
@@ -355,56 +344,115 @@ _LI = re.compile(r"<li(?=[\s>/])(?:" + _ATTRS + ")", re.I)
 _INNER_TAG = re.compile(r"</?[a-zA-Z](?:" + _ATTRS + ")")
 
 
-def to_text(markup: str) -> str:
-    """Clean text of markup: '# ' headings, '- ' items, '| ' cells, fenced code, '$' formulas, one block per line."""
+_MARK = re.compile("[\x03\x04](\\d+);")
+
+
+def _marked(markup: str, trees: list[tuple[int, int, int]]) -> str:
+    """Markup with a mark where the text of each subtree begins (\\x03) and after it ends (\\x04); none begins inside code or formulas."""
+    whole = [m.span() for m in (*_PRE.finditer(markup), *_FORMULA.finditer(markup))]
+    starts = sorted(whole)
+    at: list[tuple[int, int, str]] = []
+    for i, (a, b, _) in enumerate(trees):
+        k = bisect_right(starts, (a, len(markup) + 1)) - 1
+        if k < 0 or not starts[k][0] < a < starts[k][1]:
+            at += (_ELEMENT.match(markup, a).end(), 1, f"\x03{i};"), (b, 0, f"\x04{i};")
+    out, last = [], 0
+    for pos, _, mark in sorted(at):
+        out += markup[last:pos], mark
+        last = pos
+    return "".join(out) + markup[last:]
+
+
+def to_lines(markup: str, trees: list[tuple[int, int, int]] | None = None) -> list[tuple[str, list[int]]]:
+    """Clean lines of markup, each with the hashes of the subtrees around it, outermost first.
+
+    '# ' headings, '- ' items, '| ' cells, fenced code, '$' formulas, one block per line. A row
+    of cells is around by its row, not by its cells.
+    """
     code: list[str] = []
 
+    def marks(text: str, kind: str) -> str:
+        return "".join(x[0] for x in _MARK.finditer(text) if x[0][0] == kind)
+
     def fence(m: re.Match) -> str:
-        body = unescape(_INNER_TAG.sub("", m[1])).strip("\n")
+        body = unescape(_INNER_TAG.sub("", _MARK.sub("", m[1]))).strip("\n")
         code.append("```\n" + body + "\n```")
-        return f"<hr>\x01{len(code) - 1}\x01<hr>"
+        return "<hr>" + marks(m[1], "\x03") + f"\x01{len(code) - 1}\x01" + marks(m[1], "\x04") + "<hr>"
 
     def formula(m: re.Match) -> str:
-        code.append("$" + " ".join(unescape(_INNER_TAG.sub("", m[1])).split()) + "$")
-        return f"\x01{len(code) - 1}\x01"
+        code.append("$" + " ".join(unescape(_INNER_TAG.sub("", _MARK.sub("", m[1]))).split()) + "$")
+        return marks(m[1], "\x03") + f"\x01{len(code) - 1}\x01" + marks(m[1], "\x04")
 
-    s = _PRE.sub(fence, markup.replace("\x01", ""))
+    s = _PRE.sub(fence, _marked(markup, trees) if trees else markup)
     s = _FORMULA.sub(formula, s)
     s = _H.sub(lambda m: "<hr>" + "#" * int(m[1]) + " \x02", s)
     s = _LI.sub("<hr>- \x02", s)
     s = _ROW.sub("<hr>", s)
     s = re.sub(r"</t[dh]\s*>", "", s, flags=re.I)
     s = _CELL.sub(" | ", s)
-    lines = []
+    out: list[tuple[str, list[int]]] = []
+    open_: dict[int, None] = {}
     for b in split_blocks(s):
-        line = clean_line(b.replace("\x02", "").replace("  ", " "))
+        text = _MARK.sub("", b)
+        line = clean_line(text.replace("\x02", "").replace("  ", " ").strip(" "))
+        lead = b.rfind("\x02") + 1
+        around = None
+        at = 0
+        for m in _MARK.finditer(b):
+            if around is None and m.start() > lead and b[max(at, lead) : m.start()].strip():
+                around = list(open_)
+            at = m.end()
+            if m[0][0] == "\x03":
+                open_[int(m[1])] = None
+            else:
+                open_.pop(int(m[1]), None)
+        around = list(open_) if around is None else around
         if line and line.strip("#-| "):
-            lines.append(re.sub("\x01(\\d+)\x01", lambda m: code[int(m[1])], line))
-    return "\n".join(lines)
+            out.append((re.sub("\x01(\\d+)\x01", lambda m: code[int(m[1])], line), [trees[i][2] for i in around[:CHAIN]] if trees else []))
+    return out
+
+
+def to_text(markup: str) -> str:
+    """Clean text of markup, a line per block; see ``to_lines``."""
+    return "\n".join(x for x, _ in to_lines(_unmarked(markup)))
+
+
+def _unmarked(markup: str) -> str:
+    """Markup without the signs that are used as marks."""
+    return markup.translate(_MARKS) if any(c in markup for c in "\x01\x02\x03\x04") else markup
+
+
+_MARKS = dict.fromkeys((1, 2, 3, 4))
 
 
 def clean_pages(cache: DataFrame, pages: DataFrame) -> DataFrame:
-    """``page_id, text, removed``: each body as clean text without its host's template subtrees.
+    """``page_id, text, removed``: each body as clean text without the lines of its host's template subtrees; ``removed`` counts them.
 
-    Pages of unknown host keep all subtrees. Null or empty html gives an empty text.
+    Pages are parsed once: their lines are written with the subtrees around them, and only these
+    meet the page's templates. A line goes when a template subtree is around it. Pages of unknown
+    host keep all lines. Null or empty html gives an empty text.
     """
-    hosts = materialise(page_hosts(pages))
-    hot = hot_hosts(hosts)
-    trees = materialise(page_trees(cache).select("page_id", "trees"))
-    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot, "host")
-    mine = split_rows(trees.join(hosts.select("page_id", "host"), "page_id"), hot, "host", "page_id")
-    gone = mine.join(per_host, ["host", "_salt"]).select("page_id", F.array_intersect("trees", "known").alias("gone"))
-    j = cache.select("page_id", "html").join(gone, "page_id", "left")
 
     def fn(b, _):
-        out = {"page_id": b.column(0).to_pylist(), "text": [], "removed": []}
-        for html, g in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            m = body_markup(html) if html else ""
-            out["text"].append(to_text(drop_subtrees(m, set(g)) if g else m))
-            out["removed"].append(len(g or ()))
+        out: dict = {"page_id": b.column(0).to_pylist(), "trees": [], "lines": []}
+        for html in b.column(1).to_pylist():
+            markup = _unmarked(body_markup(html)) if html else ""
+            trees = subtrees(markup)
+            out["trees"].append(list(dict.fromkeys(h for _, _, h in trees)))
+            out["lines"].append([{"text": t, "around": a} for t, a in to_lines(markup, trees)])
         return out
 
-    return map_arrow(j.select("page_id", "html", "gone"), fn, "page_id bigint, text string, removed int")
+    schema = "page_id bigint, trees array<bigint>, lines array<struct<text:string,around:array<bigint>>>"
+    parsed = materialise(map_arrow(cache.select("page_id", "html"), fn, schema).withColumn("row", F.monotonically_increasing_id()))
+    hosts = materialise(page_hosts(pages))
+    hot = hot_hosts(hosts)
+    trees = parsed.select("page_id", "row", "trees")
+    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot, "host")
+    mine = split_rows(trees.join(hosts.select("page_id", "host"), "page_id"), hot, "host", "page_id")
+    gone = mine.join(per_host, ["host", "_salt"]).select("row", F.array_intersect("trees", "known").alias("gone")).where(F.size("gone") > 0)
+    j = parsed.select("page_id", "row", "lines").join(gone, "row", "left")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.arrays_overlap(x["around"], F.col("gone"))))
+    return j.withColumn("kept", kept).select("page_id", F.array_join("kept.text", "\n").alias("text"), (F.size("lines") - F.size("kept")).alias("removed"))
 
 
 def clean_titles(pages: DataFrame) -> DataFrame:

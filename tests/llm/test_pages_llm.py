@@ -131,7 +131,27 @@ def test_subtrees_are_hashed_once():
     assert len(markup.subtrees(deep)) == 4000 and perf_counter() - at < 0.5
     a, b = markup.subtrees("<div><p>Page 3</p><p>b</p></div>"), markup.subtrees("<ul><div>\n<p>Page  12</p> <p>b</p></div></ul>")
     assert [h for _, _, h in a] == [h for _, _, h in b][:3] and len({h for _, _, h in b}) == 4
-    assert markup.drop_subtrees("<p>a</p><div><p>b</p></div>", {h for _, _, h in markup.subtrees("<div><p>b</p></div>")}).startswith("<p>a</p>")
+
+
+def test_lines_know_the_subtrees_around_them():
+    m = "<div><h2>Head</h2><ul><li>one<li>two <b>x</b></ul></div><table><tr><td>a<td>b<tr><td>c</table><pre>p <div>q</div></pre><p>end <math>x</math>"
+    trees = markup.subtrees(m)
+    name = {h: m[a:b] for a, b, h in trees}
+    got = [(t, [name[h].split(">")[0][1:] for h in around]) for t, around in markup.to_lines(m, trees)]
+    assert got == [
+        ("## Head", ["div", "h2"]), ("- one", ["div", "ul", "li"]), ("- two x", ["div", "ul", "li"]), ("| a | b", ["table", "tr"]), ("| c", ["table", "tr"]), ("```\np q\n```", ["pre"]), ("end $x$", ["p"]),
+    ]
+    assert markup.to_text(m) == "\n".join(t for t, _ in got)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<div>", "</div>", "<p>", "</p>", "<ul>", "<li>", "</ul>", "a", " b ", "<pre>", "</pre>", "<table>", "<tr>", "<td>", "</table>", "<math>", "</math>", "\x03", "**c**", "&amp;"]), max_size=25).map("".join))
+def test_marks_leave_no_trace(m):
+    m = markup._unmarked(m)
+    trees = markup.subtrees(m)
+    lines = markup.to_lines(m, trees)
+    assert "\n".join(t for t, _ in lines) == markup.to_text(m)
+    assert all(h in {x for _, _, x in trees} for _, around in lines for h in around)
 
 
 def test_own_text_of_an_address_fetched_often_is_no_template(spark):
