@@ -194,7 +194,7 @@ def parse(html: str | None) -> Node:
                 if stack[i].tag in ("table", "td", "th"):
                     break
         top = stack[-1] if len(stack) <= MAX_DEPTH else stack[MAX_DEPTH]
-        node = Node(tag, top, _attributes(m[5]))
+        node = Node(tag, top, _attributes(m[5]) if len(m[5]) > 1 else {})
         top.children.append(node)
         if tag in VOID or m[5].endswith("/>") and tag in ("path", "circle", "rect", "use", "line"):
             continue
