@@ -363,8 +363,8 @@ def _marked(markup: str, trees: list[tuple[int, int, int]]) -> str:
     return "".join(out) + markup[last:]
 
 
-def to_lines(markup: str, trees: list[tuple[int, int, int]] | None = None) -> list[tuple[str, list[int]]]:
-    """Clean lines of markup, each with the hashes of the subtrees around it, outermost first.
+def to_lines(markup: str, trees: list[tuple[int, int, int]] | None = None) -> list[tuple[str, int]]:
+    """Clean lines of markup, each with the place in ``trees`` of the innermost subtree around it, -1 for none.
 
     '# ' headings, '- ' items, '| ' cells, fenced code, '$' formulas, one block per line. A row
     of cells is around by its row, not by its cells.
@@ -390,7 +390,7 @@ def to_lines(markup: str, trees: list[tuple[int, int, int]] | None = None) -> li
     s = _ROW.sub("<hr>", s)
     s = re.sub(r"</t[dh]\s*>", "", s, flags=re.I)
     s = _CELL.sub(" | ", s)
-    out: list[tuple[str, list[int]]] = []
+    out: list[tuple[str, int]] = []
     open_: dict[int, None] = {}
     for b in split_blocks(s):
         text = _MARK.sub("", b)
@@ -400,18 +400,32 @@ def to_lines(markup: str, trees: list[tuple[int, int, int]] | None = None) -> li
         at = 0
         for m in _MARK.finditer(b):
             if around is None and m.start() > lead and b[max(at, lead) : m.start()].strip():
-                around = list(open_)
+                around = next(reversed(open_), -1)
             at = m.end()
             if m[0][0] == "\x03":
                 open_[int(m[1])] = None
             else:
                 open_.pop(int(m[1]), None)
-        around = list(open_) if around is None else around
+        around = next(reversed(open_), -1) if around is None else around
         if line and line.strip("#-| "):
-            out.append((re.sub("\x01(\\d+)\x01", lambda m: code[int(m[1])], line), [trees[i][2] for i in around[:CHAIN]] if trees else []))
+            out.append((re.sub("\x01(\\d+)\x01", lambda m: code[int(m[1])], line), around))
     return out
 
 
+def in_order(trees: list[tuple[int, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Places of the subtrees in document order, and per place the last place inside it and the hash."""
+    order = sorted(range(len(trees)), key=lambda i: (trees[i][0], -trees[i][1], -i))
+    place = [0] * len(trees)
+    last = [len(trees) - 1] * len(trees)
+    stack: list[int] = []
+    for k, i in enumerate(order):
+        place[i] = k
+        while stack and trees[order[stack[-1]]][1] <= trees[i][0]:
+            last[stack.pop()] = k - 1
+        stack.append(k)
+    return place, last, [trees[i][2] for i in order]
+
+
 def to_text(markup: str) -> str:
     """Clean text of markup, a line per block; see ``to_lines``."""
     return "\n".join(x for x, _ in to_lines(_unmarked(markup)))
@@ -434,25 +448,30 @@ def clean_pages(cache: DataFrame, pages: DataFrame) -> DataFrame:
     """
 
     def fn(b, _):
-        out: dict = {"page_id": b.column(0).to_pylist(), "trees": [], "lines": []}
+        out: dict = {"page_id": b.column(0).to_pylist(), "trees": [], "last": [], "text": [], "inner": []}
         for html in b.column(1).to_pylist():
             markup = _unmarked(body_markup(html)) if html else ""
             trees = subtrees(markup)
-            out["trees"].append(list(dict.fromkeys(h for _, _, h in trees)))
-            out["lines"].append([{"text": t, "around": a} for t, a in to_lines(markup, trees)])
+            place, last, hashes = in_order(trees)
+            lines = to_lines(markup, trees)
+            out["trees"].append(hashes)
+            out["last"].append(last)
+            out["text"].append([t for t, _ in lines])
+            out["inner"].append([place[i] if i >= 0 else -1 for _, i in lines])
         return out
 
-    schema = "page_id bigint, trees array<bigint>, lines array<struct<text:string,around:array<bigint>>>"
+    schema = "page_id bigint, trees array<bigint>, last array<int>, text array<string>, inner array<int>"
     parsed = materialise(map_arrow(cache.select("page_id", "html"), fn, schema).withColumn("row", F.monotonically_increasing_id()))
     hosts = materialise(page_hosts(pages))
     hot = hot_hosts(hosts)
-    trees = parsed.select("page_id", "row", "trees")
-    per_host = for_each_part(known_trees(site_templates(trees, hosts)), hot, "host")
-    mine = split_rows(trees.join(hosts.select("page_id", "host"), "page_id"), hot, "host", "page_id")
-    gone = mine.join(per_host, ["host", "_salt"]).select("row", F.array_intersect("trees", "known").alias("gone")).where(F.size("gone") > 0)
-    j = parsed.select("page_id", "row", "lines").join(gone, "row", "left")
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.arrays_overlap(x["around"], F.col("gone"))))
-    return j.withColumn("kept", kept).select("page_id", F.array_join("kept.text", "\n").alias("text"), (F.size("lines") - F.size("kept")).alias("removed"))
+    per_host = for_each_part(known_trees(site_templates(parsed.select("page_id", F.array_distinct("trees").alias("trees")), hosts)), hot, "host")
+    mine = split_rows(parsed.select("page_id", "row", "trees", "last").join(hosts.select("page_id", "host"), "page_id"), hot, "host", "page_id").join(per_host, ["host", "_salt"])
+    spans = F.zip_with(F.transform("trees", lambda h, i: F.when(F.array_contains("known", h), i)), "last", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    gone = mine.select("row", F.filter(spans, lambda x: x["a"].isNotNull()).alias("gone")).where(F.size("gone") > 0)
+    j = parsed.select("page_id", "row", "text", "inner").join(gone, "row", "left")
+    inside = lambda at: F.exists("gone", lambda g: (at >= g["a"]) & (at <= g["b"]))
+    keep = F.zip_with("text", "inner", lambda t, at: F.when(F.col("gone").isNull() | ~inside(at), t))
+    return j.withColumn("kept", F.array_compact(keep)).select("page_id", F.array_join("kept", "\n").alias("text"), (F.size("text") - F.size("kept")).alias("removed"))
 
 
 def clean_titles(pages: DataFrame) -> DataFrame:

@@ -136,11 +136,12 @@ def test_subtrees_are_hashed_once():
 def test_lines_know_the_subtrees_around_them():
     m = "<div><h2>Head</h2><ul><li>one<li>two <b>x</b></ul></div><table><tr><td>a<td>b<tr><td>c</table><pre>p <div>q</div></pre><p>end <math>x</math>"
     trees = markup.subtrees(m)
-    name = {h: m[a:b] for a, b, h in trees}
-    got = [(t, [name[h].split(">")[0][1:] for h in around]) for t, around in markup.to_lines(m, trees)]
-    assert got == [
-        ("## Head", ["div", "h2"]), ("- one", ["div", "ul", "li"]), ("- two x", ["div", "ul", "li"]), ("| a | b", ["table", "tr"]), ("| c", ["table", "tr"]), ("```\np q\n```", ["pre"]), ("end $x$", ["p"]),
-    ]
+    name = lambda i: m[trees[i][0] :].split(">")[0][1:] if i >= 0 else ""
+    got = [(t, name(i)) for t, i in markup.to_lines(m, trees)]
+    assert got == [("## Head", "h2"), ("- one", "li"), ("- two x", "li"), ("| a | b", "tr"), ("| c", "tr"), ("```\np q\n```", "pre"), ("end $x$", "p")]
+    place, last, hashes = markup.in_order(trees)
+    tags = {place[i]: name(i) for i in range(len(trees))}
+    assert [tags[k] for k in range(5)] == ["div", "h2", "ul", "li", "li"] and last[:5] == [4, 1, 4, 3, 4] and hashes[0] == trees[place.index(0)][2]
     assert markup.to_text(m) == "\n".join(t for t, _ in got)
 
 
@@ -151,7 +152,11 @@ def test_marks_leave_no_trace(m):
     trees = markup.subtrees(m)
     lines = markup.to_lines(m, trees)
     assert "\n".join(t for t, _ in lines) == markup.to_text(m)
-    assert all(h in {x for _, _, x in trees} for _, around in lines for h in around)
+    assert all(-1 <= i < len(trees) for _, i in lines)
+    place, last, _ = markup.in_order(trees)
+    for i, (a, b, _) in enumerate(trees):
+        inside = {place[j] for j, (c, d, _) in enumerate(trees) if j != i and c >= a and d <= b and (c, d) != (a, b)}
+        assert inside <= set(range(place[i], last[place[i]] + 1))
 
 
 def test_own_text_of_an_address_fetched_often_is_no_template(spark):
