@@ -857,7 +857,7 @@ EXPECTED = {
     'lit_transform_minify_css': (
         'page_id bigint, result string',
         [
-            (1, "a{b:c;content:' x '}i>p{d:e}"),
+            (1, "a{b :c;content:' x '}i>p{d:e}"),
         ],
     ),
     'lit_transform_redact_url': (
@@ -898,7 +898,7 @@ EXPECTED = {
     'lit_transform_entity_encode': (
         'page_id bigint, result string',
         [
-            (1, 'a &lt; b &amp; &#39;c&#39;'),
+            (1, 'a &lt; b &amp; &#x27;c&#x27;'),
         ],
     ),
     'lit_sql_functions': (

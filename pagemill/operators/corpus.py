@@ -35,7 +35,8 @@ def duplicate_pages(pages: DataFrame, order: str, text: str = "text", html: str
     task's work. Null text counts as empty.
     """
     p = pages.withColumn("fingerprint", fingerprint(F.coalesce(F.col(text), F.lit("")), F.col(html) if html else None))
-    first = p.groupBy("fingerprint").agg(F.min(order).alias("first"), F.count("*").alias("copies"))
+    # Written once: it is read for the join and for the large contents.
+    first = materialise(p.groupBy("fingerprint").agg(F.min(order).alias("first"), F.count("*").alias("copies")))
     hot = hot_keys(first, "fingerprint", "copies")
     j = split_rows(p, hot, "fingerprint", order).join(for_each_part(first, hot, "fingerprint"), ["fingerprint", "_salt"]).drop("_salt")
     return j.withColumn("duplicate", F.col(order) != F.col("first"))
