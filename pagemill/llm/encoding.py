@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import _ATTRS, body_markup, split_blocks, title_text, without_code
 from pagemill.llm.memo import Memo
-from pagemill.llm.samples import sample_rows
 
 #: Encodings under which UTF-8 bytes are commonly misread.
 SINGLE = ("cp1252", "cp437", "cp850", "cp852", "cp1250", "cp1251", "cp866", "koi8-r", "mac_roman", "mac_cyrillic", "iso8859-2", "iso8859-5", "latin-1", "cp1253")
@@ -35,6 +34,8 @@ PAGE_GAIN = 14.0
 #: Nats by which a page's only odd run must gain, and its least characters: one run shows no pattern, so it needs more.
 RUN_GAIN = 24.0
 RUN_CHARS = 5
+#: Documents to whose mass the counts of more are scaled: smoothing, seeds and gains were set for it.
+MASS_DOCS = 4000
 #: Share of the odd characters that the pair must turn into known text.
 EXPLAINED = 0.5
 STRANGE_EXPLAINED = 0.7
@@ -87,16 +88,23 @@ def byte_text(text: str, table: dict[int, int]) -> str:
     return text.translate(table)
 
 
+def mass_scale(docs: int) -> float:
+    """What brings counts of ``docs`` documents to the mass of ``MASS_DOCS``; fewer are left as they are."""
+    return min(1.0, MASS_DOCS / max(1, docs))
+
+
 class BigramModel:
-    """Character bigrams of clean text, case-folded, digits as one class."""
+    """Character bigrams of clean text, case-folded, digits as one class; from texts, or from their counts.
 
-    def __init__(self, texts):
-        one, two = Counter(), Counter()
-        for t in texts:
-            for run in _RUN.findall(t):
-                s = self._fold(run)
-                one.update(s[:-1])
-                two.update(map("".join, zip(s, s[1:])))
+    Counts are multiplied by ``scale``; what is known and common is told by the counts as they are.
+    """
+
+    def __init__(self, texts, counts: dict[str, int] | None = None, scale: float = 1.0):
+        raw = self.counts(texts) if counts is None else counts
+        two = raw if scale == 1 else {p: n * scale for p, n in raw.items()}
+        one = Counter()
+        for p, n in two.items():
+            one[p[0]] += n
         self.seen = frozenset(one)
         for c in map(chr, (*range(0xA1, 0xC0), *range(0x2010, 0x203B))):
             one[c] += 1
@@ -104,7 +112,20 @@ class BigramModel:
         self.base = {c: log((n + 0.1) / (total * 1.5)) for c, n in one.items()}
         self.floor = log(0.02 / (total * 1.5 + 1e5))
         self.two = {p: log(0.9 * n / one[p[0]] + 0.1 * one[p[1]] / total) for p, n in two.items()}
-        self.common = frozenset(p for p, n in two.items() if n >= 2)
+        self.common = frozenset(p for p, n in raw.items() if n >= 2)
+
+    @classmethod
+    def counts(cls, texts) -> Counter:
+        """Bigrams of the runs of texts; a run that recurs is taken apart once."""
+        runs, two = Counter(), Counter()
+        for t in texts:
+            if not t.isascii():
+                runs.update(_RUN.findall(t))
+        for run, n in runs.items():
+            s = cls._fold(run)
+            for p in map("".join, zip(s, s[1:])):
+                two[p] += n
+        return two
 
     @staticmethod
     def _fold(run: str) -> str:
@@ -359,8 +380,19 @@ class Repairer:
 
 
 def fit(documents: DataFrame) -> BigramModel:
-    """Character model from a bounded sample of documents (``samples.SAMPLE_ROWS``)."""
-    return BigramModel(r["text"] for r in sample_rows(documents, "doc_id", ["text"], "text"))
+    """Character model from the bigrams of all documents: counted where they are read, only the sums come to the driver.
+
+    The sums are scaled to ``MASS_DOCS`` documents: gains in nats mean the same however large the table.
+    """
+
+    def fn(b, _):
+        texts = [t for t in b.column(0).to_pylist() if t]
+        two = BigramModel.counts(texts)
+        return {"pair": ["", *two], "n": [len(texts), *two.values()]}
+
+    sums = map_arrow(documents.select("text"), fn, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    two = dict(zip(sums["pair"].to_pylist(), sums["n"].to_pylist()))
+    return BigramModel((), two, mass_scale(two.pop("", 0)))
 
 
 def _setup(spark, documents: DataFrame):

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -93,6 +93,19 @@ def test_garbled_pages(spark):
     assert encoding.garbled_pages(df, docs.limit(0)).count() >= 0
 
 
+def test_bigrams_come_from_all_documents(spark):
+    texts = [f"é{chr(0x4E00 + i)} façade {i}" for i in range(5000)] + ["долгий текст " * 2000, "ñu", "", None]
+    model = encoding.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    pairs = Counter()
+    for t in filter(None, texts):
+        for run in encoding._RUN.findall(t):
+            s = model._fold(run)
+            pairs.update(s[i : i + 2] for i in range(len(s) - 1))
+    assert set(model.two) == set(pairs) and model.common == {p for p, n in pairs.items() if n >= 2} and model.seen == {p[0] for p in pairs}
+    whole = encoding.BigramModel([t for t in texts if t], scale=4000 / 5002)
+    assert model.two == whole.two and model.floor == whole.floor and model.known("долгий")
+
+
 @pytest.mark.parametrize(
     ("text", "kinds"),
     [
