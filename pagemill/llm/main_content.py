@@ -2,8 +2,8 @@
 
 A page is a chain of leaf blocks. Each block has features of its ancestor tags, of the boxes it
 stands in and of its text; a conditional random field gives it one of six roles, decoded by
-Viterbi over whole batches of pages. The field is trained on a bounded sample of pages whose
-labels come from the pages' own conventions (``role_of``): semantic elements, naming habits of
+Viterbi over whole batches of pages. The field is trained on a bounded sample of pages (``fit``)
+or, for problem 4, on all of them (``fit_all``); their labels come from the pages' own conventions (``role_of``): semantic elements, naming habits of
 class and id, buttons of consent boxes, headed link lists. During training the features that
 state such a convention are dropped at random, so the field learns to do without them.
 """
@@ -13,14 +13,15 @@ from __future__ import annotations
 import gc
 import re
 from html import unescape
-from itertools import islice
-from math import log2
+from itertools import chain, islice
+from math import ceil, log2
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.batches import map_arrow
+from pagemill.functions.batches import map_arrow, pieces
 from pagemill.functions.blocks import _ATTRS, INLINE, body_markup, crc, squeeze
 from pagemill.llm.memo import Memo
 from pagemill.llm.samples import PAGE_CHARS, sample_rows
@@ -28,11 +29,14 @@ from pagemill.llm.samples import PAGE_CHARS, sample_rows
 ROLES = ("main", "menu", "crumb", "consent", "sidebar", "footer")
 MAIN = 0
 SAMPLE_PAGES = 1500
-#: Blocks of the longest page that is trained on: a bound of the driver's memory. Every page is decoded, however long.
+#: Blocks of the longest page that ``fit`` trains on: a bound of the driver's memory. ``fit_all`` trains on every page, and every page is decoded, however long.
 MAX_BLOCKS = 5000
 MOST_WORDS = 96
 FEATURES = 1 << 14
 EPOCHS = 12
+#: Pages that the training of a field over all pages sees at least before fields are averaged, and the unit of its sums.
+VISITS = EPOCHS * SAMPLE_PAGES
+FIXED = 1 << 20
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRS + ")")
 _NAMES = re.compile(r"""\b(?:class|id)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -356,9 +360,7 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 7) -> Field:
         if 1 <= len(page) <= MAX_BLOCKS:
             keys = block_keys(page)
             data.append(([box[a][0] + leaf[b] + text[c] for a, b, c in keys], [box[a][1] for a, _, _ in keys], np.array(labels(page))))
-    k = len(ROLES)
-    w, moves = np.zeros((FEATURES, k)), np.zeros((k, k))
-    gw, gm = np.full((FEATURES, k), 1e-2), np.full((k, k), 1e-2)
+    k, descent = len(ROLES), Descent()
     batch = 64
     data.sort(key=lambda d: len(d[2]))
     groups = [data[i : i + batch] for i in range(0, len(data), batch)]
@@ -379,23 +381,36 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 7) -> Field:
                     row = plain[i] + stated[i] if keep else plain[i]
                     slots += row
                     where += [j * steps + i] * len(row)
-            slots_, where_ = np.array(slots), np.array(where)
-            sc = np.zeros((len(group) * steps, k))
-            emit = w[slots_]
-            for c in range(k):
-                sc[:, c] = np.bincount(where_, emit[:, c], len(sc))
-            post, pairs = _marginals(sc.reshape(len(group), steps, k), moves, mask)
-            diff = ((gold - post) * mask[:, :, None]).reshape(-1, k)
-            grad = np.empty((FEATURES, k))
-            for c in range(k):
-                grad[:, c] = np.bincount(slots_, diff[where_, c], FEATURES)
-            grad -= 1e-3 * w
-            gw += grad * grad
-            w += 0.3 * grad / np.sqrt(gw)
-            g = pair_gold - pairs - 1e-3 * moves
-            gm += g * g
-            moves += 0.3 * g / np.sqrt(gm)
-    return Field(w, moves)
+            descent.step(np.array(slots), np.array(where), mask, gold, pair_gold)
+    return Field(descent.w, descent.moves)
+
+
+class Descent:
+    """Stochastic gradient (Adagrad) of the field's log-likelihood."""
+
+    def __init__(self):
+        k = len(ROLES)
+        self.w, self.moves = np.zeros((FEATURES, k)), np.zeros((k, k))
+        self.gw, self.gm = np.full((FEATURES, k), 1e-2), np.full((k, k), 1e-2)
+
+    def step(self, slots: np.ndarray, where: np.ndarray, mask: np.ndarray, gold: np.ndarray, pair_gold: np.ndarray) -> None:
+        """One step over a group of pages; ``where`` is the place in the padded group of each of the ``slots``."""
+        k = len(ROLES)
+        sc = np.zeros((mask.size, k))
+        emit = self.w[slots]
+        for c in range(k):
+            sc[:, c] = np.bincount(where, emit[:, c], len(sc))
+        post, pairs = _marginals(sc.reshape(*mask.shape, k), self.moves, mask)
+        diff = ((gold - post) * mask[:, :, None]).reshape(-1, k)
+        grad = np.empty((FEATURES, k))
+        for c in range(k):
+            grad[:, c] = np.bincount(slots, diff[where, c], FEATURES)
+        grad -= 1e-3 * self.w
+        self.gw += grad * grad
+        self.w += 0.3 * grad / np.sqrt(self.gw)
+        g = pair_gold - pairs - 1e-3 * self.moves
+        self.gm += g * g
+        self.moves += 0.3 * g / np.sqrt(self.gm)
 
 
 def fit(cache: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
@@ -403,6 +418,98 @@ def fit(cache: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
     return train([r["html"] for r in sample_rows(cache, "page_id", ["html"], "html", rows, PAGE_CHARS)])
 
 
+def _examples(b, memos) -> dict:
+    """Pages as training examples: per block its role, the numbers of its plain and stated slots, and these slots."""
+    box, leaf, text = memos
+    out: dict = {"h": [], "roles": [], "sizes": [], "slots": []}
+    for html, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        page = leaves(html)
+        if page:
+            keys = block_keys(page)
+            plain, stated = [box[a][0] + leaf[b] + text[c] for a, b, c in keys], [box[a][1] for a, _, _ in keys]
+            out["h"].append(h)
+            out["roles"].append(bytes(labels(page)))
+            out["sizes"].append(np.array([*map(len, plain), *map(len, stated)], np.int16).tobytes())
+            out["slots"].append(np.fromiter(chain(chain.from_iterable(plain), chain.from_iterable(stated)), np.int16).tobytes())
+    return out
+
+
+def _example(roles: bytes, sizes: bytes, slots: bytes) -> tuple:
+    """(roles, plain slots, their blocks, stated slots, their blocks) of a page as ``_examples`` wrote it."""
+    y, n, x = np.frombuffer(roles, np.uint8), np.frombuffer(sizes, np.int16), np.frombuffer(slots, np.int16)
+    plain, stated = (np.repeat(np.arange(len(y), dtype=np.int32), part) for part in (n[: len(y)], n[len(y) :]))
+    return y, x[: len(plain)], plain, x[len(plain) :], stated
+
+
+def _descend(descent: Descent, data: list[tuple], epochs: int, rng: np.random.Generator) -> None:
+    """Go over ``data`` in steps of 64 pages of like length, fewer where pages are very long."""
+    k = len(ROLES)
+    data = sorted(data, key=lambda d: len(d[0]))
+    groups: list[list] = []
+    for d in data:
+        if not groups or len(groups[-1]) == 64 or (len(groups[-1]) + 1) * len(d[0]) > 64 * MAX_BLOCKS:
+            groups.append([])
+        groups[-1].append(d)
+    for _ in range(epochs):
+        for gi in rng.permutation(len(groups)):
+            group = groups[gi]
+            steps = len(group[-1][0])
+            mask, gold, pair_gold = np.zeros((len(group), steps), bool), np.zeros((len(group), steps, k)), np.zeros((k, k))
+            slots, where = [], []
+            for j, (y, plain, at, stated, stated_at) in enumerate(group):
+                mask[j, : len(y)] = True
+                gold[j, np.arange(len(y)), y] = 1
+                np.add.at(pair_gold, (y[:-1], y[1:]), 1)
+                slots.append(plain)
+                where.append(at + j * steps)
+                if rng.random() < 0.5:
+                    slots.append(stated)
+                    where.append(stated_at + j * steps)
+            descent.step(np.concatenate(slots), np.concatenate(where), mask, gold, pair_gold)
+
+
+def fit_all(cache: DataFrame) -> Field:
+    """Field trained on all cached pages, of any length.
+
+    Pages fall by hash into groups of ``VISITS`` to twice as many. Each group is descended from
+    nothing, in one pass; smaller tables in several, so that some ``VISITS`` pages are seen, but
+    at most ``EPOCHS``. The field is the mean of the groups' fields, each slot weighted by how
+    often a group holds it. Only slots are moved, never markup; sums are of whole numbers, so
+    they don't depend on the order of the groups.
+    """
+    n = cache.count()
+    groups, epochs = max(1, n // VISITS), max(1, min(EPOCHS, ceil(VISITS / max(1, n))))
+    k = len(ROLES)
+
+    def setup():
+        gc.set_threshold(200_000, 20, 20)  # as for Labeller
+        return Memo(_box_slots), Memo(_leaf_slots), Memo(_text_slots)
+
+    def run(batches):
+        descent, rng = Descent(), np.random.default_rng(7)
+        seen, pages = np.zeros(FEATURES, np.int64), 0
+        for b in batches:
+            for piece in pieces(b):
+                data = [_example(*r) for r in zip(*(piece.column(i).to_pylist() for i in (1, 2, 3)))]
+                _descend(descent, data, epochs, rng)
+                seen += np.bincount(np.concatenate([x for d in data for x in (d[1], d[3])]), minlength=FEATURES)
+                pages += len(data)
+        if pages:
+            count = np.concatenate([seen, np.full(k, pages)])
+            at = np.flatnonzero(count)
+            whole = np.rint(np.concatenate([descent.w, descent.moves])[at] * count[at, None] * FIXED).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at]), *(pa.array(whole[:, c]) for c in range(k))], ["slot", "n", *(f"w{c}" for c in range(k))])
+
+    some = cache.where("html is not null and html != ''").select("html", F.xxhash64("page_id", "html").alias("h"))
+    rows = map_arrow(some, _examples, "h bigint, roles binary, sizes binary, slots binary", setup)
+    parts = rows.repartitionById(groups, F.pmod("h", F.lit(groups)).cast("int")).sortWithinPartitions("h")
+    fields = parts.mapInArrow(run, "slot int, n bigint, " + ", ".join(f"w{c} bigint" for c in range(k)))
+    sums = fields.groupBy("slot").agg(F.sum("n").alias("n"), *(F.sum(f"w{c}").alias(f"w{c}") for c in range(k))).toArrow()
+    both = np.zeros((FEATURES + k, k))
+    both[sums["slot"].to_numpy()] = np.stack([sums[f"w{c}"].to_numpy() for c in range(k)], 1) / sums["n"].to_numpy()[:, None] / FIXED
+    return Field(both[:FEATURES], both[FEATURES:])
+
+
 class Scores:
     """Score vectors of feature keys: a key's slots are summed once, then looked up by number."""
 

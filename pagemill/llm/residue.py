@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and script notices (problem 4).
 
 Character n-gram models of error notices, filler, script notices and natural prose are fitted
-from short seed texts in fourteen languages and from a bounded sample of documents. The log
+from short seed texts in fourteen languages and from all documents. The log
 likelihood ratio of a residue model against prose, averaged over windows of characters, localises
 residue; a page is excluded when residue covers most of its main body (``main_content``). Unfilled
 placeholders are told by their syntax, which a final exact grammar checks.
@@ -13,13 +13,14 @@ import re
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill.functions.batches import map_arrow
 from pagemill.functions.blocks import COMMENT, _ATTRS, body_markup, split_blocks, title_text, without_code
-from pagemill.llm.encoding import BigramModel, Repairer
+from pagemill.llm.encoding import BigramModel, Repairer, mass_scale
+from pagemill.llm.encoding import fit as fit_letters
 from pagemill.llm.main_content import MAIN, Labeller
-from pagemill.llm.main_content import fit as fit_field
-from pagemill.llm.samples import sample_rows
+from pagemill.llm.main_content import fit_all as fit_field
 
 #: Seed texts, written for the purpose.
 ERROR_SEEDS = """
@@ -137,17 +138,26 @@ def _codes(s: str) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % SLOTS
 
 
-class Ratios:
-    """Log-likelihood ratios of each residue model against prose, per n-gram slot."""
+def gram_counts(texts) -> np.ndarray:
+    """How often each slot occurs in texts; long texts are cut so that no n-gram is lost."""
+    c, group, size = np.zeros(SLOTS, np.int64), [], 0
+    for t in texts:
+        s = " " + _DIGITS.sub("0", t.lower()) + " "
+        for at in range(0, max(1, len(s) - GRAM + 1), GROUP_CHARS):
+            group.append(_codes(s[at : at + GROUP_CHARS + GRAM - 1]))
+            size += len(group[-1])
+            if size > GROUP_CHARS:
+                c += np.bincount(np.concatenate(group), minlength=SLOTS)
+                group, size = [], 0
+    return c + np.bincount(np.concatenate(group), minlength=SLOTS) if group else c
 
-    def __init__(self, prose: list[str], seeds: dict[str, list[str]]):
-        def counts(texts):
-            c = np.zeros(SLOTS)
-            for t in texts:
-                np.add.at(c, _hashes(t), 1)
-            return c
 
-        natural = counts(prose) + 20 * counts(NATURAL_SEEDS.strip().split("\n"))
+class Ratios:
+    """Log-likelihood ratios of each residue model against prose (texts, or their ``gram_counts``), per n-gram slot."""
+
+    def __init__(self, prose: list[str] | np.ndarray, seeds: dict[str, list[str]]):
+        counts = gram_counts
+        natural = (prose if isinstance(prose, np.ndarray) else counts(prose)) + 20 * counts(NATURAL_SEEDS.strip().split("\n"))
         base = (natural + 0.02) / (natural.sum() + 0.02 * SLOTS)
         self.table = np.zeros((SLOTS, len(RESIDUE)), np.float32)
         for k, kind in enumerate(RESIDUE):
@@ -299,10 +309,22 @@ class Judge:
 
 
 def fit(documents: DataFrame) -> tuple[Ratios, BigramModel]:
-    """Models from the seeds and a bounded sample of documents."""
-    prose = [r["text"] for r in sample_rows(documents, "doc_id", ["text"], "text")]
+    """Models from the seeds and all documents, whose n-grams are counted where they are read.
+
+    The counts are scaled to a fixed mass, so the seeds of prose weigh the same however large the table.
+    """
+
+    def fn(b, _):
+        texts = [t for t in b.column(0).to_pylist() if t]
+        c = gram_counts(texts)
+        at = np.flatnonzero(c)
+        return {"slot": np.append(at, SLOTS), "n": np.append(c[at], len(texts))}
+
+    sums = map_arrow(documents.select("text"), fn, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    prose = np.zeros(SLOTS + 1)
+    prose[sums["slot"].to_numpy()] = sums["n"].to_numpy()
     seeds = {"error": ERROR_SEEDS, "script": SCRIPT_SEEDS, "filler": FILLER_SEEDS}
-    return Ratios(prose, {k: v.strip().split("\n") for k, v in seeds.items()}), BigramModel(prose)
+    return Ratios(prose[:-1] * mass_scale(prose[-1]), {k: v.strip().split("\n") for k, v in seeds.items()}), fit_letters(documents)
 
 
 def residue_pages(cache: DataFrame, documents: DataFrame) -> DataFrame:

@@ -270,6 +270,39 @@ def test_residue_pages(spark):
     assert {r["page_id"] for r in residue.without_residue(df, docs).collect()} == {5, 6, 7, 8, 9, 10, 13}
 
 
+def test_residue_models_come_from_all_documents(spark):
+    import numpy as np
+
+    texts = [f"the crawler reads page {WORDS[i % 16]} {chr(0x4E00 + i)}" for i in range(4500)] + ["a longer guide 12 " * 40_000, "kurz", "ab", "", None]
+    ratios, letters = residue.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    counts = np.zeros(residue.SLOTS)
+    for t in filter(None, texts):
+        np.add.at(counts, residue._hashes(t), 1)
+    seeds = {k: v.strip().split("\n") for k, v in (("error", residue.ERROR_SEEDS), ("script", residue.SCRIPT_SEEDS), ("filler", residue.FILLER_SEEDS))}
+    assert (ratios.table == residue.Ratios(counts * (4000 / 4503), seeds).table).all() and letters.seen >= {chr(0x4E00 + i) for i in range(4500)}
+    # However many documents there are, the seeds of prose weigh what they weigh beside 4,000.
+    many = residue.fit(spark.range(40_000).selectExpr("id as doc_id", "'the crawler reads every page in order' as text"))[0]
+    assert np.allclose(many.table, residue.Ratios(["the crawler reads every page in order"] * 4000, seeds).table, atol=1e-5)
+
+
+def test_field_of_residue_comes_from_all_pages(spark, monkeypatch):
+    rnd = random.Random(6)
+    long = page(0, rnd) + "".join(f"<p>zyzzyva {'x' * 30}{i}</p>" for i in range(6000))
+    df = spark.createDataFrame([(i, page(i, rnd), 0, "") for i in range(120)] + [(500, long, 0, ""), (501, None, 0, ""), (502, "", 0, ""), (3, page(3, rnd), 0, "")], CACHE)
+    field = residue.fit_field(df)
+    assert field.weights[main_content._slot("w:zyzzyva")].any()
+    assert (field.weights == residue.fit_field(df.repartition(3)).weights).all()
+    monkeypatch.setattr(main_content, "VISITS", 1200)  # two groups, whose fields are averaged
+    many = spark.createDataFrame([(i, page(i, rnd), 0, "") for i in range(2600)], CACHE)
+    lab, right, total = main_content.Labeller(residue.fit_field(many)), 0, 0
+    for i in range(40):
+        got = [main_content.ROLES[r] == "main" for _, r in lab.pages([page(i, rnd)])[0]]
+        right += sum(a == b for a, b in zip(got, [False] * 4 + [True] * 5 + [False] * 8))
+        total += len(got)
+    assert right / total > 0.95
+    assert not residue.fit_field(df.limit(0)).weights.any()
+
+
 @pytest.mark.parametrize("body, kind", [("<noscript>You need to enable JavaScript to run this app.</noscript>", "script"), ("<p>Not found</p>", "error"), ("<p>Bad gateway</p>", "error"), ("<p>Lorem ipsum</p>", "filler"), ("<p>Deep list</p>", None)])
 def test_residue_under_much_chrome(body, kind):
     rnd = random.Random(3)
