@@ -54,18 +54,20 @@ _HABITS = {
     "footer": ("ft", "foot", "footer", "legal"),
 }
 _HABIT = {w: k for k, ws in _HABITS.items() for w in ws}
+_FLAGS = {"h1": 1, "h3": 2, "button": 4}
 _SEPARATORS = re.compile(r" (?:[|»>/·•→›:-]|>>) ")
 
 
 class Box:
     """An element that groups blocks, with what its subtree holds."""
 
-    __slots__ = ("button", "h1", "h3", "habit", "links", "n", "name", "parent", "prose")
+    __slots__ = ("button", "h1", "h3", "habit", "links", "n", "name", "parent", "prose", "seen")
 
     def __init__(self, name: str, parent: Box | None, habit: str):
         self.name, self.parent, self.habit = name, parent, habit
         self.n = self.links = self.prose = 0
         self.h1 = self.h3 = self.button = False
+        self.seen: tuple | None = None
 
 
 class Leaf:
@@ -79,76 +81,77 @@ def _sentence(text: str) -> bool:
     return len(text) > 40 and text[-1] in ".!?。！？…"
 
 
+def _habit(attrs: str) -> str:
+    names = _NAMES.findall(attrs)
+    return next((h for w in names and re.split(r"[^a-z]+", " ".join(names).lower()) if (h := _HABIT.get(w))), "")
+
+
+#: What tags and attributes say, looked up by how they are written.
+_LOWER, _HABIT_OF = Memo(str.lower, 10_000), Memo(_habit, 10_000)
+
+
 def leaves(html: str | None) -> list[Leaf]:
     """Leaf blocks of a page in order; the same texts as ``functions.blocks.visible_blocks``."""
     if not html:
         return []
-    markup = body_markup(html)
     root = Box("body", None, "")
-    stack: list[tuple[str, Box]] = []
-    box, out, parts = root, [], []
-    at = link_depth = linked = 0
-
-    def flush() -> None:
-        nonlocal parts, linked
-        if parts:
-            raw = "".join(parts)
-            text = squeeze(unescape(raw) if "&" in raw else raw)
-            if text:
-                share = min(1.0, linked / max(1, len(raw)))
-                out.append(Leaf(text, tuple(n for n, _ in stack[-4:]), box, share))
-                tags = {n for n, _ in stack}
-                h1, h3, button, prose, link = "h1" in tags, "h3" in tags, "button" in tags, _sentence(text), share > 0.5
-                b = box
-                while b is not None:
-                    b.n += 1
-                    if link:
-                        b.links += 1
-                    if prose:
-                        b.prose += 1
-                    if h1:
-                        b.h1 = True
-                    if h3:
-                        b.h3 = True
-                    if button:
-                        b.button = True
-                    b = b.parent
-        parts, linked = [], 0
-
-    for m in _TAG.finditer(markup):
-        s = m.start()
-        if s > at:
-            piece = markup[at:s]
+    boxes, out = [root], []
+    # Open elements: name, box, names of the last four, and which of h1, h3 and button are open (1, 2, 4).
+    stack: list[tuple[str, Box, tuple[str, ...], int]] = []
+    top = bottom = ("", root, (), 0)
+    link_depth = linked = 0
+    *split, last = _TAG.split(body_markup(html))
+    split = iter(split)
+    parts = [x for x in (next(split, ""),) if x]
+    # What follows the last tag stands outside links; the markup's end ends a block like a tag that opens nothing.
+    for slash, written, attrs, piece in chain(zip(split, split, split, chain(split, ("",))), (("/", "a", "", last), ("", "hr", "", ""))):
+        name = _LOWER[written]
+        if name in _INLINE:
+            if name == "a":
+                link_depth = 0 if slash else 1
+        else:
+            if parts:
+                raw = parts[0] if len(parts) == 1 else "".join(parts)
+                text = squeeze(unescape(raw) if "&" in raw else raw)
+                if text:
+                    _, box, path, flags = top
+                    share = min(1.0, linked / len(raw)) if linked else 0.0
+                    out.append(Leaf(text, path, box, share))
+                    box.n += 1
+                    if share > 0.5:
+                        box.links += 1
+                    if _sentence(text):
+                        box.prose += 1
+                    if flags:
+                        box.h1, box.h3, box.button = box.h1 or flags & 1 > 0, box.h3 or flags & 2 > 0, box.button or flags & 4 > 0
+                parts, linked = [], 0
+            if slash:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        del stack[i:]
+                        top = stack[-1] if stack else bottom
+                        break
+            elif name not in _VOID:
+                if name in _CLOSES and top[0] in _CLOSES[name]:
+                    stack.pop()
+                    top = stack[-1] if stack else bottom
+                _, box, path, flags = top
+                if name in _BOXES and name != "body":
+                    box = Box(name, box, _HABIT_OF[attrs] if len(attrs) < 200 else _habit(attrs))
+                    boxes.append(box)
+                top = (name, box, (*path[-3:], name), flags | _FLAGS.get(name, 0))
+                stack.append(top)
+        if piece:
             parts.append(piece)
             if link_depth:
                 linked += len(piece)
-        at = m.end()
-        name = m[2].lower()
-        if name in _INLINE:
-            if name == "a":
-                link_depth = 0 if m[1] else 1
-            continue
-        flush()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name not in _VOID:
-            if stack and stack[-1][0] in _CLOSES.get(name, ()):
-                stack.pop()
-            b = stack[-1][1] if stack else root
-            if name in _BOXES and name != "body":
-                names = _NAMES.findall(m[3])
-                habit = ""
-                for w in names and re.split(r"[^a-z]+", " ".join(names).lower()):
-                    habit = habit or _HABIT.get(w, "")
-                b = Box(name, b, habit)
-            stack.append((name, b))
-        box = stack[-1][1] if stack else root
-    if at < len(markup):
-        parts.append(markup[at:])
-    flush()
+    # A box comes after the one it stands in.
+    for b in boxes[:0:-1]:
+        up = b.parent
+        up.n += b.n
+        up.links += b.links
+        up.prose += b.prose
+        up.h1, up.h3, up.button = up.h1 or b.h1, up.h3 or b.h3, up.button or b.button
     return out
 
 
@@ -188,13 +191,20 @@ def labels(page: list[Leaf]) -> list[int]:
 # ---- features
 
 
-def _bin(n: float) -> int:
-    return 0 if n <= 0 else min(9, int(log2(n + 1) * 1.5))
+#: Bins of 0 to 63, from which on all is one bin.
+_BINS = tuple(min(9, int(log2(n + 1) * 1.5)) for n in range(64))
+
+
+def _bin(n: int) -> int:
+    return _BINS[n] if n < 64 else 9
 
 
 def _text_features(text: str) -> list[str]:
     # The largest bin begins below MOST_WORDS, so counting stops there; words are looked for in the whole text.
-    words = [m[0].lower() for m in islice(_WORD.finditer(text), MOST_WORDS)]
+    # Where the beginning holds that many, the last of them may be cut: only their number is used then.
+    words = _WORD.findall(text, 0, 16 * MOST_WORDS)[:MOST_WORDS]
+    if len(words) < MOST_WORDS and len(text) > 16 * MOST_WORDS:
+        words = [m[0] for m in islice(_WORD.finditer(text), MOST_WORDS)]
     out = [f"len{_bin(len(text))}", f"words{_bin(len(words))}"]
     if _sentence(text):
         out.append("sentence")
@@ -212,7 +222,7 @@ def _text_features(text: str) -> list[str]:
     if text.isupper():
         out.append("upper")
     if len(words) <= 12:
-        out += ["w:" + w for w in dict.fromkeys(words)]
+        out += ["w:" + w for w in dict.fromkeys(map(str.lower, words))]
     return out
 
 
@@ -224,7 +234,9 @@ def _box_key(box: Box) -> tuple:
     """What the features see of a box and the boxes around it, inner ones first."""
     key, b = [], box
     while b is not None and len(key) < 5:
-        key.append((b.name, _bin(b.n), int(4 * b.links / b.n), b.h1, b.h3, b.button, _bin(b.prose), b.habit))
+        if b.seen is None:
+            b.seen = (b.name, _bin(b.n), int(4 * b.links / b.n), b.h1, b.h3, b.button, _bin(b.prose), b.habit)
+        key.append(b.seen)
         b = b.parent
     return tuple(key)
 
@@ -259,8 +271,11 @@ def _leaf_slots(key: tuple) -> list[int]:
     ]
 
 
+_SLOT = Memo(_slot, 50_000)
+
+
 def _text_slots(text: str) -> list[int]:
-    return [_slot(x) for x in _text_features(text)]
+    return [_SLOT[x] for x in _text_features(text)]
 
 
 def block_keys(page: list[Leaf]) -> list[tuple]:
@@ -418,19 +433,29 @@ def fit(cache: DataFrame, rows: int = SAMPLE_PAGES) -> Field:
     return train([r["html"] for r in sample_rows(cache, "page_id", ["html"], "html", rows, PAGE_CHARS)])
 
 
+def _raw(slots: list[int]) -> bytes:
+    return np.array(slots, np.int16).tobytes()
+
+
+def _example_memos() -> tuple[Memo, Memo, Memo, Memo]:
+    """Slots as ``_examples`` writes them: plain ones of boxes, leaves and texts, stated ones of boxes."""
+    return Memo(lambda k: _raw(_box_slots(k)[0])), Memo(lambda k: _raw(_leaf_slots(k))), Memo(lambda k: _raw(_text_slots(k))), Memo(lambda k: _raw(_box_slots(k)[1]))
+
+
 def _examples(b, memos) -> dict:
     """Pages as training examples: per block its role, the numbers of its plain and stated slots, and these slots."""
-    box, leaf, text = memos
+    box, leaf, text, stated_ = memos
     out: dict = {"h": [], "roles": [], "sizes": [], "slots": []}
     for html, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
         page = leaves(html)
         if page:
             keys = block_keys(page)
-            plain, stated = [box[a][0] + leaf[b] + text[c] for a, b, c in keys], [box[a][1] for a, _, _ in keys]
+            rows = [box[a] + leaf[b] + text[c] for a, b, c in keys]
+            rows += [stated_[a] for a, _, _ in keys]
             out["h"].append(h)
             out["roles"].append(bytes(labels(page)))
-            out["sizes"].append(np.array([*map(len, plain), *map(len, stated)], np.int16).tobytes())
-            out["slots"].append(np.fromiter(chain(chain.from_iterable(plain), chain.from_iterable(stated)), np.int16).tobytes())
+            out["sizes"].append((np.fromiter(map(len, rows), np.int32, len(rows)) // 2).astype(np.int16).tobytes())
+            out["slots"].append(b"".join(rows))
     return out
 
 
@@ -483,7 +508,7 @@ def fit_all(cache: DataFrame) -> Field:
 
     def setup():
         gc.set_threshold(200_000, 20, 20)  # as for Labeller
-        return Memo(_box_slots), Memo(_leaf_slots), Memo(_text_slots)
+        return _example_memos()
 
     def run(batches):
         descent, rng = Descent(), np.random.default_rng(7)

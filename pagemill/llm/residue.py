@@ -268,7 +268,9 @@ class Judge:
             markup = body_markup(html)
             blocks = split_blocks(markup)
             plain = split_blocks(without_code(markup)) if "<pre" in markup or "<code" in markup else blocks
-            if any(placeholders(x) for x in (title_text(html), *plain)):
+            plain = [title_text(html), *plain]
+            # No hint spans a line, so one search tells whether any block has one.
+            if _HINT.search("\n".join(plain)) and any(map(placeholders, plain)):
                 out[i] = "placeholder"
             texts.append([*blocks, noscript_notice(html)])
         self.blocks(x for page in texts for x in page)

@@ -1,6 +1,7 @@
 """Operators on cached pages: encoding, markup, main content, residue, repeated lines."""
 
 import random
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -220,6 +221,41 @@ def test_field_on_held_out_pages(spark):
     assert right / total > 0.95
 
 
+def test_boxes_count_what_stands_below_them():
+    rnd = random.Random(9)
+    tags = ["<div>", "</div>", "<nav>", "</nav>", "<ul>", "<li>", "</ul>", "<h1>", "</h1>", "<h3>", "</h3>", "<button>", "</button>", "<a>", "</a>", "<p>", "Word", "A sentence that is long enough to be counted as one."]
+    for _ in range(300):
+        page = main_content.leaves("".join(rnd.choices(tags, k=40)))
+        below = defaultdict(list)
+        for x in page:
+            b = x.box
+            while b is not None:
+                below[b].append(x)
+                b = b.parent
+        for b, xs in below.items():
+            assert (b.n, b.links, b.prose) == (len(xs), sum(x.link > 0.5 for x in xs), sum(main_content._sentence(x.text) for x in xs))
+
+
+def test_parsing_takes_as_long_as_the_page_however_deep():
+    def lines(depth):
+        n = 0
+
+        def trace(frame, event, _):
+            nonlocal n
+            n += event == "line" and frame.f_code.co_filename == main_content.__file__
+            return trace
+
+        old = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            assert len(main_content.leaves("<div>text" * depth)) == depth
+        finally:
+            sys.settrace(old)
+        return n
+
+    assert lines(800) < 2.2 * lines(400)
+
+
 def test_viterbi_is_exact():
     import numpy as np
 
