@@ -241,24 +241,33 @@ def _box_key(box: Box) -> tuple:
     return tuple(key)
 
 
-def _box_slots(key: tuple) -> tuple[list[int], list[int]]:
-    """Slots of a box chain: those of its shape, and those that state a convention (dropped at random in training)."""
+def _level_slots(key: tuple) -> tuple[list[int], list[int]]:
+    """Slots of a box at its place in the chain."""
     plain, stated = [], []
-    for d, (name, n, links, h1, h3, button, prose, habit) in enumerate(key):
-        plain.append(f"{name}{d}")
-        plain.append(f"{'box' if d else 'own'}:{name}:n{n}:l{links}:{h1:d}{h3:d}{button:d}")
-        plain.append(f"{d}:{h1:d}{h3:d}{button:d}:p{prose}:l{links}")
-        if button and not h1:
-            plain.append("buttonbox")
-        if h3 and not h1:
-            plain.append("h3box")
-        if name in ("nav", "aside", "footer", "main", "article"):
-            stated.append("a:" + name)
-        if habit:
-            stated.append("habit:" + habit)
+    d, (name, n, links, h1, h3, button, prose, habit) = key
+    plain.append(f"{name}{d}")
+    plain.append(f"{'box' if d else 'own'}:{name}:n{n}:l{links}:{h1:d}{h3:d}{button:d}")
+    plain.append(f"{d}:{h1:d}{h3:d}{button:d}:p{prose}:l{links}")
+    if button and not h1:
+        plain.append("buttonbox")
+    if h3 and not h1:
+        plain.append("h3box")
+    if name in ("nav", "aside", "footer", "main", "article"):
+        stated.append("a:" + name)
+    if habit:
+        stated.append("habit:" + habit)
     return [_slot(x) for x in plain], [_slot(x) for x in stated]
 
 
+_LEVEL = Memo(_level_slots, 20_000)
+
+
+def _box_slots(key: tuple) -> tuple[list[int], list[int]]:
+    """Slots of a box chain: those of its shape, and those that state a convention (dropped at random in training)."""
+    levels = [_LEVEL[x] for x in enumerate(key)]
+    return [x for plain, _ in levels for x in plain], [x for _, stated in levels for x in stated]
+
+
 def _leaf_slots(key: tuple) -> list[int]:
     path, lk, side, head, tail, sentence = key
     leaf = path[-1] if path else "body"
@@ -437,21 +446,26 @@ def _raw(slots: list[int]) -> bytes:
     return np.array(slots, np.int16).tobytes()
 
 
-def _example_memos() -> tuple[Memo, Memo, Memo, Memo]:
-    """Slots as ``_examples`` writes them: plain ones of boxes, leaves and texts, stated ones of boxes."""
-    return Memo(lambda k: _raw(_box_slots(k)[0])), Memo(lambda k: _raw(_leaf_slots(k))), Memo(lambda k: _raw(_text_slots(k))), Memo(lambda k: _raw(_box_slots(k)[1]))
+def _example_memos() -> tuple[Memo, Memo, Memo]:
+    """Slots as ``_examples`` writes them: plain and stated ones of boxes, those of leaves and of texts."""
+    return Memo(lambda k: tuple(map(_raw, _box_slots(k)))), Memo(lambda k: _raw(_leaf_slots(k))), Memo(lambda k: _raw(_text_slots(k)))
 
 
 def _examples(b, memos) -> dict:
     """Pages as training examples: per block its role, the numbers of its plain and stated slots, and these slots."""
-    box, leaf, text, stated_ = memos
+    box, leaf, text = memos
     out: dict = {"h": [], "roles": [], "sizes": [], "slots": []}
     for html, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
         page = leaves(html)
         if page:
             keys = block_keys(page)
-            rows = [box[a] + leaf[b] + text[c] for a, b, c in keys]
-            rows += [stated_[a] for a, _, _ in keys]
+            rows, stated, last = [], [], None
+            for a, b, c in keys:
+                if a is not last:  # blocks of one box have one key
+                    last, (own, says) = a, box[a]
+                rows.append(own + leaf[b] + text[c])
+                stated.append(says)
+            rows += stated
             out["h"].append(h)
             out["roles"].append(bytes(labels(page)))
             out["sizes"].append((np.fromiter(map(len, rows), np.int32, len(rows)) // 2).astype(np.int16).tobytes())
@@ -580,8 +594,11 @@ class Labeller:
         number, ids = self.scores.number, []
         both = lambda k: sum(_box_slots(k), [])
         for p in parsed:
+            last = None
             for a, b, c in block_keys(p):
-                ids.append((number(a, both), number(b, _leaf_slots), number(c, _text_slots)))
+                if a is not last:
+                    last, own = a, number(a, both)
+                ids.append((own, number(b, _leaf_slots), number(c, _text_slots)))
         if not ids:
             return [[] for _ in parsed]
         score = self.scores.settle()[np.array(ids)].sum(1, dtype=np.float64)
